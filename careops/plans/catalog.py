@@ -10,9 +10,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from careops.operators import bi
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from careops.operators import bi, quality
 from careops.plans.oracle_bi import B as _B_SQL
+from careops.plans.oracle_quality import Q as _Q_SQL
+from careops.sources import keys
 from careops.sources.fixtures import load_hospital
+from careops.sources.master import load_joined
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +60,33 @@ def _pv(fn):
     return run
 
 
+def _decimals_as_double(df: DataFrame) -> DataFrame:
+    """Registered outputs carry money as DOUBLE so both engines compare alike."""
+    return df.select(*[F.col(f.name).cast("double").alias(f.name)
+                       if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+def _master(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return load_joined(t["patients"], t["visits"], t["billing"])
+
+
+def _key_contract(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return keys.key_contract_report(t["staging_patients"], t["visits"], t["billing"])
+
+
+def _cascade(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    dead = t["patients"].where(quality.missing_provider_condition(F.col("insurance_provider")))
+    return keys.cascade_report(t["patients"], t["visits"], t["billing"], dead.select("patient_id"))
+
+
+def _dup_patients(spark, sf_dir):
+    return quality.duplicate_keys(_tables(spark, sf_dir)["staging_patients"], "patient_id")
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -73,7 +106,21 @@ QUERIES: dict[str, QueryFn] = {
     "b16_rejections_by_provider": _pvb(bi.rejections_by_provider),
     "b17_payments_by_provider": _pvb(bi.payments_by_provider),
     "b18_provider_summary": _pvb(bi.provider_summary),
+    "q01_visits_without_bill": _vb(quality.visits_without_bill),
+    "q02_bills_without_visit": _vb(quality.bills_without_visit),
+    "q03_duplicate_patients": _dup_patients,
+    "q04_invalid_length_of_stay": _v(quality.invalid_length_of_stay),
+    "q05_invalid_payment_days": _b(quality.invalid_payment_days),
+    "q06_visits_missing_insurance": _pv(quality.visits_missing_insurance),
+    "q07_q09_validation_report": _pvb(quality.validation_report),
+    "q10_invalid_rows": _pvb(quality.invalid_rows),
+    "s02_key_contract": _key_contract,
+    "s04_cascade_delete": _cascade,
+    "s06_master_frame": _master,
 }
+QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
+           for name, fn in QUERIES.items()}
 
 ORACLES: dict[str, str] = {}
 ORACLES.update(_B_SQL)
+ORACLES.update(_Q_SQL)
