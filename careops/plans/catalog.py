@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.operators import bi, quality
+from careops.operators import bi, features, profiling, quality
 from careops.plans.oracle_bi import B as _B_SQL
+from careops.plans.oracle_features import F as _F_SQL
 from careops.plans.oracle_quality import Q as _Q_SQL
 from careops.sources import keys
 from careops.sources.fixtures import load_hospital
@@ -87,6 +88,42 @@ def _dup_patients(spark, sf_dir):
     return quality.duplicate_keys(_tables(spark, sf_dir)["staging_patients"], "patient_id")
 
 
+def _on_master(fn):
+    def run(spark, sf_dir):
+        return fn(_master(spark, sf_dir))
+    return run
+
+
+def _split(spark, sf_dir):
+    return features.time_split(_master(spark, sf_dir)).select("visit_id", "bill_id", "split")
+
+
+def _train_aggs(spark, sf_dir):
+    split = features.time_split(_master(spark, sf_dir))
+    return features.aggregates_long(features.fit_aggregates(split.where(F.col("split") == "train")))
+
+
+def model_table(spark, sf_dir):
+    return features.model_table(_master(spark, sf_dir))
+
+
+def _frame_rates(spark, sf_dir):
+    out = features.transform_features(_master(spark, sf_dir), None)
+    return out.select("visit_id", "bill_id", "visit_frequency", "avg_length_of_stay_patient",
+                      "provider_rejection_rate", "revenue_realization_rate_dept")
+
+
+def _current_aggs(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return features.aggregates_long(features.current_aggregates(t["patients"], t["visits"], t["billing"]))
+
+
+def _imputed(spark, sf_dir):
+    out = profiling.impute(_master(spark, sf_dir))
+    return out.select("visit_id", "bill_id", "department", "length_of_stay_hours",
+                      "approved_amount", "payment_days")
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -117,6 +154,16 @@ QUERIES: dict[str, QueryFn] = {
     "s02_key_contract": _key_contract,
     "s04_cascade_delete": _cascade,
     "s06_master_frame": _master,
+    "e01_missing_summary": _on_master(profiling.missing_summary),
+    "e02_category_counts": _on_master(profiling.category_counts),
+    "e03_iqr_outliers": _on_master(profiling.iqr_outliers),
+    "e04_box_summary": _on_master(profiling.box_summary),
+    "e05_imputed_values": _imputed,
+    "f01_time_split": _split,
+    "f02_f05_train_aggregates": _train_aggs,
+    "f06_f12_model_table": model_table,
+    "f11_frame_rates": _frame_rates,
+    "f13_current_aggregates": _current_aggs,
 }
 QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
            for name, fn in QUERIES.items()}
@@ -124,3 +171,4 @@ QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark
 ORACLES: dict[str, str] = {}
 ORACLES.update(_B_SQL)
 ORACLES.update(_Q_SQL)
+ORACLES.update(_F_SQL)
