@@ -19,10 +19,10 @@ def join_small(large: DataFrame, small: DataFrame, on: Column | str | list, how:
 
     Beyond the bound the join is left to the planner (sort-merge with AQE,
     which may still convert it at runtime from the real shuffle sizes).
-    The small side is cached first so the size check does not cost a
-    second computation of it.
+    The check runs the small side once (a limit-bounded count); callers pass
+    small sides that are cheap to recompute (aggregates over checkpointed or
+    scanned data).
     """
-    small = small.cache()
     if is_small(small, max_rows):
         return large.join(F.broadcast(small), on, how)
     return large.join(small, on, how)

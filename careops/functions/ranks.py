@@ -22,30 +22,48 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careops.functions.joins import join_small
+from careops.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
 MAX_GROUP_BUCKETS = 2_000_000
 
 
-def _edges(distinct: DataFrame, value: str, buckets: int) -> list:
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    row = distinct.agg(F.percentile_approx(value, probs, 10_000).alias("e")).first()
-    edges = row["e"] if row is not None and row["e"] is not None else []
-    return sorted(set(e for e in edges if e is not None))
+# Up to this many (group, distinct value) rows the running sums use one window
+# partition per group: a proven bound on what a single task holds.  Above it
+# the bucketed path spreads every group over ``buckets`` window partitions.
+SINGLE_TASK_ROWS = 2_000_000
 
 
-def bucket_of(value: Column, edges: list) -> Column:
-    """Index of the range bucket holding ``value``: number of edges strictly below it."""
-    if not edges:
-        return F.lit(0)
-    arr = F.array(*[F.lit(e) for e in edges])
-    return F.size(F.filter(arr, lambda e: e < value))
+def _size_and_edges(distinct: DataFrame, value: str, buckets: int) -> tuple[int, list]:
+    """Row count of the per-value table and approximate bucket edges, in one pass."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    if buckets > 1:
+        probs = [i / buckets for i in range(1, buckets)]
+        aggs.append(F.percentile_approx(value, probs, 10_000).alias("e"))
+    row = distinct.agg(*aggs).first()
+    edges = row["e"] if buckets > 1 and row["e"] is not None else []
+    return int(row["rows"]), sorted(set(e for e in edges if e is not None))
+
+
+def _search(value: Column, edges: list, strict: bool, lo: int, hi: int) -> Column:
+    # smallest i in [lo, hi] with edges[i] >= value (strict) / > value, as a CASE tree
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    stop = (F.lit(edges[mid]) >= value) if strict else (F.lit(edges[mid]) > value)
+    return F.when(stop, _search(value, edges, strict, lo, mid)).otherwise(
+        _search(value, edges, strict, mid + 1, hi))
+
+
+def bucket_of(value: Column, edges: list, strict: bool = True) -> Column:
+    """Range bucket of ``value``: the number of sorted ``edges`` below it (``<``, or ``<=``
+    when not strict), as a balanced CASE tree -- O(log B) comparisons per row, no lambda."""
+    return _search(value, list(edges), strict, 0, len(edges))
 
 
 def cumulative_counts(df: DataFrame, value: str, weights: dict[str, Column] | None = None,
@@ -54,27 +72,47 @@ def cumulative_counts(df: DataFrame, value: str, weights: dict[str, Column] | No
 
     ``weights`` maps output names to per-row numeric columns (default: ``n`` = 1
     per row).  Cumulative sums are within each group, in ascending value order.
+    On the large path the per-value table is checkpointed into the session's
+    checkpoint folder (reliable, survives executor loss) because the bucket
+    totals and the running sums both read it.
     """
+    return _cumulative(df, value, weights, group_cols, buckets)[0]
+
+
+def _cumulative(df, value, weights, group_cols, buckets):
     weights = weights or {"n": F.lit(1)}
     names = list(weights)
     group_cols = list(group_cols)
     per_value = (df.where(F.col(value).isNotNull())
                  .groupBy(*group_cols, value)
-                 .agg(*[F.sum(w).alias(n) for n, w in weights.items()]))
-    edges = _edges(per_value, value, buckets)
+                 .agg(*[F.sum(w).alias(n) for n, w in weights.items()])
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+    rows, edges = _size_and_edges(per_value, value, buckets)
+    if rows <= SINGLE_TASK_ROWS or not edges:
+        whole = Window.partitionBy(*group_cols).orderBy(value).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        cum = per_value.select(*group_cols, value, F.lit(0).alias("_bucket"), *names, *[
+            F.sum(n).over(whole).alias(f"cum_{n}") for n in names])
+        return cum, per_value
+    # large: the per-value table is read twice more -> checkpoint it (lineage cut, survives
+    # executor loss) and drop the cached copy
+    cached, per_value = per_value, cut_lineage(per_value)
+    cached.unpersist()
     with_bucket = per_value.withColumn("_bucket", bucket_of(F.col(value), edges))
     totals = with_bucket.groupBy(*group_cols, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
     prior = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "_bucket", *[
         F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in names])
-    # (group, bucket) rows: bounded by buckets x groups; checked before broadcasting.
-    joined = join_small(with_bucket, offsets, [*group_cols, "_bucket"], "inner",
-                        max_rows=MAX_GROUP_BUCKETS)
+    # (group, bucket) rows: at most `buckets` when ungrouped, else checked before broadcasting.
+    joined = (with_bucket.join(F.broadcast(offsets), "_bucket") if not group_cols else
+              join_small(with_bucket, offsets, [*group_cols, "_bucket"], "inner",
+                         max_rows=MAX_GROUP_BUCKETS))
     running = Window.partitionBy(*group_cols, "_bucket").orderBy(value).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return joined.select(*group_cols, value, "_bucket", *names, *[
+    cum = joined.select(*group_cols, value, "_bucket", *names, *[
         (F.sum(n).over(running) + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in names])
+    return cum, per_value
 
 
 def locate_rank(df: DataFrame, value: str, rank: int, buckets: int = DEFAULT_BUCKETS):
@@ -82,9 +120,10 @@ def locate_rank(df: DataFrame, value: str, rank: int, buckets: int = DEFAULT_BUC
 
     Returns ``(value, rank_within_value, ties)``.
     """
-    cum = cumulative_counts(df, value, None, (), buckets)
+    cum, cached = _cumulative(df, value, None, (), buckets)
     row = cum.where((F.col("cum_n") - F.col("n") < rank) & (F.col("cum_n") >= rank)).select(
         value, (F.lit(rank) - (F.col("cum_n") - F.col("n"))).alias("r"), "n").first()
+    cached.unpersist()
     if row is None:
         raise ValueError(f"rank {rank} is beyond the number of rows")
     return row[0], int(row[1]), int(row[2])
@@ -147,7 +186,9 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     # value at 0-based rank r: the distinct value with cum - n <= r < cum
     wanted = targets.groupBy(*group_cols).agg(
         F.array_distinct(F.flatten(F.collect_list(F.array("_lo", "_hi")))).alias("_ranks"))
-    hits = join_small(cum, wanted, group_cols, "inner", max_rows=MAX_GROUP_BUCKETS)
+    # one row per group: a single row when ungrouped, else size-checked
+    hits = (cum.join(F.broadcast(wanted), group_cols) if not user_groups else
+            join_small(cum, wanted, group_cols, "inner", max_rows=MAX_GROUP_BUCKETS))
     hits = hits.select(*group_cols, "_v", "n", "cum_n", F.explode(F.filter(
         "_ranks", lambda r: (F.col("cum_n") - F.col("n") <= r) & (r < F.col("cum_n")))).alias("_r"))
     lo = hits.select(*group_cols, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +39,12 @@ def split_keys(df: DataFrame) -> list[Column]:
 def time_split(master: DataFrame, train_num: int = 4, train_den: int = 5,
                buckets: int = 64) -> DataFrame:
     """add ``split`` ('train' / 'test'); train = first floor(n*num/den) rows by key."""
-    keyed = master.select(*[k.alias(f"_k{i}") for i, k in enumerate(split_keys(master))])
+    keyed = master.select(*[k.alias(f"_k{i}") for i, k in enumerate(split_keys(master))]) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     n = keyed.count()
     k = n * train_num // train_den
     bound = kth_key(keyed, ["_k0", "_k1", "_k2"], k, buckets)
+    keyed.unpersist()
     if bound is None:
         return master.withColumn("split", F.lit("test"))
     is_train = lex_leq(split_keys(master), bound)
@@ -174,7 +177,8 @@ def transform_features(df: DataFrame, aggregates: Aggregates | None = None,
 
 def model_table(master: DataFrame, buckets: int = 64) -> DataFrame:
     """Master + split + features, aggregates fitted on train and applied to both splits."""
-    split = time_split(master, buckets=buckets)
+    # the split frame feeds the fitted rates, the size checks and both transforms
+    split = time_split(master, buckets=buckets).persist(StorageLevel.MEMORY_AND_DISK)
     aggs = fit_aggregates(split.where(F.col("split") == "train"))
     feats = transform_features(split, aggs, by=["split"])
     return feats.select(*S.MASTER_COLUMNS, *S.ENGINEERED_COLUMNS, "split")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,8 @@ def _quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> DataFrame:
     """IQR bounds q1 - 1.5 iqr, q3 + 1.5 iqr; count of values strictly outside; % of non-NULL."""
-    long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull())
+    long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     q = _quartiles(long, (0.25, 0.75))
     bounds = q.select("column_name",
                       (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
@@ -77,7 +79,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> Dat
 
 def box_summary(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> DataFrame:
     """q1, median, q3 and whiskers (most extreme values inside the 1.5 IQR bounds)."""
-    long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull())
+    long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull()) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     q = _quartiles(long)
     tagged = join_small(long, q, "column_name", "inner", max_rows=10_000)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
@@ -91,6 +94,7 @@ def box_summary(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> Data
 
 def impute(df: DataFrame, group: str = "department", stay: str = "length_of_stay_hours") -> DataFrame:
     """E5 (opt-in): stay <- its group median; approved_amount and payment_days <- 0 when missing."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     med = exact_percentiles(df, stay, [0.5], [group]).select(group, F.col("value").alias("_median"))
     out = join_small(df, med, group, "left", max_rows=100_000)
     return out.select(

@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.operators import bi, features, profiling, quality
+from careops.operators import bi, drift, features, profiling, quality
 from careops.plans.oracle_bi import B as _B_SQL
+from careops.plans.oracle_drift import K as _K_SQL
 from careops.plans.oracle_features import F as _F_SQL
 from careops.plans.oracle_quality import Q as _Q_SQL
 from careops.sources import keys
 from careops.sources.fixtures import load_hospital
+from careops.session import cut_lineage
 from careops.sources.master import load_joined
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +126,11 @@ def _imputed(spark, sf_dir):
                       "approved_amount", "payment_days")
 
 
+def _drift(spark, sf_dir):
+    mt = cut_lineage(model_table(spark, sf_dir))
+    return drift.drift_report(mt.where(F.col("split") == "train"), mt.where(F.col("split") == "test"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -164,6 +171,7 @@ QUERIES: dict[str, QueryFn] = {
     "f06_f12_model_table": model_table,
     "f11_frame_rates": _frame_rates,
     "f13_current_aggregates": _current_aggs,
+    "k05_drift_report": _drift,
 }
 QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
            for name, fn in QUERIES.items()}
@@ -172,3 +180,4 @@ ORACLES: dict[str, str] = {}
 ORACLES.update(_B_SQL)
 ORACLES.update(_Q_SQL)
 ORACLES.update(_F_SQL)
+ORACLES.update(_K_SQL)
