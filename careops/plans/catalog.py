@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.operators import bi, drift, features, profiling, quality
+from careops import schema as S
+from careops.operators import bi, drift, evaluation, features, governance, profiling, quality
 from careops.plans.oracle_bi import B as _B_SQL
 from careops.plans.oracle_drift import K as _K_SQL
+from careops.plans.oracle_eval import V as _V_SQL
+from careops.plans.oracle_eval import W as _W_SQL
 from careops.plans.oracle_features import F as _F_SQL
 from careops.plans.oracle_quality import Q as _Q_SQL
 from careops.sources import keys
@@ -131,6 +134,50 @@ def _drift(spark, sf_dir):
     return drift.drift_report(mt.where(F.col("split") == "train"), mt.where(F.col("split") == "test"))
 
 
+def _scored(spark, sf_dir):
+    """Split master with encoded targets and rule-baseline predictions."""
+    split = features.time_split(_master(spark, sf_dir))
+    return evaluation.rule_baseline(evaluation.with_targets(split))
+
+
+def _ev(spark, sf_dir):
+    return _scored(spark, sf_dir).where(F.col("split") == "test")
+
+
+def _report(actual, pred, classes):
+    return lambda spark, sf_dir: evaluation.classification_report(_ev(spark, sf_dir), actual, pred, classes)
+
+
+def _matrix(actual, pred, classes, normalize):
+    return lambda spark, sf_dir: evaluation.confusion_matrix(_ev(spark, sf_dir), actual, pred, classes,
+                                                             normalize)
+
+
+def _weekly(spark, sf_dir):
+    return governance.weekly_metrics(_ev(spark, sf_dir), "visit_date", "claim_label", "claim_pred")
+
+
+def _triggers(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    ev = scored.where(F.col("split") == "test")
+    trained_on = scored.where(F.col("split") == "train").agg(F.max("visit_date")).scalar()
+    metrics = governance.weekly_metrics(ev, "visit_date", "claim_label", "claim_pred")
+    return governance.retrain_triggers(metrics, trained_on)
+
+
+def _pull(spark, sf_dir):
+    return governance.training_pull(_master(spark, sf_dir)).select(
+        "visit_id", "bill_id", "visit_date", "claim_status")
+
+
+def _gate(spark, sf_dir):
+    ev = _ev(spark, sf_dir)
+    active = ev.withColumn("majority_pred", F.lit(0))
+    return governance.promotion_gate(active.select("visit_id", "bill_id", "claim_label",
+                                                   F.col("majority_pred").alias("claim_pred")),
+                                     ev, ["visit_id", "bill_id"], "claim_label", "claim_pred")
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -172,6 +219,17 @@ QUERIES: dict[str, QueryFn] = {
     "f11_frame_rates": _frame_rates,
     "f13_current_aggregates": _current_aggs,
     "k05_drift_report": _drift,
+    "v02_report_risk_rule": _report("risk_label", "risk_pred", S.RISK_CLASSES),
+    "v02_report_claim_rule": _report("claim_label", "claim_pred", S.CLAIM_CLASSES),
+    "v03_confusion_claim_rule": _matrix("claim_label", "claim_pred", S.CLAIM_CLASSES, False),
+    "v04_normalized_confusion_risk_rule": _matrix("risk_label", "risk_pred", S.RISK_CLASSES, True),
+    "v05_revenue_protection_rule": lambda spark, sf_dir: evaluation.revenue_protection(_ev(spark, sf_dir)),
+    "v07_fairness_claim_rule": lambda spark, sf_dir: evaluation.fairness(
+        _ev(spark, sf_dir), "claim_label", "claim_pred", ["gender", "city", "insurance_provider"]),
+    "w01_weekly_audit_metrics": _weekly,
+    "w02_retrain_triggers": _triggers,
+    "w03_training_pull": _pull,
+    "w04_promotion_gate": _gate,
 }
 QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
            for name, fn in QUERIES.items()}
@@ -181,3 +239,5 @@ ORACLES.update(_B_SQL)
 ORACLES.update(_Q_SQL)
 ORACLES.update(_F_SQL)
 ORACLES.update(_K_SQL)
+ORACLES.update(_V_SQL)
+ORACLES.update(_W_SQL)
