@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careops import schema as S
-from careops.operators import bi, drift, evaluation, features, governance, profiling, quality
+from careops.operators import (bi, drift, evaluation, features, governance, models, profiling,
+                               quality, scoring)
 from careops.plans.oracle_bi import B as _B_SQL
 from careops.plans.oracle_drift import K as _K_SQL
 from careops.plans.oracle_eval import V as _V_SQL
 from careops.plans.oracle_eval import W as _W_SQL
+from careops.plans.oracle_models import M as _M_SQL
 from careops.plans.oracle_features import F as _F_SQL
 from careops.plans.oracle_quality import Q as _Q_SQL
 from careops.sources import keys
@@ -178,6 +180,99 @@ def _gate(spark, sf_dir):
                                      ev, ["visit_id", "bill_id"], "claim_label", "claim_pred")
 
 
+def _labelled_model_table(spark, sf_dir):
+    return cut_lineage(evaluation.with_targets(model_table(spark, sf_dir)))
+
+
+def _target_distribution(spark, sf_dir):
+    t = evaluation.with_targets(model_table(spark, sf_dir))
+    n = t.agg(F.count(F.lit(1))).scalar()
+
+    def dist(col):
+        return t.groupBy(F.col(col).alias("value")).agg(
+            F.bround(F.count(F.lit(1)) / n, 3).alias("share")).select(
+            F.lit(col).alias("target"), "value", "share")
+    return dist("risk_score").unionByName(dist("claim_status"))
+
+
+def _class_weights(spark, sf_dir):
+    t = evaluation.with_targets(model_table(spark, sf_dir)).where(F.col("split") == "train")
+    w = models.balanced_weights(t.select(F.col("claim_label").cast("double").alias("claim_label")),
+                                "claim_label")
+    return w.groupBy("claim_label").agg(F.round(F.first("class_weight"), 6).alias("class_weight"))
+
+
+def _split_inputs(spark, sf_dir, spec):
+    mt = _labelled_model_table(spark, sf_dir)
+    data = models.model_input(mt, spec)
+    return data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+
+
+def _flat_predictions(pred: DataFrame, spec) -> DataFrame:
+    return pred.select("visit_id", "bill_id", F.col(spec.label).cast("int").alias("actual_label"),
+                       "pred_label", "predicted_class", "model_version",
+                       *[F.round(F.col("probabilities")[c], 6).alias(f"p_{c}") for c in spec.classes])
+
+
+def _risk_logistic(spark, sf_dir):
+    train, test = _split_inputs(spark, sf_dir, models.SPEC_A)
+    model = models.logistic(models.SPEC_A, train.count()).fit(train)
+    return _flat_predictions(models.predictions(model, test, models.SPEC_A, "risk-lr"), models.SPEC_A)
+
+
+def _risk_forest_model(spark, sf_dir):
+    train, _ = _split_inputs(spark, sf_dir, models.SPEC_A)
+    pipe, rf = models.forest(models.SPEC_A)
+    rf.setNumTrees(50).setMaxDepth(10)
+    return pipe.fit(train)
+
+
+def _risk_forest(spark, sf_dir):
+    _, test = _split_inputs(spark, sf_dir, models.SPEC_A)
+    model = _risk_forest_model(spark, sf_dir)
+    return _flat_predictions(models.predictions(model, test, models.SPEC_A, "risk-rf"), models.SPEC_A)
+
+
+def _forest_importances(spark, sf_dir):
+    return models.feature_importances(_risk_forest_model(spark, sf_dir), models.SPEC_A, spark)
+
+
+def _claim_logistic(spark, sf_dir):
+    train, test = _split_inputs(spark, sf_dir, models.SPEC_B)
+    train = models.balanced_weights(train, models.SPEC_B.label)
+    model = models.logistic(models.SPEC_B, train.count(), weighted=True).fit(train)
+    return _flat_predictions(models.predictions(model, test, models.SPEC_B, "claim-lr"), models.SPEC_B)
+
+
+def _claim_gbt(spark, sf_dir):
+    train, test = _split_inputs(spark, sf_dir, models.SPEC_B)
+    model = models.fit_ovr_gbt(train, models.SPEC_B, max_iter=20, max_depth=5, step_size=0.1)
+    return _flat_predictions(models.predictions(model, test, models.SPEC_B, "claim-gbt"), models.SPEC_B)
+
+
+def _requests(spark, sf_dir):
+    mt = model_table(spark, sf_dir).where(F.col("split") == "test")
+    return scoring.requests_from(mt)
+
+
+def _request_check(spark, sf_dir):
+    checked = scoring.check_requests(_requests(spark, sf_dir))
+    return checked.select("visit_id", "bill_id", F.concat_ws(";", "reasons").alias("reasons"),
+                          (F.size("reasons") == 0).alias("valid"))
+
+
+def _feature_hash(spark, sf_dir):
+    return _requests(spark, sf_dir).select("visit_id", "bill_id",
+                                           scoring.feature_hash().alias("feature_hash"))
+
+
+def _enrichment(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    rates = features.current_aggregates(t["patients"], t["visits"], t["billing"])
+    out = scoring.enrich_claims(_requests(spark, sf_dir), rates)
+    return out.select("visit_id", "bill_id", "provider_rejection_rate", "revenue_realization_rate_dept")
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -230,6 +325,16 @@ QUERIES: dict[str, QueryFn] = {
     "w02_retrain_triggers": _triggers,
     "w03_training_pull": _pull,
     "w04_promotion_gate": _gate,
+    "m02_target_distribution": _target_distribution,
+    "m05_class_weights": _class_weights,
+    "m06_risk_logistic_predictions": _risk_logistic,
+    "m07_risk_forest_predictions": _risk_forest,
+    "m08_claim_logistic_predictions": _claim_logistic,
+    "m09_claim_gbt_predictions": _claim_gbt,
+    "v06_feature_importances_risk_forest": _forest_importances,
+    "c01_claim_request_check": _request_check,
+    "c02_feature_hash": _feature_hash,
+    "c03_claim_enrichment": _enrichment,
 }
 QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
            for name, fn in QUERIES.items()}
@@ -241,3 +346,4 @@ ORACLES.update(_F_SQL)
 ORACLES.update(_K_SQL)
 ORACLES.update(_V_SQL)
 ORACLES.update(_W_SQL)
+ORACLES.update(_M_SQL)
