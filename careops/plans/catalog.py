@@ -25,7 +25,9 @@ from careops.plans.oracle_features import F as _F_SQL
 from careops.plans.oracle_quality import Q as _Q_SQL
 from careops.sources import keys
 from careops.sources.fixtures import load_hospital
-from careops.session import cut_lineage
+from careops.session import cut_lineage, scratch_path
+from careops.sources import csv_ingest, layout
+from careops import schema as _schema
 from careops.sources.master import load_joined
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -273,6 +275,32 @@ def _enrichment(spark, sf_dir):
     return out.select("visit_id", "bill_id", "provider_rejection_rate", "revenue_realization_rate_dept")
 
 
+def _csv_roundtrip(spark, sf_dir):
+    """Visits written as CSV to a scratch folder and read back through the typed ingest."""
+    path = scratch_path(spark, "csv-visits")
+    csv_ingest.write_csv(_tables(spark, sf_dir)["visits"], path)
+    return csv_ingest.read_typed_csv(spark, path, _schema.VISITS)
+
+
+def _export_counts(spark, sf_dir):
+    """Model table exported partitioned by split, read back, rows per split."""
+    path = scratch_path(spark, "model-table")
+    layout.export_model_table(model_table(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def _reload_counts(spark, sf_dir):
+    """S3 + S5: tables rewritten parent first with the filter-friendly layout, rows read back."""
+    t = _tables(spark, sf_dir)
+    paths = layout.reload_tables(t, scratch_path(spark, "tables"))
+    out = None
+    for name in ("patients", "visits", "billing"):
+        part = spark.read.parquet(paths[name]).agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(name).alias("table_name"), "row_count")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -335,6 +363,9 @@ QUERIES: dict[str, QueryFn] = {
     "c01_claim_request_check": _request_check,
     "c02_feature_hash": _feature_hash,
     "c03_claim_enrichment": _enrichment,
+    "s01_csv_roundtrip_visits": _csv_roundtrip,
+    "s03_s05_reload_counts": _reload_counts,
+    "s07_model_table_export": _export_counts,
 }
 QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
            for name, fn in QUERIES.items()}

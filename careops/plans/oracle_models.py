@@ -67,3 +67,14 @@ SELECT req.visit_id, req.bill_id, COALESCE(prr.r, (SELECT gr FROM g)) AS provide
   COALESCE(drr.r, (SELECT gd FROM g)) AS revenue_realization_rate_dept
 FROM req LEFT JOIN prr ON req.insurance_provider = prr.insurance_provider
 LEFT JOIN drr ON req.department = drr.department""")
+
+M["s01_csv_roundtrip_visits"] = with_fixtures("", """
+SELECT visit_id, patient_id, visit_date, department, visit_type,
+  CAST(length_of_stay_hours AS DOUBLE) AS length_of_stay_hours, risk_score, doctor_id FROM visits""")
+
+M["s03_s05_reload_counts"] = with_fixtures("", """
+SELECT 'patients' AS table_name, COUNT(*) AS row_count FROM patients
+UNION ALL SELECT 'visits', COUNT(*) FROM visits UNION ALL SELECT 'billing', COUNT(*) FROM billing""")
+
+M["s07_model_table_export"] = with_fixtures(MODEL_TABLE_SQL, """
+SELECT split, COUNT(*) AS row_count FROM model_table GROUP BY split""")
