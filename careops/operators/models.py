@@ -68,12 +68,13 @@ def check_features(spec: FeatureSpec, include_chronic_flag: bool = False) -> lis
     return cols
 
 
-def model_input(df: DataFrame, spec: FeatureSpec, include_chronic_flag: bool = False) -> DataFrame:
+def model_input(df: DataFrame, spec: FeatureSpec, include_chronic_flag: bool = False,
+                passthrough: Sequence[str] = ()) -> DataFrame:
     """Numeric features as DOUBLE, categoricals as strings, label as DOUBLE (M1 rows only)."""
     check_features(spec, include_chronic_flag)
     nums = list(spec.numeric) + (["chronic_flag"] if include_chronic_flag else [])
     keep = [c for c in ("visit_id", "bill_id", "split", "billed_amount", "gender", "city",
-                        "insurance_provider", "visit_date") if c in df.columns]
+                        "insurance_provider", "visit_date", *passthrough) if c in df.columns]
     cols = {c: F.col(c) for c in keep}
     cols.update({c: F.col(c).cast("double") for c in nums})
     # a blank category stays its own category; ML attribute names cannot be empty

@@ -59,9 +59,14 @@ def check_requests(df: DataFrame, fields: Sequence[str] = CLAIM_FIELDS) -> DataF
     return df.withColumn("reasons", F.array_compact(F.array(*checks)))
 
 
+def request_json(fields: Sequence[str] = CLAIM_FIELDS):
+    """The raw request as key-sorted JSON text (Spark's canonical form: no spaces, UTF-8)."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(fields)]))
+
+
 def feature_hash(fields: Sequence[str] = CLAIM_FIELDS):
-    """SHA-256 hex of the key-sorted JSON of the raw request (Spark's canonical JSON)."""
-    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(fields)])), 256)
+    """SHA-256 hex of the key-sorted JSON of the raw request."""
+    return F.sha2(request_json(fields), 256)
 
 
 def enrich_claims(df: DataFrame, rates: Aggregates, max_rows: int = 1_000_000) -> DataFrame:

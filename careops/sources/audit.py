@@ -12,24 +12,30 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careops.operators.scoring import feature_hash
+from careops.operators.scoring import feature_hash, request_json
 
 AUDIT_COLUMNS = ["batch_id", "row_id", "endpoint", "timestamp", "input_data", "prediction",
                  "model_version", "feature_hash"]
 
 
-def audit_rows(scored: DataFrame, endpoint: str, fields: Sequence[str], batch_id: int,
+def audit_rows(scored: DataFrame, endpoint: str, batch_id: int, fields: Sequence[str] | None = None,
                prediction: str = "predicted_class", version: str = "model_version") -> DataFrame:
-    """S8 rows: id = (batch_id, row_id), time of scoring, raw input as JSON, hash of the input."""
+    """S8 rows: id = (batch_id, row_id), time of scoring, raw input as JSON, hash of the input.
+
+    The JSON and hash come from ``input_data`` / ``feature_hash`` columns made
+    before model preparation, or from ``fields`` when those are still present.
+    """
+    data = F.col("input_data") if fields is None else request_json(fields)
+    digest = F.col("feature_hash") if fields is None else feature_hash(fields)
     return scored.select(
         F.lit(batch_id).cast("long").alias("batch_id"),
         F.monotonically_increasing_id().alias("row_id"),
         F.lit(endpoint).alias("endpoint"),
         F.current_timestamp().alias("timestamp"),
-        F.to_json(F.struct(*[F.col(c) for c in sorted(fields)])).alias("input_data"),
+        data.alias("input_data"),
         F.col(prediction).alias("prediction"),
         F.col(version).alias("model_version"),
-        feature_hash(fields).alias("feature_hash"))
+        digest.alias("feature_hash"))
 
 
 def append_audit(rows: DataFrame, path: str) -> None:

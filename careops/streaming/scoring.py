@@ -29,12 +29,14 @@ def score_claim_batch(batch: DataFrame, batch_id: int, model, rates: Aggregates,
     checked = scoring.check_requests(batch).persist()
     valid = checked.where(F.size("reasons") == 0).drop("reasons")
     rejects = checked.where(F.size("reasons") > 0).withColumn("reasons", F.concat_ws(";", "reasons"))
-    enriched = scoring.enrich_claims(valid, rates)
-    scored = models.predictions(model, models.model_input(enriched, models.SPEC_B), models.SPEC_B, version)
-    scored = scored.withColumn("feature_hash", scoring.feature_hash()).persist()
+    raw = valid.withColumn("input_data", scoring.request_json()) \
+        .withColumn("feature_hash", scoring.feature_hash())
+    enriched = scoring.enrich_claims(raw, rates)
+    inputs = models.model_input(enriched, models.SPEC_B, passthrough=["input_data", "feature_hash"])
+    scored = models.predictions(model, inputs, models.SPEC_B, version).persist()
     _write(scored, f"{out_dir}/scored", batch_id)
     _write(rejects, f"{out_dir}/rejects", batch_id)
-    append_audit(audit_rows(scored, "/predict/claim", scoring.CLAIM_FIELDS, batch_id), f"{out_dir}/audit")
+    append_audit(audit_rows(scored, "/predict/claim", batch_id), f"{out_dir}/audit")
     scored.unpersist()
     checked.unpersist()
 
