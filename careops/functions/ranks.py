@@ -139,6 +139,13 @@ def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_B
     """
     if k <= 0:
         return None
+    if _few_distinct(df, keys):
+        # bounded: at most SINGLE_TASK_ROWS rows, ranked in one window partition
+        rn = F.row_number().over(Window.orderBy(*keys))
+        row = df.select(*keys).withColumn("_rn", rn).where(F.col("_rn") == k).first()
+        if row is None:
+            raise ValueError(f"rank {k} is beyond the number of rows")
+        return [row[c] for c in keys]
     chosen = []
     subset = df.select(*keys)
     r = k
@@ -150,6 +157,14 @@ def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_B
     return chosen
 
 
+def _few_distinct(df: DataFrame, cols: Sequence[str]) -> bool:
+    """One pass HyperLogLog probe: are there clearly fewer than SINGLE_TASK_ROWS distinct tuples?"""
+    if SINGLE_TASK_ROWS <= 0:
+        return False
+    est = df.agg(F.approx_count_distinct(F.struct(*[F.col(c) for c in cols]), 0.02)).first()[0]
+    return est <= SINGLE_TASK_ROWS // 2
+
+
 def lex_leq(cols: Sequence[Column], bound: Sequence) -> Column:
     """Lexicographic ``(c1, c2, ...) <= (b1, b2, ...)`` as a row predicate."""
     cond = None
@@ -173,6 +188,15 @@ def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
     group_cols = user_groups or ["_g"]
     src = df.select(*[F.col(c) for c in user_groups] or [F.lit(0).alias("_g")],
                     F.col(value).cast("double").alias("_v"))
+    if _few_distinct(src, [*group_cols, "_v"]):
+        # bounded number of distinct values: Spark's exact percentile (value -> count map per
+        # group, partial-aggregated map-side) uses the same linear interpolation
+        probs = [float(p) for p in probs]
+        agg = src.where(F.col("_v").isNotNull()).groupBy(*group_cols).agg(
+            F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+        out = agg.select(*group_cols, F.posexplode("_q").alias("_i", "value"))
+        return out.select(*user_groups, F.element_at(F.array(*[F.lit(p) for p in probs]),
+                                                     F.col("_i") + 1).alias("p"), "value")
     cum = cumulative_counts(src, "_v", None, group_cols, buckets)
     sizes = cum.groupBy(*group_cols).agg(F.sum("n").alias("_size"))
     targets = sizes.select(*group_cols, "_size", F.explode(F.array(*[
