@@ -301,6 +301,21 @@ def _reload_counts(spark, sf_dir):
     return out
 
 
+def _audit_tail(spark, sf_dir):
+    """S8 + S9: rule-scored claim requests appended to the audit trail, then its last 10 rows."""
+    from careops.sources import audit
+    ev = model_table(spark, sf_dir).where(F.col("split") == "test")
+    scored = evaluation.rule_baseline(ev).withColumn(
+        "predicted_class", F.element_at(F.array(*[F.lit(c) for c in S.CLAIM_CLASSES]), F.col("claim_pred") + 1)
+    ).withColumn("model_version", F.lit("rule-baseline"))
+    req = scoring.requests_from(scored, scoring.CLAIM_FIELDS, ["predicted_class", "model_version"])
+    path = scratch_path(spark, "audit")
+    audit.append_audit(audit.audit_rows(req, "/predict/claim", 0, scoring.CLAIM_FIELDS), path)
+    tail = audit.audit_tail(spark, path, scoring.CLAIM_REQUEST)
+    return tail.select("batch_id", "endpoint", "prediction", "model_version", "feature_hash",
+                       F.col("input.age").alias("age"), F.col("input.billed_amount").alias("billed_amount"))
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -366,6 +381,7 @@ QUERIES: dict[str, QueryFn] = {
     "s01_csv_roundtrip_visits": _csv_roundtrip,
     "s03_s05_reload_counts": _reload_counts,
     "s07_model_table_export": _export_counts,
+    "s08_s09_audit_tail": _audit_tail,
 }
 QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
            for name, fn in QUERIES.items()}

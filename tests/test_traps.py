@@ -196,3 +196,12 @@ def test_csv_ingest_bad_cells(spark, tmp_dir):
     assert rows[2].length_of_stay_hours is None and rows[2].risk_score is None and rows[2].doctor_id is None
     assert rows[3].visit_date is None and rows[3].length_of_stay_hours is None and rows[3].doctor_id == 4
     assert rows[4].length_of_stay_hours == D("1.25") and rows[4].risk_score is None
+
+
+def test_drift_report_sink_round_trip(spark, tmp_dir):
+    from careops.sources import layout
+    df = spark.createDataFrame([(float(i % 11), str(i % 3)) for i in range(200)], "age double, department string")
+    rep = drift.drift_report(df, df, ["age"], ["department"])
+    layout.write_drift_report(rep, f"{tmp_dir}/drift")
+    back = spark.read.schema(drift.REPORT_SCHEMA).option("header", True).csv(f"{tmp_dir}/drift")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rep.collect()), key=str)
