@@ -129,7 +129,15 @@ def locate_rank(df: DataFrame, value: str, rank: int, buckets: int = DEFAULT_BUC
     return row[0], int(row[1]), int(row[2])
 
 
-def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_BUCKETS) -> list | None:
+def count_and_probe(df: DataFrame, cols: Sequence[str]) -> tuple[int, bool]:
+    """Row count and the HyperLogLog "few distinct tuples" probe in one pass."""
+    row = df.agg(F.count(F.lit(1)),
+                 F.approx_count_distinct(F.struct(*[F.col(c) for c in cols]), 0.02)).first()
+    return int(row[0]), SINGLE_TASK_ROWS > 0 and row[1] <= SINGLE_TASK_ROWS // 2
+
+
+def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_BUCKETS,
+            few: bool | None = None) -> list | None:
     """The k-th smallest key tuple (lexicographic over ``keys``, none of them NULL).
 
     Narrows one key column at a time: the value of the first column holding
@@ -139,7 +147,7 @@ def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_B
     """
     if k <= 0:
         return None
-    if _few_distinct(df, keys):
+    if few if few is not None else _few_distinct(df, keys):
         # bounded: at most SINGLE_TASK_ROWS rows, ranked in one window partition
         rn = F.row_number().over(Window.orderBy(*keys))
         row = df.select(*keys).withColumn("_rn", rn).where(F.col("_rn") == k).first()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from careops import schema as S
 from careops.functions.joins import join_small
-from careops.functions.ranks import kth_key, lex_leq
+from careops.functions.ranks import count_and_probe, kth_key, lex_leq
 
 MAX_RATE_ROWS = 1_000_000
 _NULL_DATE_KEY = 2_147_483_647          # NULL visit dates sort last
@@ -41,9 +41,9 @@ def time_split(master: DataFrame, train_num: int = 4, train_den: int = 5,
     """add ``split`` ('train' / 'test'); train = first floor(n*num/den) rows by key."""
     keyed = master.select(*[k.alias(f"_k{i}") for i, k in enumerate(split_keys(master))]) \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    n = keyed.count()
+    n, few = count_and_probe(keyed, ["_k0", "_k1", "_k2"])
     k = n * train_num // train_den
-    bound = kth_key(keyed, ["_k0", "_k1", "_k2"], k, buckets)
+    bound = kth_key(keyed, ["_k0", "_k1", "_k2"], k, buckets, few=few)
     keyed.unpersist()
     if bound is None:
         return master.withColumn("split", F.lit("test"))
