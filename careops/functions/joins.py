@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +20,12 @@ def join_small(large: DataFrame, small: DataFrame, on: Column | str | list, how:
 
     Beyond the bound the join is left to the planner (sort-merge with AQE,
     which may still convert it at runtime from the real shuffle sizes).
-    The check runs the small side once (a limit-bounded count); callers pass
-    small sides that are cheap to recompute (aggregates over checkpointed or
-    scanned data).
+    The small side is persisted before the limit-bounded count, so the check
+    does not cost a second computation of it (it is usually an aggregate over
+    the whole input); a side over the bound is released again.
     """
+    small = small.persist(StorageLevel.MEMORY_AND_DISK)
     if is_small(small, max_rows):
         return large.join(F.broadcast(small), on, how)
+    small.unpersist()
     return large.join(small, on, how)
