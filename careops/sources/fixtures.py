@@ -58,10 +58,15 @@ def visits_from(orders: DataFrame) -> DataFrame:
 
 def billing_from(lineitem: DataFrame) -> DataFrame:
     # One bill per order: a hash aggregate on l_orderkey with map-side partial sums.
+    # The money sums are exact sums of unscaled longs (cents, and cents x hundredths),
+    # turned back into decimals once per order -- the same values as summing the
+    # DECIMAL(10,2) / DECIMAL(16,4) products, without wide-decimal arithmetic per row.
+    cents = "CAST(CAST(l_extendedprice AS DECIMAL(10,2)) * 100 AS BIGINT)"
+    keep = "CAST((1 - CAST(l_discount AS DECIMAL(4,2))) * 100 AS BIGINT)"
     per_order = lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.expr("CAST(SUM(CAST(l_extendedprice AS DECIMAL(10,2))) AS DECIMAL(10,2))").alias("billed"),
-        F.expr("CAST(SUM(CAST(l_extendedprice AS DECIMAL(10,2)) * "
-               "(1 - CAST(l_discount AS DECIMAL(4,2)))) AS DECIMAL(10,2))").alias("approved"),
+        F.expr(f"CAST(CAST(SUM({cents}) AS DECIMAL(20,0)) / 100 AS DECIMAL(10,2))").alias("billed"),
+        F.expr(f"CAST(CAST(SUM({cents} * {keep}) AS DECIMAL(20,0)) / 10000 AS DECIMAL(10,2))")
+        .alias("approved"),
         F.expr("CASE WHEN SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) * 2 > COUNT(*) "
                "THEN 'Rejected' WHEN SUM(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) * 2 "
                "> COUNT(*) THEN 'Pending' ELSE 'Paid' END").alias("status"),
