@@ -64,22 +64,34 @@ def enforce_keys(patients: DataFrame, visits: DataFrame, billing: DataFrame) ->
                        v_rej.select(visits.columns), b_rej.select(billing.columns))
 
 
+def _contract_row(name: str, staged: DataFrame, key: str, parent_keys: DataFrame | None = None,
+                  fk: str | None = None) -> DataFrame:
+    """One pass: copies per key (partial-aggregated), then parent lookup, then the three counts."""
+    if fk is None:
+        per_key = staged.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"))
+        ok = F.lit(True)
+    else:
+        # the kept row per key decides the FK check; a NULL foreign key is allowed
+        per_key = staged.groupBy(key).agg(F.count(F.lit(1)).alias("_copies"),
+                                          F.min(F.struct(*[c for c in staged.columns if c != key]))
+                                          .getField(fk).alias("_fk"))
+        parents = parent_keys.select(F.col(fk).alias("_fk"), F.lit(True).alias("_found")).distinct()
+        per_key = per_key.join(parents, "_fk", "left")
+        ok = F.col("_fk").isNull() | F.col("_found").isNotNull()
+    agg = per_key.agg(F.sum("_copies").alias("staged_rows"), F.count(F.lit(1)).alias("_pk"),
+                      F.count_if(ok).alias("accepted_rows"))
+    return agg.select(F.lit(name).alias("table_name"), F.coalesce("staged_rows", F.lit(0)).alias("staged_rows"),
+                      "accepted_rows", (F.coalesce("staged_rows", F.lit(0)) - F.col("_pk")).alias("rejected_pk"),
+                      (F.col("_pk") - F.col("accepted_rows")).alias("rejected_fk"))
+
+
 def key_contract_report(staging_patients: DataFrame, visits: DataFrame,
                         billing: DataFrame) -> DataFrame:
-    """S2 summary: per table staged rows, accepted rows, PK and FK rejects."""
+    """S2 summary: per table staged rows, accepted rows, PK and FK rejects (one pass per table)."""
     kt = enforce_keys(staging_patients, visits, billing)
-
-    def row(name, staged, pk_kept, accepted):
-        # one aggregate row, the other counts as uncorrelated scalar subqueries
-        k = pk_kept.agg(F.count(F.lit(1))).scalar()
-        a = accepted.agg(F.count(F.lit(1))).scalar()
-        return staged.agg(F.count(F.lit(1)).alias("staged_rows")).select(
-            F.lit(name).alias("table_name"), "staged_rows", a.alias("accepted_rows"),
-            (F.col("staged_rows") - k).alias("rejected_pk"), (k - a).alias("rejected_fk"))
-
-    return (row("patients", staging_patients, kt.patients, kt.patients)
-            .unionByName(row("visits", visits, dedupe_primary_key(visits, "visit_id"), kt.visits))
-            .unionByName(row("billing", billing, dedupe_primary_key(billing, "bill_id"), kt.billing)))
+    return (_contract_row("patients", staging_patients, "patient_id")
+            .unionByName(_contract_row("visits", visits, "visit_id", kt.patients, "patient_id"))
+            .unionByName(_contract_row("billing", billing, "bill_id", kt.visits, "visit_id")))
 
 
 def cascade_delete(patients: DataFrame, visits: DataFrame, billing: DataFrame,
@@ -96,13 +108,18 @@ def cascade_delete(patients: DataFrame, visits: DataFrame, billing: DataFrame,
 def cascade_report(patients: DataFrame, visits: DataFrame, billing: DataFrame,
                    patient_ids: DataFrame) -> DataFrame:
     """Rows before / after a cascade delete, per table."""
-    p2, v2, b2 = cascade_delete(patients, visits, billing, patient_ids)
-
-    def row(name, before, after):
-        a_ = after.agg(F.count(F.lit(1))).scalar()
-        return before.agg(F.count(F.lit(1)).alias("rows_before")).select(
-            F.lit(name).alias("table_name"), "rows_before", a_.alias("rows_after"),
-            (F.col("rows_before") - a_).alias("rows_deleted"))
-
-    return row("patients", patients, p2).unionByName(row("visits", visits, v2)).unionByName(
-        row("billing", billing, b2))
+    ids = patient_ids.select("patient_id").distinct().withColumn("_dead", F.lit(True))
+    dead_visits = visits.join(ids, "patient_id", "left_semi").select("visit_id").distinct() \
+        .withColumn("_dead", F.lit(True))
+
+    def row(name, before, marks, key):
+        tagged = before.join(marks, key, "left")
+        agg = tagged.agg(F.count(F.lit(1)).alias("rows_before"),
+                         F.count_if(F.col("_dead").isNull()).alias("rows_after"))
+        return agg.select(F.lit(name).alias("table_name"), "rows_before", "rows_after",
+                          (F.col("rows_before") - F.col("rows_after")).alias("rows_deleted"))
+
+    # one tagging pass per table (same rows as cascade_delete keeps)
+    return (row("patients", patients, ids, "patient_id")
+            .unionByName(row("visits", visits, ids, "patient_id"))
+            .unionByName(row("billing", billing, dead_visits, "visit_id")))
