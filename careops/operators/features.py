@@ -199,3 +199,22 @@ def aggregates_long(aggs: Aggregates) -> DataFrame:
             .unionByName(g.select(F.lit("global_realization").alias("kind"),
                                   F.lit(None).cast("string").alias("key"),
                                   F.col("global_realization").alias("rate"))))
+
+
+def causal_visit_frequency(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """F8 option ``causal``: per row, the patient's rows on or before its visit date (within ``by``).
+
+    The default F8 counts every row of the patient in the frame, future ones
+    included; this variant only looks back.  It uses distributed cumulative
+    counts grouped by (frame, patient) over visit dates, so a patient with a
+    huge history is spread over date buckets instead of one window task.
+    """
+    from careops.functions.ranks import cumulative_counts
+    by = list(by or [])
+    keyed = df.where(F.col("patient_id").isNotNull() & F.col("visit_date").isNotNull()) \
+        .select(*by, "patient_id", F.unix_date("visit_date").alias("_day"),
+                F.when(F.col("visit_id").isNotNull(), 1).otherwise(0).alias("_has_visit"))
+    cum = cumulative_counts(keyed, "_day", {"_n": F.col("_has_visit")}, [*by, "patient_id"])
+    per_day = cum.select(*by, "patient_id", "_day", F.col("cum__n").alias("visit_frequency_causal"))
+    return df.withColumn("_day", F.unix_date("visit_date")).join(
+        per_day, [*by, "patient_id", "_day"], "left").drop("_day")

@@ -27,7 +27,6 @@ from careops.sources import keys
 from careops.sources.fixtures import load_hospital
 from careops.session import cut_lineage, scratch_path
 from careops.sources import csv_ingest, layout
-from careops import schema as _schema
 from careops.sources.master import load_joined
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -279,7 +278,7 @@ def _csv_roundtrip(spark, sf_dir):
     """Visits written as CSV to a scratch folder and read back through the typed ingest."""
     path = scratch_path(spark, "csv-visits")
     csv_ingest.write_csv(_tables(spark, sf_dir)["visits"], path)
-    return csv_ingest.read_typed_csv(spark, path, _schema.VISITS)
+    return csv_ingest.read_typed_csv(spark, path, S.VISITS)
 
 
 def _export_counts(spark, sf_dir):
@@ -354,6 +353,8 @@ QUERIES: dict[str, QueryFn] = {
     "f01_time_split": _split,
     "f02_f05_train_aggregates": _train_aggs,
     "f06_f12_model_table": model_table,
+    "f08_causal_visit_frequency": lambda spark, sf_dir: features.causal_visit_frequency(
+        _master(spark, sf_dir)).select("visit_id", "bill_id", "visit_frequency_causal"),
     "f11_frame_rates": _frame_rates,
     "f13_current_aggregates": _current_aggs,
     "k05_drift_report": _drift,

@@ -69,3 +69,18 @@ def test_ks_bounded_and_symmetric(spark, a, b):
     d1 = ranks.ks_statistic(da, db, "v").first().d
     d2 = ranks.ks_statistic(db, da, "v").first().d
     assert 0.0 <= d1 <= 1.0 and abs(d1 - d2) < 1e-12
+
+
+def test_causal_visit_frequency_matches_brute_force(spark, hospital, monkeypatch):
+    m = load_joined(hospital["patients"], hospital["visits"], hospital["billing"])
+    rows = m.select("visit_id", "bill_id", "patient_id", "visit_date").collect()
+    want = {}
+    for r in rows:
+        want[(r.visit_id, r.bill_id)] = sum(1 for o in rows if o.patient_id == r.patient_id
+                                            and o.visit_date <= r.visit_date)
+    for single in (True, False):
+        if not single:
+            monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
+        got = {(r.visit_id, r.bill_id): r.visit_frequency_causal
+               for r in features.causal_visit_frequency(m).collect()}
+        assert got == want
