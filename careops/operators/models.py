@@ -10,8 +10,8 @@ same default.
 Model B's boosted trees are three binary ``GBTClassifier`` models (one per
 class) whose positive-class probabilities are normalized to sum to 1 --
 Spark's GBT is binary only and ``OneVsRest`` produces no probabilities.
-Cross-validation folds are a hash of the row keys (deterministic, no
-window over a class), so a large class is never gathered in one task.
+Cross-validation folds are stratified by ranking rows inside their class
+with distributed cumulative counts (no window over a whole class).
 """
 
 from __future__ import annotations
@@ -110,9 +110,22 @@ def balanced_weights(df: DataFrame, label: str, weight_col: str = "class_weight"
 
 
 def with_folds(df: DataFrame, keys: Sequence[str] = ("visit_id", "bill_id"), folds: int = CV_FOLDS,
-               fold_col: str = "fold") -> DataFrame:
-    """Deterministic folds from a hash of the row keys (no window, no collect)."""
-    return df.withColumn(fold_col, F.pmod(F.xxhash64(*keys), F.lit(folds)).cast("int"))
+               fold_col: str = "fold", label: str | None = None) -> DataFrame:
+    """Deterministic folds.
+
+    With ``label`` the folds are stratified: rows are ranked inside their
+    class by a hash of the row keys (distributed cumulative counts grouped by
+    class, so a large class is spread over range buckets, never one task) and
+    fold = rank mod ``folds`` -- every fold holds each class's rows to within
+    one.  Without ``label``: fold = hash mod ``folds``.
+    """
+    if label is None:
+        return df.withColumn(fold_col, F.pmod(F.xxhash64(*keys), F.lit(folds)).cast("int"))
+    from careops.functions.ranks import cumulative_counts
+    hashed = df.withColumn("_h", F.xxhash64(*keys))
+    cum = cumulative_counts(hashed.select(label, "_h"), "_h", None, [label])
+    ranks = cum.select(label, "_h", F.pmod(F.col("cum_n") - 1, F.lit(folds)).cast("int").alias(fold_col))
+    return hashed.join(ranks, [label, "_h"], "left").drop("_h")
 
 
 def logistic(spec: FeatureSpec, n_train: int, weighted: bool = False,
@@ -145,7 +158,7 @@ def cross_validate(pipeline: Pipeline, stage, values: dict, train: DataFrame, la
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid(stage, values), evaluator=ev,
                         numFolds=CV_FOLDS, foldCol="fold", parallelism=parallelism, seed=42)
-    return cv.fit(with_folds(train)).bestModel
+    return cv.fit(with_folds(train, label=label)).bestModel
 
 
 @dataclass
@@ -218,7 +231,7 @@ def fit_ovr_gbt(train: DataFrame, spec: FeatureSpec, max_iter: int = 50, max_dep
 def search_ovr_gbt(train: DataFrame, spec: FeatureSpec, values: dict | None = None) -> OneVsRestGBTModel:
     """M9 + M10: grid over (maxIter, maxDepth, stepSize) with hash folds; best refit on all train."""
     values = values or GBT_GRID
-    folded = with_folds(train)
+    folded = with_folds(train, label=spec.label)
     best, best_acc = None, -1.0
     names = list(values)
     for combo in itertools.product(*[values[n] for n in names]):

@@ -84,3 +84,30 @@ def test_causal_visit_frequency_matches_brute_force(spark, hospital, monkeypatch
         got = {(r.visit_id, r.bill_id): r.visit_frequency_causal
                for r in features.causal_visit_frequency(m).collect()}
         assert got == want
+
+
+def test_stratified_folds_balance_each_class(spark, hospital, monkeypatch):
+    from careops.operators import models
+    m = load_joined(hospital["patients"], hospital["visits"], hospital["billing"]).where("claim_status IS NOT NULL")
+    for single in (True, False):
+        if not single:
+            monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
+        f = models.with_folds(m, label="claim_status")
+        counts = {(r.claim_status, r.fold): r["count"] for r in f.groupBy("claim_status", "fold").count().collect()}
+        for c in {k[0] for k in counts}:
+            sizes = [counts.get((c, i), 0) for i in range(3)]
+            assert max(sizes) - min(sizes) <= 1, (c, sizes)
+        assert f.count() == m.count()
+
+
+def test_ks_large_path_windows_are_partitioned(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
+    df = spark.createDataFrame([(float(i % 97),) for i in range(2000)], "v double")
+    cum = ranks.cumulative_counts(df, "v", None, (), buckets=8)
+    p = cum._jdf.queryExecution().executedPlan().toString()
+    window_lines = [line for line in p.splitlines() if "Window [" in line]
+    main = [line for line in window_lines if "sum(n#" in line]
+    # the running sums over the per-value rows are partitioned by range bucket
+    assert main and all("], [_bucket#" in line for line in main)
+    # the only other window runs over the bucket totals (at most `buckets` rows)
+    assert all("_t_n" in line for line in window_lines if line not in main)
