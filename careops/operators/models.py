@@ -22,6 +22,7 @@ import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -158,7 +159,10 @@ def cross_validate(pipeline: Pipeline, stage, values: dict, train: DataFrame, la
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid(stage, values), evaluator=ev,
                         numFolds=CV_FOLDS, foldCol="fold", parallelism=parallelism, seed=42)
-    return cv.fit(with_folds(train, label=label)).bestModel
+    folded = with_folds(train, label=label).persist(StorageLevel.MEMORY_AND_DISK)
+    best = cv.fit(folded).bestModel
+    folded.unpersist()
+    return best
 
 
 @dataclass
@@ -231,7 +235,8 @@ def fit_ovr_gbt(train: DataFrame, spec: FeatureSpec, max_iter: int = 50, max_dep
 def search_ovr_gbt(train: DataFrame, spec: FeatureSpec, values: dict | None = None) -> OneVsRestGBTModel:
     """M9 + M10: grid over (maxIter, maxDepth, stepSize) with hash folds; best refit on all train."""
     values = values or GBT_GRID
-    folded = with_folds(train, label=spec.label)
+    # every (grid point, fold) fit reads the folded rows: materialize them once
+    folded = with_folds(train, label=spec.label).persist(StorageLevel.MEMORY_AND_DISK)
     best, best_acc = None, -1.0
     names = list(values)
     for combo in itertools.product(*[values[n] for n in names]):
@@ -245,6 +250,7 @@ def search_ovr_gbt(train: DataFrame, spec: FeatureSpec, values: dict | None = No
         acc = sum(accs) / len(accs)
         if acc > best_acc:
             best, best_acc = p, acc
+    folded.unpersist()
     return fit_ovr_gbt(train, spec, best["maxIter"], best["maxDepth"], best["stepSize"])
 
 
