@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from careops import schema as S
 from careops.operators.quality import RULES, _RULE_EXPR
@@ -22,8 +23,15 @@ from careops.operators.quality import RULES, _RULE_EXPR
 
 def weekly_metrics(scored: DataFrame, ts: str, actual: str, pred: str, positive: int = 2,
                    window: str = "7 days") -> DataFrame:
-    """Per event-time window: volume, accuracy, recall of the positive class."""
-    w = F.window(F.col(ts).cast("timestamp"), window)
+    """Per event-time window: volume, accuracy, recall of the positive class.
+
+    Dates become wall-clock timestamps (TIMESTAMP_NTZ), so the epoch-aligned
+    windows do not move with the session time zone.
+    """
+    col = F.col(ts)
+    if isinstance(scored.schema[ts].dataType, T.DateType):
+        col = col.cast("timestamp_ntz")
+    w = F.window(col, window)
     agg = scored.groupBy(w.alias("w")).agg(
         F.count(F.lit(1)).alias("volume"),
         F.count_if(F.col(actual) == F.col(pred)).alias("_hits"),
