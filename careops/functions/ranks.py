@@ -19,7 +19,6 @@ and the two-sample Kolmogorov-Smirnov statistic all read off that table.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -269,6 +268,3 @@ def ks_statistic(ref: DataFrame, prod: DataFrame, value: str,
     return cum.agg(F.max(gap).alias("d")).select(
         F.coalesce("d", F.lit(0.0)).alias("d"), n_ref.alias("n_ref"), n_prod.alias("n_prod"))
 
-
-def is_finite(x) -> bool:
-    return x is not None and not (isinstance(x, float) and (math.isnan(x) or math.isinf(x)))

@@ -170,6 +170,9 @@ def test_confusion_and_report_edge_cases(spark):
     norm = {r.actual: r.pred_High for r in evaluation.confusion_matrix(df, "a", "p", S.RISK_CLASSES,
                                                                         True).collect()}
     assert norm["High"] is None
+    rec = df.select(evaluation.class_recall(df, "a", "p", 1).alias("r"),
+                    evaluation.class_recall(df, "a", "p", 2).alias("none")).first()
+    assert rec.r == 2 / 3 and rec.none is None
     rep = {r.label: r for r in evaluation.classification_report(df, "a", "p", S.RISK_CLASSES).collect()}
     assert rep["accuracy"].f1_score == round(5 / 7, 6) and rep["accuracy"].support == 7
     assert "High" not in rep
