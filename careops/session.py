@@ -30,7 +30,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("CAREOPS_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("CAREOPS_DRIVER_MEMORY", _default_driver_memory()))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -38,6 +38,16 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _default_driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: 60% of physical memory, at most 16g."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal:"))
+        return f"{max(1, min(16, int(kb / 1024 / 1024 * 0.6)))}g"
+    except (OSError, StopIteration, ValueError):
+        return "4g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the cluster; set a local one only if unset."""
     sc = spark.sparkContext
