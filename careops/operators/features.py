@@ -98,13 +98,16 @@ def current_aggregates(patients: DataFrame, visits: DataFrame, billing: DataFram
     per_patient = vb.groupBy("patient_id").agg(
         F.count("bill_id").alias("_tot"),
         F.sum(F.when(F.col("claim_status") == "Rejected", 1).otherwise(0)).alias("_rej"))
+    # the per-group tables feed both the rates and the globals: computed once, kept (small)
     prov_counts = (patients.select("patient_id", "insurance_provider").join(per_patient, "patient_id")
                    .groupBy("insurance_provider")
-                   .agg(F.sum("_tot").alias("_tot"), F.sum("_rej").alias("_rej")))
+                   .agg(F.sum("_tot").alias("_tot"), F.sum("_rej").alias("_rej"))
+                   .persist(StorageLevel.MEMORY_AND_DISK))
     prov = prov_counts.select("insurance_provider",
                               _safe_div(F.col("_rej"), F.col("_tot")).alias("provider_rejection_rate"))
     dept_sums = vb.groupBy("department").agg(F.sum("billed_amount").alias("_b"),
-                                             F.sum("approved_amount").alias("_a"))
+                                             F.sum("approved_amount").alias("_a")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     dept = dept_sums.select("department", (F.col("_a").cast("double") / F.when(
         F.col("_b") == 0, F.lit(1)).otherwise(F.col("_b")).cast("double"))
         .alias("revenue_realization_rate_dept"))
