@@ -19,50 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.llm.common import byte_table, mix64, word_edges
+from careops.llm.common import Words, cover, window_hashes, word_hashes
 
 BATCH_CHARS = 8_000_000
 BUCKET_WINDOWS = 4_000_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)     # odd: has an inverse modulo 2**64
-_WORD_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
-_BYTES = byte_table(20)
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """A 64-bit polynomial hash of each word's bytes (with its length), from prefix sums modulo 2**64."""
-    out = np.empty(len(starts), dtype=np.uint64)
-    inverse = np.uint64(pow(int(_BASE), -1, 2 ** 64))
-    i = 0
-    while i < len(starts):  # whole words in blocks, so that the temporary arrays stay small
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + block, side="right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTES[data[lo:hi]] * _powers(_BASE, hi - lo), out=sums[1:])
-        a, b = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[b] - sums[a]) * _powers(inverse, hi - lo + 1)[a] + (b - a).astype(np.uint64)
-        i = j
-    return mix64(out)
-
-
-def window_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """Rabin-Karp hash of each run of ``window`` word hashes (modulo 2**64, then scrambled)."""
-    n = len(words) - window + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(window):  # Horner's rule for all windows at once
-        out *= _WORD_BASE
-        out += words[k:k + n]
-    return mix64(out)
-
-
 class _Batch:
     """The texts of one batch in doc_id order (nulls last) with their words and window hashes."""
 
@@ -73,19 +34,10 @@ class _Batch:
         self.table = table
         ranks = pc.rank(table.column("doc_id"), "ascending", null_placement="at_end", tiebreaker="dense").to_numpy().astype(np.int64)
         self.texts = table.column("text").to_pylist()
-        raw = [t.encode() if t else b"" for t in self.texts]
-        self.data = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        self.base = np.concatenate(([0], np.cumsum(sizes + 1)))[:len(raw)]
-        del raw
-        self.starts, self.ends = word_edges(self.data)
-        self.first = np.searchsorted(self.starts, self.base)      # each document's first word
-        self.last = np.append(self.first[1:], len(self.starts))
-        hashes = window_hashes(word_hashes(self.data, self.starts, self.ends), window)
-        doc = np.repeat(np.arange(len(self.texts)), self.last - self.first)
-        whole = doc[:len(hashes)] == doc[window - 1:] if len(hashes) else np.empty(0, bool)
-        self.at = np.flatnonzero(whole)                           # first word of each window
-        doc = doc[self.at]
+        self.words = w = Words(self.texts)
+        hashes = window_hashes(word_hashes(w.data, w.starts, w.ends), window)
+        self.at = w.windows(hashes, window)                       # first word of each window
+        doc = w.doc[self.at]
         self.values, self.which = np.unique(hashes[self.at], return_inverse=True)
         rank = ranks[doc]
         least = np.full(len(self.values), np.iinfo(np.int64).max)
@@ -105,12 +57,6 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(turns[::2].tolist(), turns[1::2].tolist()))
 
 
-def _cover(at: np.ndarray, words: int, window: int) -> np.ndarray:
-    """Mask of the words that lie in a window starting at one of ``at``."""
-    steps = np.bincount(at, minlength=words + 1)[:words + 1] - np.bincount(at + window, minlength=words + 1)[:words + 1]
-    return np.cumsum(steps)[:words] > 0
-
-
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
                    batch_chars: int = BATCH_CHARS, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """Remove each word covered by a ``window``-word window that also starts in a document with a smaller id.
@@ -174,19 +120,20 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         for bucket, marks in zip(right.column("bucket").to_pylist(), right.column("marks").to_pylist()):
             lo, hi = cut[bucket], cut[bucket + 1]
             earlier[lo:hi] = np.unpackbits(np.frombuffer(marks, np.uint8), count=hi - lo).astype(bool)
-        gone = _cover(b.at[b.later | earlier[b.which]], len(b.starts), window)
+        w = b.words
+        gone = cover(b.at[b.later | earlier[b.which]], len(w.starts), window)
         spans, texts = [], []
-        for i, (lo, hi) in enumerate(zip(b.first.tolist(), b.last.tolist())):
+        for i, (lo, hi) in enumerate(zip(w.first.tolist(), w.last.tolist())):
             mask = gone[lo:hi]
             runs = _runs(mask) if mask.any() else []
             spans.append([{"start": s, "end": e} for s, e in runs])
             if not runs:
                 texts.append(b.texts[i])
                 continue
-            kept = [b.data[b.starts[lo + s]:b.ends[lo + e - 1]].tobytes() for s, e in _runs(~mask)]
+            kept = [w.joined[w.starts[lo + s]:w.ends[lo + e - 1]] for s, e in _runs(~mask)]
             texts.append(b" ".join(kept).decode())
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.table({"doc_id": b.table.column("doc_id"), "n_words": pa.array(b.last - b.first, pa.int64()),
+        return pa.table({"doc_id": b.table.column("doc_id"), "n_words": pa.array(w.n_words, pa.int64()),
                          "n_removed": pa.array([sum(s["end"] - s["start"] for s in x) for x in spans], pa.int64()),
                          "spans": pa.array(spans, span), "text": pa.array(texts, pa.string()),
                          **{c: b.table.column(c) for c in keep}})
