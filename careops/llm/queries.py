@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careops.llm import langid, mixing, packing, simhash, substring
-from careops.llm.common import SPACE_RE, read_table, remainder
+from careops.llm import html_text, langid, lm, mixing, packing, quality, simhash, substring, topk, warc
+from careops.llm.common import SPACE_RE, cut_lineage, read_table, remainder, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -26,6 +26,20 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(held, model, keep=("doc_id", "held_out"), spans=False)
 
 
+def op2_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.filter_quality(read_table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (html_text.extract(read_table(spark, sf_dir, "pages"))
+            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(read_table(spark, sf_dir, "embeddings"), scale=1024)
+    return topk.top_k(vectors, F.pmod("vec_id", F.lit(100)) == 0, k=10)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, bits=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +55,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False).drop("ids")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    rest = remainder(F.col("doc_id"), 7)
+    marked = docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(True)))
+    return lm.fit_and_score(marked, rest != 2, keep=("doc_id", "held_out"))
+
+
+def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    return (warc.resolve_revisits(cut_lineage(warc.read_archives(spark, path, with_payload=False)))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
@@ -48,8 +76,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
+    "op2_quality_cascade": op2_quality_cascade,
+    "op3_html_text": op3_html_text,
+    "op4_exact_topk": op4_exact_topk,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_warc_revisit": op9_warc_revisit,
     "op10_mix_sources": op10_mix_sources,
 }
