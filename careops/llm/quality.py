@@ -11,7 +11,6 @@ order changes the work, not the verdict.
 from __future__ import annotations
 
 import time
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -81,14 +80,9 @@ def few_distinct_words(t: Text) -> bool:
     return 20 * len(set(t.raw.split())) < t.n_words
 
 
-def compresses_too_well(t: Text) -> bool:
-    """zlib leaves less than 15 % of the bytes."""
-    return 100 * len(zlib.compress(t.raw, 1)) < 15 * len(t.raw)
-
-
 Rule = Callable[[Text], bool]
-RULES: tuple[Rule, ...] = (compresses_too_well, few_distinct_words, few_letters, many_symbols, mostly_capitals,
-                           odd_word_length, repeated_lines)
+RULES: tuple[Rule, ...] = (few_distinct_words, few_letters, many_symbols, mostly_capitals, odd_word_length,
+                           repeated_lines)
 
 
 def base_counts(texts: list[str | None]) -> tuple[Words, dict[str, np.ndarray]]:
