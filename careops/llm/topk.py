@@ -152,11 +152,11 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, slices: int = SLICES
                 q = lo + i
                 keep = ids != q_ids[q]
                 if cutoffs[q] is not None:
-                    share = (cutoffs[q] - sum(floors[q])) / m
+                    share = (cutoffs[q] - sum(floors[q])) // m  # rounded down: the thresholds may not exceed the cutoff
                     limits = [f + share for f in floors[q]]
                     sent = np.stack([s[i] >= t for s, t in zip(scores, limits)])
                     most = sum(np.where(on, s[i], t) for on, s, t in zip(sent, scores, limits))
-                    keep &= sent.any(axis=0) & (most >= cutoffs[q] - 1e-6 * abs(cutoffs[q]) - 1e-6)
+                    keep &= sent.any(axis=0) & (most >= cutoffs[q])
                 left_over = np.flatnonzero(keep)
                 exact = vectors_m[left_over] @ queries_m[q]
                 for at in _best(exact, ids[left_over], k):
