@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from careops.llm.common import cut_lineage
 from careops.llm.components import components
@@ -48,15 +49,19 @@ def text_fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per input row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, keep...): one row per input row; fp is the fingerprint as a signed long."""
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fp = np.fromiter((text_fingerprint(t.as_py(), shingle) for t in part.column(1)), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]],
+                                             names=["doc_id", "fp", *keep])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+    return table.mapInArrow(run, T.StructType(T.StructType.fromDDL("doc_id long, fp long").fields
+                                              + [table.schema[c] for c in keep]))
 
 
 def _signed(x: int) -> int:
@@ -105,19 +110,19 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Group documents whose fingerprints are linked, directly or through others, at ``bits`` or fewer bits.
 
-    Returns one row per input row: ``doc_id``, ``fp`` (signed long) and
-    ``component_id``, the smallest doc_id reachable (itself included).  Equal
-    fingerprints are one node of the link graph, so copies cost no pairs.
+    Returns one row per input row: ``doc_id``, ``fp`` (signed long),
+    ``component_id``, the smallest doc_id reachable (itself included), and the
+    ``keep`` columns.  Equal fingerprints are one node of the link graph, so copies cost no pairs.
 
     A null or wordless text has fingerprint zero and links like any other.
     Rows with a null id take part; a component whose ids are all null gets a
     null component_id.  Repeated rows each come out once.  An empty table
     gives an empty result; other columns of ``docs`` are not looked at.
     """
-    fps = cut_lineage(fingerprints(docs, shingle, id_col, text_col))
+    fps = cut_lineage(fingerprints(docs, shingle, id_col, text_col, keep))
     classes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(classes, bits), "a", "b")
     rooted = cut_lineage(classes.join(roots, F.col("fp") == F.col("node"), "left")
@@ -125,4 +130,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: st
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     labels = cut_lineage(rooted.select("fp", "root").join(cut_lineage(least), "root")
                          .select(F.col("fp").alias("class_fp"), "component_id"))
-    return fps.join(labels, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    return fps.join(labels, F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id", *keep)
