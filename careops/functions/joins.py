@@ -1,31 +1,20 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Null-safe equi-joins.
 
-from __future__ import annotations
-
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_BROADCAST_ROWS = 1_000_000
+Small sides are not broadcast by hand: the planner does it where its size
+estimate allows, and adaptive execution where the measured shuffle size does.
+"""
 
+from __future__ import annotations
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops counting at max_rows + 1."""
-    return df.limit(max_rows + 1).count() <= max_rows
+from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def join_small(large: DataFrame, small: DataFrame, on: Column | str | list, how: str = "inner",
-               max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only after checking it holds at most ``max_rows`` rows.
 
-    Beyond the bound the join is left to the planner (sort-merge with AQE,
-    which may still convert it at runtime from the real shuffle sizes).
-    The small side is persisted before the limit-bounded count, so the check
-    does not cost a second computation of it (it is usually an aggregate over
-    the whole input); a side over the bound is released again.
-    """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)
-    if is_small(small, max_rows):
-        return large.join(F.broadcast(small), on, how)
-    small.unpersist()
-    return large.join(small, on, how)
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match each other; the key columns come from ``left``."""
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    cond = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on])
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in on])

@@ -21,32 +21,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from careops.functions.joins import join_small
+from careops.functions.joins import null_safe_join
 from careops.session import cut_lineage
 
-DEFAULT_BUCKETS = 64
-MAX_GROUP_BUCKETS = 2_000_000
+# distinct values of one window partition; the number of buckets grows with the count
+ROWS_PER_BUCKET = 250_000
+_EDGE_ACCURACY = 10_000
 
 
-# Up to this many (group, distinct value) rows the running sums use one window
-# partition per group: a proven bound on what a single task holds.  Above it
-# the bucketed path spreads every group over ``buckets`` window partitions.
-SINGLE_TASK_ROWS = 2_000_000
-
-
-def _size_and_edges(distinct: DataFrame, value: str, buckets: int) -> tuple[int, list]:
-    """Row count of the per-value table and approximate bucket edges, in one pass."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        aggs.append(F.percentile_approx(value, probs, 10_000).alias("e"))
-    row = distinct.agg(*aggs).first()
-    edges = row["e"] if buckets > 1 and row["e"] is not None else []
-    return int(row["rows"]), sorted(set(e for e in edges if e is not None))
+def _edges(distinct: DataFrame, value: str, buckets: int) -> list:
+    """Approximate range edges of ``buckets`` equal shares of the per-value table."""
+    if buckets <= 1:
+        return []
+    probs = [i / buckets for i in range(1, buckets)]
+    got = distinct.agg(F.percentile_approx(value, probs, max(_EDGE_ACCURACY, 20 * buckets))).first()[0]
+    return sorted(set(got or []))
 
 
 def _search(value: Column, edges: list, strict: bool, lo: int, hi: int) -> Column:
@@ -66,77 +58,51 @@ def bucket_of(value: Column, edges: list, strict: bool = True) -> Column:
 
 
 def cumulative_counts(df: DataFrame, value: str, weights: dict[str, Column] | None = None,
-                      group_cols: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                      group_cols: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """Per (group, distinct non-NULL value): weight sums ``w`` and cumulative sums ``cum_w``.
 
     ``weights`` maps output names to per-row numeric columns (default: ``n`` = 1
-    per row).  Cumulative sums are within each group, in ascending value order.
-    On the large path the per-value table is checkpointed into the session's
-    checkpoint folder (reliable, survives executor loss) because the bucket
-    totals and the running sums both read it.
+    per row).  Cumulative sums are within each group, in ascending value order;
+    a NULL group is a group.  The per-value table is checkpointed (reliable,
+    survives executor loss) because the count, the bucket totals and the
+    running sums read it.  ``buckets`` defaults to one per ROWS_PER_BUCKET
+    rows of that table.
     """
-    return _cumulative(df, value, weights, group_cols, buckets)[0]
-
-
-def _cumulative(df, value, weights, group_cols, buckets):
     weights = weights or {"n": F.lit(1)}
-    names = list(weights)
-    group_cols = list(group_cols)
-    per_value = (df.where(F.col(value).isNotNull())
-                 .groupBy(*group_cols, value)
-                 .agg(*[F.sum(w).alias(n) for n, w in weights.items()])
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-    rows, edges = _size_and_edges(per_value, value, buckets)
-    if rows <= SINGLE_TASK_ROWS or not edges:
-        whole = Window.partitionBy(*group_cols).orderBy(value).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        cum = per_value.select(*group_cols, value, F.lit(0).alias("_bucket"), *names, *[
-            F.sum(n).over(whole).alias(f"cum_{n}") for n in names])
-        return cum, per_value
-    # large: the per-value table is read twice more -> checkpoint it (lineage cut, survives
-    # executor loss) and drop the cached copy
-    cached, per_value = per_value, cut_lineage(per_value)
-    cached.unpersist()
-    with_bucket = per_value.withColumn("_bucket", bucket_of(F.col(value), edges))
-    totals = with_bucket.groupBy(*group_cols, "_bucket").agg(*[F.sum(n).alias(f"_t_{n}") for n in names])
-    prior = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = totals.select(*group_cols, "_bucket", *[
-        F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in names])
-    # (group, bucket) rows: at most `buckets` when ungrouped, else checked before broadcasting.
-    joined = (with_bucket.join(F.broadcast(offsets), "_bucket") if not group_cols else
-              join_small(with_bucket, offsets, [*group_cols, "_bucket"], "inner",
-                         max_rows=MAX_GROUP_BUCKETS))
-    running = Window.partitionBy(*group_cols, "_bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    cum = joined.select(*group_cols, value, "_bucket", *names, *[
+    names, group_cols = list(weights), list(group_cols)
+    per_value = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*group_cols, value)
+                            .agg(*[F.sum(w).alias(n) for n, w in weights.items()]))
+    if buckets is None:
+        buckets = -(-per_value.count() // ROWS_PER_BUCKET)
+    edges = _edges(per_value, value, buckets)
+    keys = [*group_cols, "_bucket"]
+    rows = per_value.withColumn("_bucket", bucket_of(F.col(value), edges))
+    if edges:  # sums of the buckets before; with one bucket there are none
+        prior = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = rows.groupBy(*keys).agg(*[F.sum(n).alias(f"_t_{n}") for n in names]).select(
+            *keys, *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in names])
+        rows = null_safe_join(rows, offsets, keys)
+    else:
+        rows = rows.withColumns({f"_o_{n}": F.lit(0) for n in names})
+    running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(*group_cols, value, *names, *[
         (F.sum(n).over(running) + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in names])
-    return cum, per_value
 
 
-def locate_rank(df: DataFrame, value: str, rank: int, buckets: int = DEFAULT_BUCKETS):
+def locate_rank(df: DataFrame, value: str, rank: int, buckets: int | None = None):
     """The value holding 1-based ``rank`` in ascending order, and the rank within its ties.
 
     Returns ``(value, rank_within_value, ties)``.
     """
-    cum, cached = _cumulative(df, value, None, (), buckets)
-    row = cum.where((F.col("cum_n") - F.col("n") < rank) & (F.col("cum_n") >= rank)).select(
-        value, (F.lit(rank) - (F.col("cum_n") - F.col("n"))).alias("r"), "n").first()
-    cached.unpersist()
+    before = F.col("cum_n") - F.col("n")
+    row = (cumulative_counts(df, value, None, (), buckets).where((before < rank) & (F.col("cum_n") >= rank))
+           .select(value, (F.lit(rank) - before).alias("r"), "n").first())
     if row is None:
         raise ValueError(f"rank {rank} is beyond the number of rows")
     return row[0], int(row[1]), int(row[2])
 
 
-def count_and_probe(df: DataFrame, cols: Sequence[str]) -> tuple[int, bool]:
-    """Row count and the HyperLogLog "few distinct tuples" probe in one pass."""
-    row = df.agg(F.count(F.lit(1)),
-                 F.approx_count_distinct(F.struct(*[F.col(c) for c in cols]), 0.02)).first()
-    return int(row[0]), SINGLE_TASK_ROWS > 0 and row[1] <= SINGLE_TASK_ROWS // 2
-
-
-def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_BUCKETS,
-            few: bool | None = None) -> list | None:
+def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int | None = None) -> list | None:
     """The k-th smallest key tuple (lexicographic over ``keys``, none of them NULL).
 
     Narrows one key column at a time: the value of the first column holding
@@ -146,13 +112,6 @@ def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_B
     """
     if k <= 0:
         return None
-    if few if few is not None else _few_distinct(df, keys):
-        # bounded: at most SINGLE_TASK_ROWS rows, ranked in one window partition
-        rn = F.row_number().over(Window.orderBy(*keys))
-        row = df.select(*keys).withColumn("_rn", rn).where(F.col("_rn") == k).first()
-        if row is None:
-            raise ValueError(f"rank {k} is beyond the number of rows")
-        return [row[c] for c in keys]
     chosen = []
     subset = df.select(*keys)
     r = k
@@ -164,14 +123,6 @@ def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int = DEFAULT_B
     return chosen
 
 
-def _few_distinct(df: DataFrame, cols: Sequence[str]) -> bool:
-    """One pass HyperLogLog probe: are there clearly fewer than SINGLE_TASK_ROWS distinct tuples?"""
-    if SINGLE_TASK_ROWS <= 0:
-        return False
-    est = df.agg(F.approx_count_distinct(F.struct(*[F.col(c) for c in cols]), 0.02)).first()[0]
-    return est <= SINGLE_TASK_ROWS // 2
-
-
 def lex_leq(cols: Sequence[Column], bound: Sequence) -> Column:
     """Lexicographic ``(c1, c2, ...) <= (b1, b2, ...)`` as a row predicate."""
     cond = None
@@ -184,53 +135,44 @@ def lex_leq(cols: Sequence[Column], bound: Sequence) -> Column:
     return cond
 
 
-def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
-                      group_cols: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Linear-interpolated percentiles (numpy 'linear' / SQL quantile_cont), NULLs dropped.
+def percentiles_of(cum: DataFrame, value: str, probs: Sequence[float], group_cols: Sequence[str] = (),
+                   weight: str = "n") -> DataFrame:
+    """Linear-interpolated percentiles read off a :func:`cumulative_counts` table.
 
-    Output: group columns, ``p`` (the probability), ``value`` (DOUBLE).
+    Output: group columns, ``p`` (the probability), ``value`` (DOUBLE).  Values
+    of weight zero don't count.
     """
     user_groups = list(group_cols)
-    # a constant group when ungrouped: every join below stays an equi-join
-    group_cols = user_groups or ["_g"]
-    src = df.select(*[F.col(c) for c in user_groups] or [F.lit(0).alias("_g")],
-                    F.col(value).cast("double").alias("_v"))
-    if _few_distinct(src, [*group_cols, "_v"]):
-        # bounded number of distinct values: Spark's exact percentile (value -> count map per
-        # group, partial-aggregated map-side) uses the same linear interpolation
-        probs = [float(p) for p in probs]
-        agg = src.where(F.col("_v").isNotNull()).groupBy(*group_cols).agg(
-            F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        out = agg.select(*group_cols, F.posexplode("_q").alias("_i", "value"))
-        return out.select(*user_groups, F.element_at(F.array(*[F.lit(p) for p in probs]),
-                                                     F.col("_i") + 1).alias("p"), "value")
-    cum = cumulative_counts(src, "_v", None, group_cols, buckets)
-    sizes = cum.groupBy(*group_cols).agg(F.sum("n").alias("_size"))
-    targets = sizes.select(*group_cols, "_size", F.explode(F.array(*[
-        F.lit(float(p)) for p in probs])).alias("p"))
-    targets = targets.select(
-        *group_cols, "p",
-        (F.col("p") * (F.col("_size") - 1)).alias("_h"),
-    ).select(*group_cols, "p", F.floor("_h").cast("long").alias("_lo"),
-             (F.col("_h") - F.floor("_h")).alias("_frac"))
-    targets = targets.withColumn("_hi", F.col("_lo") + F.when(F.col("_frac") > 0, 1).otherwise(0))
-    # value at 0-based rank r: the distinct value with cum - n <= r < cum
-    wanted = targets.groupBy(*group_cols).agg(
+    groups = user_groups or ["_g"]  # a constant group when ungrouped: every join below stays an equi-join
+    cum = cum.where(F.col(weight) > 0).select(
+        *user_groups, *([] if user_groups else [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v"),
+        F.col(f"cum_{weight}").alias("_upto"), (F.col(f"cum_{weight}") - F.col(weight)).alias("_before"))
+    place = F.col("p") * (F.col("_size") - 1)
+    targets = (cum.groupBy(*groups).agg(F.max("_upto").alias("_size"))
+               .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+               .select(*groups, "p", F.floor(place).alias("_lo"), (place - F.floor(place)).alias("_frac")))
+    targets = targets.withColumn("_hi", F.col("_lo") + (F.col("_frac") > 0).cast("int"))
+    # the value at 0-based rank r has _before <= r < _upto; a group asks for a handful of ranks
+    wanted = targets.groupBy(*groups).agg(
         F.array_distinct(F.flatten(F.collect_list(F.array("_lo", "_hi")))).alias("_ranks"))
-    # one row per group: a single row when ungrouped, else size-checked
-    hits = (cum.join(F.broadcast(wanted), group_cols) if not user_groups else
-            join_small(cum, wanted, group_cols, "inner", max_rows=MAX_GROUP_BUCKETS))
-    hits = hits.select(*group_cols, "_v", "n", "cum_n", F.explode(F.filter(
-        "_ranks", lambda r: (F.col("cum_n") - F.col("n") <= r) & (r < F.col("cum_n")))).alias("_r"))
-    lo = hits.select(*group_cols, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = hits.select(*group_cols, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    out = targets.join(lo, [*group_cols, "_lo"]).join(hi, [*group_cols, "_hi"])
+    hits = null_safe_join(cum, wanted, groups).select(*groups, "_v", F.explode(F.filter(
+        "_ranks", lambda r: (F.col("_before") <= r) & (r < F.col("_upto")))).alias("_r"))
+    lo = hits.select(*groups, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi = hits.select(*groups, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
+    out = null_safe_join(null_safe_join(targets, lo, [*groups, "_lo"]), hi, [*groups, "_hi"])
     return out.select(*user_groups, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
                       .alias("value"))
 
 
+def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],
+                      group_cols: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """Linear-interpolated percentiles (numpy 'linear' / SQL quantile_cont), NULLs dropped."""
+    src = df.select(*group_cols, F.col(value).cast("double").alias("_v"))
+    return percentiles_of(cumulative_counts(src, "_v", None, group_cols, buckets), "_v", probs, group_cols)
+
+
 def percentile_values(df: DataFrame, value: str, probs: Sequence[float],
-                      buckets: int = DEFAULT_BUCKETS) -> list[float | None]:
+                      buckets: int | None = None) -> list[float | None]:
     """Ungrouped exact percentiles as Python floats (a handful of scalars)."""
     rows = {r["p"]: r["value"] for r in exact_percentiles(df, value, probs, (), buckets).collect()}
     return [rows.get(float(p)) for p in probs]
@@ -253,7 +195,7 @@ def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Colu
 
 
 def ks_statistic(ref: DataFrame, prod: DataFrame, value: str,
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """Two-sample KS: one row (d, n_ref, n_prod) over non-NULL values of ``value``.
 
     D = max over distinct values of |F_ref(x) - F_prod(x)|, exact, ties included.

@@ -140,7 +140,8 @@ def rejection_rate_by_provider(patients, visits, billing, k: int = 5) -> DataFra
 
 def payment_delay_by_provider(patients, visits, billing) -> DataFrame:
     """ROUND(AVG(payment_days), 1) per provider over bills with payment_days."""
-    m = claim_measures_by_provider(patients, visits, billing).where(F.col("pay_days_n") > 0)
+    paid = billing.where(F.col("payment_days").isNotNull())
+    m = claim_measures_by_provider(patients, visits, paid)
     return m.select("insurance_provider", _avg_pay_days(1).alias("avg_payment_delay_days"))
 
 

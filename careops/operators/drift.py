@@ -19,15 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careops import schema as S
-from careops.functions.joins import join_small
-from careops.functions.ranks import (bucket_of, cumulative_counts, exact_percentiles, kolmogorov_pvalue,
-                                     ks_statistic, percentile_values)
+from careops.functions.ranks import (bucket_of, cumulative_counts, kolmogorov_pvalue, ks_statistic,
+                                     percentile_values, percentiles_of)
+from careops.session import cut_lineage
 
 REPORT_SCHEMA = ("MetricType string, Feature string, Method string, Statistic double, "
                  "PValue double, PSI double, DriftDetected int, DriftStatus string")
@@ -139,7 +138,7 @@ def _categorical_psi(long: DataFrame) -> DataFrame:
     """K2 for every feature of ``long`` in one aggregation: (feature, psi)."""
     counts = long.groupBy("feature", "_v").agg(F.sum("_a").alias("ca"), F.sum("_b").alias("cb"))
     totals = long.groupBy("feature").agg(F.sum("_a").alias("nr"), F.sum("_b").alias("np"))
-    both = join_small(counts, totals, "feature", "inner", max_rows=10_000)
+    both = counts.join(totals, "feature")
     miss = F.lit(S.PSI_MISSING_SHARE)
     e = F.when(F.col("ca") > 0, F.col("ca") / F.col("nr")).otherwise(miss)
     a = F.when(F.col("cb") > 0, F.col("cb") / F.col("np")).otherwise(miss)
@@ -187,22 +186,22 @@ def drift_report(ref: DataFrame, prod: DataFrame,
     spark = ref.sparkSession
     parts = []
     if num:
-        long = _long(ref, prod, num, "double").persist(StorageLevel.MEMORY_AND_DISK)
-        totals = long.groupBy("feature").agg(F.sum("_a").alias("n_ref"), F.sum("_b").alias("n_prod"))
-        cum = cumulative_counts(long, "_v", {"na": F.col("_a"), "nb": F.col("_b")}, ["feature"])
-        cum = join_small(cum, totals, "feature", "inner", max_rows=10_000)
+        # one row per (feature, value) with both sides' counts and running counts: all below reads it
+        cum = cut_lineage(cumulative_counts(_long(ref, prod, num, "double"), "_v",
+                                            {"na": F.col("_a"), "nb": F.col("_b")}, ["feature"]))
+        long = cum.select("feature", "_v", F.col("na").alias("_a"), F.col("nb").alias("_b"))
+        totals = cum.groupBy("feature").agg(F.sum("na").alias("n_ref"), F.sum("nb").alias("n_prod"),
+                                            F.count_if(F.col("na") > 0).alias("ref_distinct"))
         gap = F.abs(F.col("cum_na") / F.col("n_ref") - F.col("cum_nb") / F.col("n_prod"))
-        ks = cum.groupBy("feature", "n_ref", "n_prod").agg(
-            F.coalesce(F.max(gap), F.lit(0.0)).alias("d"),
-            F.count_if(F.col("na") > 0).alias("ref_distinct")).persist(StorageLevel.MEMORY_AND_DISK)
+        ks = cut_lineage(cum.join(totals, "feature").groupBy("feature", "n_ref", "n_prod", "ref_distinct")
+                         .agg(F.coalesce(F.max(gap), F.lit(0.0)).alias("d")))
         distinct = {r.feature: r.ref_distinct for r in ks.select("feature", "ref_distinct").collect()}
         binned = [f for f in num if distinct.get(f, 0) >= S.PSI_MIN_DISTINCT]
         few = [f for f in num if f not in binned]
         edges = {}
         if binned:
             probs = [i / S.PSI_BINS for i in range(S.PSI_BINS + 1)]
-            q = exact_percentiles(long.where((F.col("_a") == 1) & F.col("feature").isin(binned)), "_v",
-                                  probs, ["feature"]).collect()
+            q = percentiles_of(cum.where(F.col("feature").isin(binned)), "_v", probs, ["feature"], "na").collect()
             for f in binned:
                 edges[f] = sorted({r.value for r in q if r.feature == f and r.value is not None})
         psi_parts = []

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careops import schema as S
+from careops.session import cut_lineage
 
 DIGITS = 6
 
@@ -77,7 +77,7 @@ def classification_report(df: DataFrame, actual: str, pred: str,
                           classes: Sequence[str]) -> DataFrame:
     """V2: per class precision / recall / F1 / support, then accuracy, macro and weighted avg."""
     # at most k x k rows, read by every branch below: computed once
-    conf = confusion_counts(df, actual, pred).persist(StorageLevel.MEMORY_AND_DISK)
+    conf = cut_lineage(confusion_counts(df, actual, pred))
     stats = _prf(_class_stats(conf, []))
     names = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("label") + 1)
     per_class = stats.where(F.col("label").between(0, len(classes) - 1)).select(
@@ -109,7 +109,7 @@ def classification_report(df: DataFrame, actual: str, pred: str,
 def confusion_matrix(df: DataFrame, actual: str, pred: str, classes: Sequence[str],
                      normalize: bool = False) -> DataFrame:
     """V3 (counts, zeros filled) or V4 (row-normalized, empty row -> NULL): one row per actual class."""
-    conf = confusion_counts(df, actual, pred).persist(StorageLevel.MEMORY_AND_DISK)
+    conf = cut_lineage(confusion_counts(df, actual, pred))
     k = len(classes)
     grid = conf.agg(F.count(F.lit(1)).alias("_c")).select(
         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("actual"))

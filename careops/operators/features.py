@@ -17,15 +17,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careops import schema as S
-from careops.functions.joins import join_small
-from careops.functions.ranks import count_and_probe, kth_key, lex_leq
+from careops.functions.ranks import kth_key, lex_leq
+from careops.session import cut_lineage
 
-MAX_RATE_ROWS = 1_000_000
 _NULL_DATE_KEY = 2_147_483_647          # NULL visit dates sort last
 _NULL_BILL_KEY = -9_223_372_036_854_775_808  # visits without a bill sort first among ties
 
@@ -37,14 +35,10 @@ def split_keys(df: DataFrame) -> list[Column]:
 
 
 def time_split(master: DataFrame, train_num: int = 4, train_den: int = 5,
-               buckets: int = 64) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """add ``split`` ('train' / 'test'); train = first floor(n*num/den) rows by key."""
-    keyed = master.select(*[k.alias(f"_k{i}") for i, k in enumerate(split_keys(master))]) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    n, few = count_and_probe(keyed, ["_k0", "_k1", "_k2"])
-    k = n * train_num // train_den
-    bound = kth_key(keyed, ["_k0", "_k1", "_k2"], k, buckets, few=few)
-    keyed.unpersist()
+    keyed = cut_lineage(master.select(*[k.alias(f"_k{i}") for i, k in enumerate(split_keys(master))]))
+    bound = kth_key(keyed, ["_k0", "_k1", "_k2"], keyed.count() * train_num // train_den, buckets)
     if bound is None:
         return master.withColumn("split", F.lit("test"))
     is_train = lex_leq(split_keys(master), bound)
@@ -98,16 +92,14 @@ def current_aggregates(patients: DataFrame, visits: DataFrame, billing: DataFram
     per_patient = vb.groupBy("patient_id").agg(
         F.count("bill_id").alias("_tot"),
         F.sum(F.when(F.col("claim_status") == "Rejected", 1).otherwise(0)).alias("_rej"))
-    # the per-group tables feed both the rates and the globals: computed once, kept (small)
-    prov_counts = (patients.select("patient_id", "insurance_provider").join(per_patient, "patient_id")
-                   .groupBy("insurance_provider")
-                   .agg(F.sum("_tot").alias("_tot"), F.sum("_rej").alias("_rej"))
-                   .persist(StorageLevel.MEMORY_AND_DISK))
+    # the per-group tables feed both the rates and the globals: computed once
+    prov_counts = cut_lineage(
+        patients.select("patient_id", "insurance_provider").join(per_patient, "patient_id")
+        .groupBy("insurance_provider").agg(F.sum("_tot").alias("_tot"), F.sum("_rej").alias("_rej")))
     prov = prov_counts.select("insurance_provider",
                               _safe_div(F.col("_rej"), F.col("_tot")).alias("provider_rejection_rate"))
-    dept_sums = vb.groupBy("department").agg(F.sum("billed_amount").alias("_b"),
-                                             F.sum("approved_amount").alias("_a")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    dept_sums = cut_lineage(vb.groupBy("department").agg(F.sum("billed_amount").alias("_b"),
+                                                         F.sum("approved_amount").alias("_a")))
     dept = dept_sums.select("department", (F.col("_a").cast("double") / F.when(
         F.col("_b") == 0, F.lit(1)).otherwise(F.col("_b")).cast("double"))
         .alias("revenue_realization_rate_dept"))
@@ -150,13 +142,13 @@ def transform_features(df: DataFrame, aggregates: Aggregates | None = None,
 
     per_patient, frame_mean = _per_split_patient_stats(out, by)
     out = out.join(per_patient, [*by, "patient_id"], "left")
-    out = join_small(out, frame_mean, by, "left", 10_000) if by else \
+    out = out.join(frame_mean, by, "left") if by else \
         out.withColumn("_frame_avg", frame_mean.select("_frame_avg").scalar())
     out = out.withColumn("avg_length_of_stay_patient", F.coalesce("_pat_avg", "_frame_avg"))
 
     if aggregates is not None:
-        out = join_small(out, aggregates.provider_rejection, "insurance_provider", "left", MAX_RATE_ROWS)
-        out = join_small(out, aggregates.dept_realization, "department", "left", MAX_RATE_ROWS)
+        out = out.join(aggregates.provider_rejection, "insurance_provider", "left")
+        out = out.join(aggregates.dept_realization, "department", "left")
         g = aggregates.globals
         out = out.withColumn("provider_rejection_rate", F.coalesce(
             "provider_rejection_rate", g.select("global_rejection").scalar())) \
@@ -172,16 +164,16 @@ def transform_features(df: DataFrame, aggregates: Aggregates | None = None,
                 .agg(_safe_div(F.coalesce(F.sum("approved_amount"), F.lit(0)),
                                F.coalesce(F.sum("billed_amount"), F.lit(0)))
                      .alias("revenue_realization_rate_dept")))
-        out = join_small(out, prov, [*by, "insurance_provider"], "left", MAX_RATE_ROWS)
-        out = join_small(out, dept, [*by, "department"], "left", MAX_RATE_ROWS)
+        out = out.join(prov, [*by, "insurance_provider"], "left")
+        out = out.join(dept, [*by, "department"], "left")
         out = out.fillna(0.0, ["provider_rejection_rate", "revenue_realization_rate_dept"])
     return out.select(*df.columns, *S.ENGINEERED_COLUMNS)
 
 
-def model_table(master: DataFrame, buckets: int = 64) -> DataFrame:
+def model_table(master: DataFrame, buckets: int | None = None) -> DataFrame:
     """Master + split + features, aggregates fitted on train and applied to both splits."""
-    # the split frame feeds the fitted rates, the size checks and both transforms
-    split = time_split(master, buckets=buckets).persist(StorageLevel.MEMORY_AND_DISK)
+    # the split frame feeds the fitted rates and both transforms: the three-table join runs once
+    split = cut_lineage(time_split(master, buckets=buckets).select(*S.MASTER_COLUMNS, "split"))
     aggs = fit_aggregates(split.where(F.col("split") == "train"))
     feats = transform_features(split, aggs, by=["split"])
     return feats.select(*S.MASTER_COLUMNS, *S.ENGINEERED_COLUMNS, "split")

@@ -27,14 +27,13 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careops import schema as S
-from careops.functions.joins import join_small
 
 # --- fixed values: hyper-parameter grids of the reference's searches ---
 RF_GRID = {"numTrees": [50, 100], "maxDepth": [10, 15, 30], "minInstancesPerNode": [1, 2]}
@@ -86,28 +85,38 @@ def model_input(df: DataFrame, spec: FeatureSpec, include_chronic_flag: bool = F
     return df.select(*[v.alias(k) for k, v in cols.items()])
 
 
-def preprocessing(spec: FeatureSpec, include_chronic_flag: bool = False,
-                  handle_invalid: str = "skip") -> list:
-    """M3 + M4 stages: assemble/scale numerics, index + one-hot categoricals, assemble all."""
+def preprocessing(spec: FeatureSpec, include_chronic_flag: bool = False) -> list:
+    """M3 + M4 stages: fill and scale numerics, index + one-hot categoricals, assemble all.
+
+    A missing numeric value is filled with the training mean (0 after scaling),
+    so that every row is fitted on and scored; :func:`predictions` counts the
+    filled values of each row.
+    """
     nums = list(spec.numeric) + (["chronic_flag"] if include_chronic_flag else [])
     cats = list(spec.categorical)
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                          stringOrderType="alphabetAsc") for c in cats]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cats], outputCols=[f"{c}__ohe" for c in cats],
                         dropLast=True)
-    num_vec = VectorAssembler(inputCols=nums, outputCol="num__raw", handleInvalid=handle_invalid)
+    fill = Imputer(inputCols=nums, outputCols=[f"{c}__filled" for c in nums], strategy="mean")
+    num_vec = VectorAssembler(inputCols=fill.getOutputCols(), outputCol="num__raw")
     scaler = StandardScaler(inputCol="num__raw", outputCol="num__scaled", withMean=True, withStd=True)
     allv = VectorAssembler(inputCols=["num__scaled"] + [f"{c}__ohe" for c in cats], outputCol="features")
-    return [*idx, ohe, num_vec, scaler, allv]
+    return [*idx, ohe, fill, num_vec, scaler, allv]
 
 
-def balanced_weights(df: DataFrame, label: str, weight_col: str = "class_weight") -> DataFrame:
-    """M5: weight n / (k * n_c) per row, from a per-class count joined back (k rows, broadcast)."""
+def class_weights(df: DataFrame, label: str, weight_col: str = "class_weight") -> DataFrame:
+    """M5: weight n / (k * n_c) of each of the k classes."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
     total = df.agg(F.count(F.lit(1))).scalar()
     k = counts.agg(F.count(F.lit(1))).scalar()
-    w = counts.select(label, (total / (k * F.col("_nc"))).alias(weight_col))
-    return join_small(df, w, label, "left", max_rows=1000)
+    return counts.select(label, (total / (k * F.col("_nc"))).alias(weight_col))
+
+
+def balanced_weights(df: DataFrame, label: str, weight_col: str = "class_weight") -> DataFrame:
+    """Every row with its class's weight (M5)."""
+    w = class_weights(df, label, weight_col)
+    return df.join(w, label, "left")
 
 
 def with_folds(df: DataFrame, keys: Sequence[str] = ("visit_id", "bill_id"), folds: int = CV_FOLDS,
@@ -255,7 +264,10 @@ def search_ovr_gbt(train: DataFrame, spec: FeatureSpec, values: dict | None = No
 
 
 def predictions(model, df: DataFrame, spec: FeatureSpec, version: str = "v1") -> DataFrame:
-    """Predicted class name, per-class probability map, model version."""
+    """Every row with predicted class name, per-class probability map, model version.
+
+    ``n_filled`` counts the row's missing numeric features (filled with training means).
+    """
     scored = model.transform(df)
     names = F.array(*[F.lit(c) for c in spec.classes])
     probs = vector_to_array("probability")
@@ -265,7 +277,8 @@ def predictions(model, df: DataFrame, spec: FeatureSpec, version: str = "v1") ->
         F.col("prediction").cast("int").alias("pred_label"),
         F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted_class"),
         F.map_from_arrays(names, probs).alias("probabilities"),
-        F.lit(version).alias("model_version"))
+        F.lit(version).alias("model_version"),
+        sum((F.col(c).isNull().cast("int") for c in spec.numeric), F.lit(0)).alias("n_filled"))
 
 
 def feature_names(model, spec: FeatureSpec, include_chronic_flag: bool = False) -> list[str]:

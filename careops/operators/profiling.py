@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careops.functions.joins import join_small
-from careops.functions.ranks import exact_percentiles
+from careops.functions.joins import null_safe_join
+from careops.functions.ranks import cumulative_counts, exact_percentiles, percentiles_of
+from careops.session import cut_lineage
 
 OUTLIER_COLUMNS = ["billed_amount", "payment_days", "length_of_stay_hours"]
 CATEGORY_COLUMNS = ["department", "visit_type", "insurance_provider", "city"]
@@ -52,25 +52,30 @@ def category_counts(df: DataFrame, columns: Sequence[str] = CATEGORY_COLUMNS) ->
 _QUARTILE_NAMES = {0.25: "q1", 0.5: "median", 0.75: "q3"}
 
 
-def _quartiles(long: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
+def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, value, n, cum_n): the distinct values of all columns, computed once."""
+    long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull())
+    return cut_lineage(cumulative_counts(long, "value", None, ["column_name"]))
+
+
+def _quartiles(counts: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """One row per column_name with q1 / median / q3 columns (those asked for)."""
-    q = exact_percentiles(long, "value", list(probs), ["column_name"])
+    q = percentiles_of(counts, "value", list(probs), ["column_name"])
     return q.groupBy("column_name").agg(*[
         F.max(F.when(F.col("p") == float(p), F.col("value"))).alias(_QUARTILE_NAMES[p]) for p in probs])
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> DataFrame:
     """IQR bounds q1 - 1.5 iqr, q3 + 1.5 iqr; count of values strictly outside; % of non-NULL."""
-    long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull()) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    q = _quartiles(long, (0.25, 0.75))
+    counts = _value_counts(df, columns)
+    q = _quartiles(counts, (0.25, 0.75))
     bounds = q.select("column_name",
                       (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lower_bound"),
                       (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("upper_bound"))
-    tagged = join_small(long, bounds, "column_name", "inner", max_rows=10_000)
+    tagged = counts.join(bounds, "column_name")
     out = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
     agg = tagged.groupBy("column_name", "lower_bound", "upper_bound").agg(
-        F.count_if(out).alias("outlier_count"), F.count(F.lit(1)).alias("non_null_count"))
+        F.sum(F.when(out, F.col("n")).otherwise(0)).alias("outlier_count"), F.sum("n").alias("non_null_count"))
     return agg.select(
         "column_name", "outlier_count", "non_null_count",
         F.round("lower_bound", 6).alias("lower_bound"), F.round("upper_bound", 6).alias("upper_bound"),
@@ -79,10 +84,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> Dat
 
 def box_summary(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> DataFrame:
     """q1, median, q3 and whiskers (most extreme values inside the 1.5 IQR bounds)."""
-    long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull()) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    q = _quartiles(long)
-    tagged = join_small(long, q, "column_name", "inner", max_rows=10_000)
+    counts = _value_counts(df, columns)
+    tagged = counts.join(_quartiles(counts), "column_name")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     agg = tagged.groupBy("column_name", "q1", "median", "q3").agg(
@@ -94,9 +97,8 @@ def box_summary(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> Data
 
 def impute(df: DataFrame, group: str = "department", stay: str = "length_of_stay_hours") -> DataFrame:
     """E5 (opt-in): stay <- its group median; approved_amount and payment_days <- 0 when missing."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     med = exact_percentiles(df, stay, [0.5], [group]).select(group, F.col("value").alias("_median"))
-    out = join_small(df, med, group, "left", max_rows=100_000)
+    out = null_safe_join(df, med, [group], "left")
     return out.select(
         *[c for c in df.columns if c not in (stay, "approved_amount", "payment_days")],
         F.coalesce(F.col(stay).cast("double"), F.col("_median")).alias(stay),

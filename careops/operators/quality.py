@@ -92,15 +92,15 @@ _RULE_EXPR = {
 }
 
 RULES = [
-    Rule("patients", "age_range", ("age",), "records out of range [0, 120]"),
-    Rule("patients", "gender_values", ("gender",), "invalid values (expected 'M' or 'F')"),
-    Rule("patients", "chronic_flag_values", ("chronic_flag",), "invalid values (expected 0 or 1)"),
-    Rule("visits", "length_of_stay_positive", ("length_of_stay_hours",), "records with stay <= 0 hours"),
-    Rule("visits", "risk_score_values", ("risk_score",), "invalid classes (expected Low, Medium, High)"),
-    Rule("billing", "billed_non_negative", ("billed_amount",), "records with negative billed amounts"),
+    Rule("patients", "age_range", ("age",), "age below 0 or above 120"),
+    Rule("patients", "gender_values", ("gender",), "gender is neither 'M' nor 'F'"),
+    Rule("patients", "chronic_flag_values", ("chronic_flag",), "flag is neither 0 nor 1"),
+    Rule("visits", "length_of_stay_positive", ("length_of_stay_hours",), "stay of zero or fewer hours"),
+    Rule("visits", "risk_score_values", ("risk_score",), "risk class is not one of Low, Medium, High"),
+    Rule("billing", "billed_non_negative", ("billed_amount",), "billed amount below zero"),
     Rule("billing", "approved_not_above_billed", ("approved_amount", "billed_amount"),
-         "records where approved_amount > billed_amount"),
-    Rule("billing", "payment_days_non_negative", ("payment_days",), "records with negative payment days"),
+         "approved more than was billed"),
+    Rule("billing", "payment_days_non_negative", ("payment_days",), "payment days below zero"),
 ]
 
 

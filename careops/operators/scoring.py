@@ -2,8 +2,7 @@
 
 The reference scores one HTTP request at a time; here a request is a row.
 C1 checks every field like the request schema does (all required, ranges),
-C2 hashes the raw input, C3 looks up the scoring-time rates (F13) with a
-size-checked broadcast join, C4/C5 apply a fitted model.  The streaming
+C2 hashes the raw input, C3 joins the scoring-time rates (F13), C4/C5 apply a fitted model.  The streaming
 driver of the same steps is ``careops.streaming.scoring``.
 """
 
@@ -15,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.functions.joins import join_small
 from careops.operators.features import Aggregates
 
 # --- fixed values: request fields and their allowed ranges ---
@@ -60,8 +58,8 @@ def check_requests(df: DataFrame, fields: Sequence[str] = CLAIM_FIELDS) -> DataF
 
 
 def request_json(fields: Sequence[str] = CLAIM_FIELDS):
-    """The raw request as key-sorted JSON text (Spark's canonical form: no spaces, UTF-8)."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(fields)]))
+    """The raw request as key-sorted JSON text (no spaces, UTF-8); a NULL field is written as null."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
 def feature_hash(fields: Sequence[str] = CLAIM_FIELDS):
@@ -69,10 +67,10 @@ def feature_hash(fields: Sequence[str] = CLAIM_FIELDS):
     return F.sha2(request_json(fields), 256)
 
 
-def enrich_claims(df: DataFrame, rates: Aggregates, max_rows: int = 1_000_000) -> DataFrame:
+def enrich_claims(df: DataFrame, rates: Aggregates) -> DataFrame:
     """Provider and department rates, unseen keys -> the global rates."""
-    out = join_small(df, rates.provider_rejection, "insurance_provider", "left", max_rows)
-    out = join_small(out, rates.dept_realization, "department", "left", max_rows)
+    out = df.join(rates.provider_rejection, "insurance_provider", "left")
+    out = out.join(rates.dept_realization, "department", "left")
     g = rates.globals
     return (out.withColumn("provider_rejection_rate",
                            F.coalesce("provider_rejection_rate", g.select("global_rejection").scalar()))

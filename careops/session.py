@@ -2,8 +2,8 @@
 
 Library functions never create a session themselves; they take DataFrames.
 ``get_session`` is for scripts, tests and the bench, and ``checkpoint_dir``
-reads the cluster's shared checkpoint folder from the session, falling back
-to a fresh local folder only when the setting is unset (tests, local runs).
+reads the cluster's shared checkpoint folder from the session.  A fresh local
+folder stands in only in local mode; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -56,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="careops-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -56,7 +56,7 @@ def test_retrain_triggers_fire_at_thresholds(spark):
        st.sampled_from([0.0, 0.1, 0.37, 0.5, 0.9, 1.0]))
 def test_percentile_matches_numpy(spark, values, p):
     df = spark.createDataFrame([(float(v),) for v in values], "x double")
-    got = ranks.percentile_values(df, "x", [p], buckets=4)[0]
+    got = ranks.percentile_values(df, "x", [p])[0]
     assert abs(got - float(np.percentile(values, p * 100))) < 1e-9
 
 
@@ -80,7 +80,7 @@ def test_causal_visit_frequency_matches_brute_force(spark, hospital, monkeypatch
                                             and o.visit_date <= r.visit_date)
     for single in (True, False):
         if not single:
-            monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
+            monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10)
         got = {(r.visit_id, r.bill_id): r.visit_frequency_causal
                for r in features.causal_visit_frequency(m).collect()}
         assert got == want
@@ -91,7 +91,7 @@ def test_stratified_folds_balance_each_class(spark, hospital, monkeypatch):
     m = load_joined(hospital["patients"], hospital["visits"], hospital["billing"]).where("claim_status IS NOT NULL")
     for single in (True, False):
         if not single:
-            monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
+            monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10)
         f = models.with_folds(m, label="claim_status")
         counts = {(r.claim_status, r.fold): r["count"] for r in f.groupBy("claim_status", "fold").count().collect()}
         for c in {k[0] for k in counts}:
@@ -101,9 +101,9 @@ def test_stratified_folds_balance_each_class(spark, hospital, monkeypatch):
 
 
 def test_ks_large_path_windows_are_partitioned(spark, monkeypatch):
-    monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10)
     df = spark.createDataFrame([(float(i % 97),) for i in range(2000)], "v double")
-    cum = ranks.cumulative_counts(df, "v", None, (), buckets=8)
+    cum = ranks.cumulative_counts(df, "v", None, ())
     p = cum._jdf.queryExecution().executedPlan().toString()
     window_lines = [line for line in p.splitlines() if "Window [" in line]
     main = [line for line in window_lines if "sum(n#" in line]

@@ -12,7 +12,7 @@ from careops.functions import ranks
 @pytest.fixture(params=["single", "bucketed"])
 def path(request, monkeypatch):
     if request.param == "bucketed":
-        monkeypatch.setattr(ranks, "SINGLE_TASK_ROWS", 0)
+        monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10)
     return request.param
 
 
@@ -21,10 +21,10 @@ def test_percentiles_match_numpy(spark, path):
     vals = [rnd.choice([1.0, 2.0, 2.0, 7.0, None]) for _ in range(300)] + [rnd.random() * 50 for _ in range(700)]
     df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(vals)], "x double, g int")
     probs = [0, 0.1, 0.25, 0.5, 0.75, 0.9, 1]
-    got = ranks.percentile_values(df, "x", probs, buckets=8)
+    got = ranks.percentile_values(df, "x", probs)
     want = np.percentile(np.array([v for v in vals if v is not None]), [p * 100 for p in probs])
     assert np.allclose(got, want, rtol=0, atol=1e-12)
-    grouped = ranks.exact_percentiles(df, "x", [0.5], ["g"], buckets=8).collect()
+    grouped = ranks.exact_percentiles(df, "x", [0.5], ["g"]).collect()
     for r in grouped:
         sub = [v for i, v in enumerate(vals) if v is not None and i % 3 == r.g]
         assert abs(r.value - np.percentile(sub, 50)) < 1e-12
@@ -36,7 +36,7 @@ def test_kth_key_and_lexicographic_cut(spark, path):
     df = spark.createDataFrame(rows, "a long, b long, c long")
     srt = sorted(rows)
     for k in (1, 2, 250, 499, 500):
-        key = ranks.kth_key(df, ["a", "b", "c"], k, buckets=4)
+        key = ranks.kth_key(df, ["a", "b", "c"], k)
         assert tuple(key) == srt[k - 1]
         assert df.where(ranks.lex_leq([F.col("a"), F.col("b"), F.col("c")], key)).count() == k
     assert ranks.kth_key(df, ["a"], 0) is None
@@ -52,12 +52,12 @@ def test_ks_statistic_properties(spark, path):
     b = [float((x * 3) % 23) for x in range(150)]
     da = spark.createDataFrame([(x,) for x in a], "v double")
     db = spark.createDataFrame([(x,) for x in b], "v double")
-    d = ranks.ks_statistic(da, db, "v", buckets=4).first()
+    d = ranks.ks_statistic(da, db, "v").first()
     assert abs(d.d - _brute_ks(a, b)) < 1e-12
     assert ranks.ks_statistic(da, da, "v").first().d == 0.0
     far = spark.createDataFrame([(x + 1000.0,) for x in a], "v double")
     assert ranks.ks_statistic(da, far, "v").first().d == 1.0
-    back = ranks.ks_statistic(db, da, "v", buckets=4).first().d
+    back = ranks.ks_statistic(db, da, "v").first().d
     assert abs(back - d.d) < 1e-12
 
 
@@ -68,3 +68,18 @@ def test_kolmogorov_pvalue_published_row(spark):
     assert abs(p - 0.383088) < 0.01
     tiny = df.select(ranks.kolmogorov_pvalue(F.lit(0.0), F.col("n"), F.col("m")).alias("p")).first().p
     assert tiny == 1.0
+
+
+def test_null_groups_are_groups(spark, path):
+    rows = [(g, float(v)) for g in ("a", None, "b") for v in range(100)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    cum = ranks.cumulative_counts(df, "v", None, ["g"]).collect()
+    assert len(cum) == 300 and sorted(r.cum_n for r in cum if r.g is None) == list(range(1, 101))
+    got = {r.g: r.value for r in ranks.exact_percentiles(df, "v", [0.5], ["g"]).collect()}
+    assert got == {"a": 49.5, None: 49.5, "b": 49.5}
+
+
+def test_kth_key_of_repeated_rows(spark, path):
+    df = spark.createDataFrame([(1, 2, 3)] * 400 + [(1, 2, 4)] * 3, "a long, b long, c long")
+    assert ranks.kth_key(df, ["a", "b", "c"], 400) == [1, 2, 3]
+    assert ranks.kth_key(df, ["a", "b", "c"], 401) == [1, 2, 4]
