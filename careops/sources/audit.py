@@ -19,9 +19,13 @@ AUDIT_COLUMNS = ["batch_id", "row_id", "endpoint", "timestamp", "input_data", "p
 
 
 def audit_rows(scored: DataFrame, endpoint: str, batch_id: int, fields: Sequence[str] | None = None,
-               prediction: str = "predicted_class", version: str = "model_version") -> DataFrame:
+               prediction: str = "predicted_class", version: str = "model_version",
+               keys: Sequence[str] = ()) -> DataFrame:
     """S8 rows: id = (batch_id, row_id), time of scoring, raw input as JSON, hash of the input.
 
+    ``row_id`` is an md5 of the row's contents (and of the ``keys`` columns),
+    so it doesn't depend on how the batch is partitioned.
+
     The JSON and hash come from ``input_data`` / ``feature_hash`` columns made
     before model preparation, or from ``fields`` when those are still present.
     """
@@ -29,7 +33,7 @@ def audit_rows(scored: DataFrame, endpoint: str, batch_id: int, fields: Sequence
     digest = F.col("feature_hash") if fields is None else feature_hash(fields)
     return scored.select(
         F.lit(batch_id).cast("long").alias("batch_id"),
-        F.monotonically_increasing_id().alias("row_id"),
+        F.md5(F.concat_ws(":", F.lit(endpoint), data, F.col(prediction), F.col(version), *keys)).alias("row_id"),
         F.lit(endpoint).alias("endpoint"),
         F.current_timestamp().alias("timestamp"),
         data.alias("input_data"),
@@ -45,7 +49,18 @@ def append_audit(rows: DataFrame, path: str) -> None:
 
 
 def audit_tail(spark: SparkSession, path: str, input_schema, n: int = 10) -> DataFrame:
-    """The last ``n`` rows by id, newest first, JSON input parsed back (TakeOrdered)."""
+    """The last ``n`` rows by id, newest first, JSON input parsed back (TakeOrdered).
+
+    Only the newest batches that together hold ``n`` rows are read: the counts
+    by batch come from file footers.
+    """
     rows = spark.read.parquet(path)
-    return (rows.orderBy(F.desc("batch_id"), F.desc("row_id")).limit(n)
+    counts = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+    newest = counts.orderBy(F.desc("batch_id")).limit(n).collect()
+    total, oldest = 0, None
+    for r in newest:
+        total, oldest = total + r["n"], r["batch_id"]
+        if total >= n:
+            break
+    return (rows.where(F.col("batch_id") >= F.lit(oldest)).orderBy(F.desc("batch_id"), F.desc("row_id")).limit(n)
             .withColumn("input", F.from_json("input_data", input_schema)))

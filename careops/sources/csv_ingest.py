@@ -1,6 +1,6 @@
 """Typed CSV ingest.
 
-Every column is read as text first, then converted with ``try_cast`` so a bad
+Columns are found by header name and read as text first, then converted with ``try_cast`` so a bad
 cell becomes NULL instead of failing the job (ANSI casts raise).  Missing
 tokens follow pandas' default list exactly; blanks are NULL, never 0.
 """
@@ -15,26 +15,37 @@ from careops import schema as S
 
 
 def _convert(name: str, dtype: T.DataType):
-    raw = F.col(name)
+    raw = F.col(f"`{name}`")
     missing = raw.isNull() | raw.isin(S.NA_TOKENS)
     if isinstance(dtype, T.StringType):
         value = raw
     else:
         value = F.trim(raw).try_cast(dtype)
+        if isinstance(dtype, T.IntegralType):
+            # an integer column with gaps is written as 5.0
+            number = F.trim(raw).try_cast("decimal(38,10)")
+            value = F.coalesce(value, F.when(number == F.floor(number), number.try_cast(dtype)))
     return F.when(missing, F.lit(None).cast(dtype)).otherwise(value).alias(name)
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
-    """Read CSV with an explicit schema: text columns, then coerced per declared type."""
-    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = (spark.read.schema(text).option("header", header).option("mode", "PERMISSIVE")
-           .option("nullValue", None).option("emptyValue", "").csv(path))
+def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Read headed CSV as text, take the schema's columns by name, coerce each to its declared type.
+
+    Further columns are ignored; a missing one is an error.  With
+    ``multi_line`` a quoted cell may hold line ends (files are then not split).
+    """
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
+           .option("nullValue", None).option("emptyValue", "").option("escape", '"')
+           .option("multiLine", multi_line).csv(path))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)}")
     return raw.select(*[_convert(f.name, f.dataType) for f in schema.fields])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Write a table as headered CSV (NULL as an empty field)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def ingest_hospital_csv(spark: SparkSession, base: str) -> dict[str, DataFrame]:

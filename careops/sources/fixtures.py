@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careops.functions.joins import join_small
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +24,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def patients_from(customer: DataFrame, nation: DataFrame) -> DataFrame:
     cust = customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
     nat = nation.select(F.col("n_nationkey"), F.col("n_name"))
-    joined = join_small(cust, nat, cust["c_nationkey"] == nat["n_nationkey"], "inner",
-                        max_rows=10_000)
+    joined = cust.join(nat, cust["c_nationkey"] == nat["n_nationkey"])
     return joined.selectExpr(
         "c_custkey AS patient_id",
         "CAST(18 + c_custkey % 73 AS INT) AS age",

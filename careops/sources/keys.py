@@ -47,10 +47,10 @@ class KeyedTables:
 
 def _check_fk(child: DataFrame, parent: DataFrame, fk: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) children; a NULL foreign key is allowed, as in SQL."""
-    keys = parent.select(fk)
-    has_fk = child.where(F.col(fk).isNotNull())
-    accepted = has_fk.join(keys, fk, "left_semi").unionByName(child.where(F.col(fk).isNull()))
-    return accepted, has_fk.join(keys, fk, "left_anti")
+    keys = parent.select(F.col(fk).alias("_key")).distinct()
+    marked = child.join(keys, F.col(fk) == F.col("_key"), "left")
+    known = F.col("_key").isNotNull() | F.col(fk).isNull()
+    return marked.where(known).drop("_key"), marked.where(~known).drop("_key")
 
 
 def enforce_keys(patients: DataFrame, visits: DataFrame, billing: DataFrame) -> KeyedTables:
