@@ -133,7 +133,8 @@ def _imputed(spark, sf_dir):
 
 
 def _drift(spark, sf_dir):
-    mt = cut_lineage(model_table(spark, sf_dir))
+    columns = dict.fromkeys([*S.DRIFT_NUMERIC, *S.DRIFT_CATEGORICAL, "split"])
+    mt = cut_lineage(model_table(spark, sf_dir).select(*columns))
     return drift.drift_report(mt.where(F.col("split") == "train"), mt.where(F.col("split") == "test"))
 
 
@@ -165,7 +166,7 @@ def _triggers(spark, sf_dir):
     ev = scored.where(F.col("split") == "test")
     trained_on = scored.where(F.col("split") == "train").agg(F.max("visit_date")).scalar()
     metrics = governance.weekly_metrics(ev, "visit_date", "claim_label", "claim_pred")
-    return governance.retrain_triggers(metrics, trained_on)
+    return governance.retrain_triggers(metrics, trained_on, _drift(spark, sf_dir).agg(F.max("PSI")).scalar())
 
 
 def _pull(spark, sf_dir):
@@ -198,62 +199,68 @@ def _target_distribution(spark, sf_dir):
 
 def _class_weights(spark, sf_dir):
     t = evaluation.with_targets(model_table(spark, sf_dir)).where(F.col("split") == "train")
-    w = models.balanced_weights(t.select(F.col("claim_label").cast("double").alias("claim_label")),
-                                "claim_label")
-    return w.groupBy("claim_label").agg(F.round(F.first("class_weight"), 6).alias("class_weight"))
+    w = models.class_weights(t.select(F.col("claim_label").cast("double").alias("claim_label")), "claim_label")
+    return w.select("claim_label", F.round("class_weight", 6).alias("class_weight"))
+
+
+def _fold_counts(spark, sf_dir):
+    """Rows per class and stratified fold of the training rows."""
+    train, _ = _split_inputs(spark, sf_dir, models.SPEC_A)
+    folded = models.with_folds(train, label=models.SPEC_A.label)
+    return folded.groupBy(F.col(models.SPEC_A.label).cast("int").alias("label"), "fold").agg(
+        F.count(F.lit(1)).alias("row_count"))
 
 
 def _split_inputs(spark, sf_dir, spec):
+    """Training rows, and all rows (train and test) to score."""
     mt = _labelled_model_table(spark, sf_dir)
     data = models.model_input(mt, spec)
-    return data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+    return data.where(F.col("split") == "train"), data
 
 
 def _flat_predictions(pred: DataFrame, spec) -> DataFrame:
-    return pred.select("visit_id", "bill_id", F.col(spec.label).cast("int").alias("actual_label"),
+    return pred.select("visit_id", "bill_id", "split", "n_filled", F.col(spec.label).cast("int").alias("actual_label"),
                        "pred_label", "predicted_class", "model_version",
                        *[F.round(F.col("probabilities")[c], 6).alias(f"p_{c}") for c in spec.classes])
 
 
 def _risk_logistic(spark, sf_dir):
-    train, test = _split_inputs(spark, sf_dir, models.SPEC_A)
+    train, rows = _split_inputs(spark, sf_dir, models.SPEC_A)
     model = models.logistic(models.SPEC_A, train.count()).fit(train)
-    return _flat_predictions(models.predictions(model, test, models.SPEC_A, "risk-lr"), models.SPEC_A)
+    return _flat_predictions(models.predictions(model, rows, models.SPEC_A, "risk-lr"), models.SPEC_A)
 
 
-def _risk_forest_model(spark, sf_dir):
-    train, _ = _split_inputs(spark, sf_dir, models.SPEC_A)
+def _risk_forest_model(train):
     pipe, rf = models.forest(models.SPEC_A)
     rf.setNumTrees(50).setMaxDepth(10)
     return pipe.fit(train)
 
 
 def _risk_forest(spark, sf_dir):
-    _, test = _split_inputs(spark, sf_dir, models.SPEC_A)
-    model = _risk_forest_model(spark, sf_dir)
-    return _flat_predictions(models.predictions(model, test, models.SPEC_A, "risk-rf"), models.SPEC_A)
+    train, rows = _split_inputs(spark, sf_dir, models.SPEC_A)
+    return _flat_predictions(models.predictions(_risk_forest_model(train), rows, models.SPEC_A, "risk-rf"), models.SPEC_A)
 
 
 def _forest_importances(spark, sf_dir):
-    return models.feature_importances(_risk_forest_model(spark, sf_dir), models.SPEC_A, spark)
+    train, _ = _split_inputs(spark, sf_dir, models.SPEC_A)
+    return models.feature_importances(_risk_forest_model(train), models.SPEC_A, spark)
 
 
 def _claim_logistic(spark, sf_dir):
-    train, test = _split_inputs(spark, sf_dir, models.SPEC_B)
+    train, rows = _split_inputs(spark, sf_dir, models.SPEC_B)
     train = models.balanced_weights(train, models.SPEC_B.label)
     model = models.logistic(models.SPEC_B, train.count(), weighted=True).fit(train)
-    return _flat_predictions(models.predictions(model, test, models.SPEC_B, "claim-lr"), models.SPEC_B)
+    return _flat_predictions(models.predictions(model, rows, models.SPEC_B, "claim-lr"), models.SPEC_B)
 
 
 def _claim_gbt(spark, sf_dir):
-    train, test = _split_inputs(spark, sf_dir, models.SPEC_B)
-    model = models.fit_ovr_gbt(train, models.SPEC_B, max_iter=20, max_depth=5, step_size=0.1)
-    return _flat_predictions(models.predictions(model, test, models.SPEC_B, "claim-gbt"), models.SPEC_B)
+    train, rows = _split_inputs(spark, sf_dir, models.SPEC_B)
+    model = models.fit_ovr_gbt(train, models.SPEC_B, max_iter=50, max_depth=5, step_size=0.1)
+    return _flat_predictions(models.predictions(model, rows, models.SPEC_B, "claim-gbt"), models.SPEC_B)
 
 
 def _requests(spark, sf_dir):
-    mt = model_table(spark, sf_dir).where(F.col("split") == "test")
-    return scoring.requests_from(mt)
+    return scoring.requests_from(model_table(spark, sf_dir))
 
 
 def _request_check(spark, sf_dir):
@@ -274,18 +281,43 @@ def _enrichment(spark, sf_dir):
     return out.select("visit_id", "bill_id", "provider_rejection_rate", "revenue_realization_rate_dept")
 
 
-def _csv_roundtrip(spark, sf_dir):
-    """Visits written as CSV to a scratch folder and read back through the typed ingest."""
-    path = scratch_path(spark, "csv-visits")
-    csv_ingest.write_csv(_tables(spark, sf_dir)["visits"], path)
-    return csv_ingest.read_typed_csv(spark, path, S.VISITS)
+def _csv_roundtrip(table):
+    """A table written as CSV to a scratch folder and read back through the typed ingest."""
+    def run(spark, sf_dir):
+        path = scratch_path(spark, f"csv-{table}")
+        csv_ingest.write_csv(_tables(spark, sf_dir)[table], path)
+        return csv_ingest.read_typed_csv(spark, path, S.TABLES[table])
+    return run
+
+
+def _reloaded(table):
+    """S3 + S5: all tables rewritten parent first with the filter-friendly layout; the rows of one read back."""
+    def run(spark, sf_dir):
+        t = _tables(spark, sf_dir)
+        paths = layout.reload_tables(t, scratch_path(spark, "tables"))
+        return spark.read.parquet(paths[table]).select(*t[table].columns)
+    return run
+
+
+def _drift_sink(spark, sf_dir):
+    """The drift report written as one CSV file and read back."""
+    path = scratch_path(spark, "drift")
+    report = _drift(spark, sf_dir)
+    layout.write_drift_report(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+def _exported(spark, sf_dir):
+    """Model table exported partitioned by split, read back."""
+    path = scratch_path(spark, "model-table")
+    mt = model_table(spark, sf_dir)
+    layout.export_model_table(mt, path)
+    return spark.read.parquet(path).select(*mt.columns)
 
 
 def _export_counts(spark, sf_dir):
     """Model table exported partitioned by split, read back, rows per split."""
-    path = scratch_path(spark, "model-table")
-    layout.export_model_table(model_table(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("row_count"))
+    return _exported(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def _reload_counts(spark, sf_dir):
@@ -303,13 +335,12 @@ def _reload_counts(spark, sf_dir):
 def _audit_tail(spark, sf_dir):
     """S8 + S9: rule-scored claim requests appended to the audit trail, then its last 10 rows."""
     from careops.sources import audit
-    ev = model_table(spark, sf_dir).where(F.col("split") == "test")
-    scored = evaluation.rule_baseline(ev).withColumn(
+    scored = evaluation.rule_baseline(model_table(spark, sf_dir)).withColumn(
         "predicted_class", F.element_at(F.array(*[F.lit(c) for c in S.CLAIM_CLASSES]), F.col("claim_pred") + 1)
     ).withColumn("model_version", F.lit("rule-baseline"))
-    req = scoring.requests_from(scored, scoring.CLAIM_FIELDS, ["predicted_class", "model_version"])
+    req = scoring.requests_from(scored, scoring.CLAIM_FIELDS, ["predicted_class", "model_version", "visit_id", "bill_id"])
     path = scratch_path(spark, "audit")
-    audit.append_audit(audit.audit_rows(req, "/predict/claim", 0, scoring.CLAIM_FIELDS), path)
+    audit.append_audit(audit.audit_rows(req, "/predict/claim", 0, scoring.CLAIM_FIELDS, keys=["visit_id", "bill_id"]), path)
     tail = audit.audit_tail(spark, path, scoring.CLAIM_REQUEST)
     return tail.select("batch_id", "endpoint", "prediction", "model_version", "feature_hash",
                        F.col("input.age").alias("age"), F.col("input.billed_amount").alias("billed_amount"))
@@ -379,7 +410,15 @@ QUERIES: dict[str, QueryFn] = {
     "c01_claim_request_check": _request_check,
     "c02_feature_hash": _feature_hash,
     "c03_claim_enrichment": _enrichment,
-    "s01_csv_roundtrip_visits": _csv_roundtrip,
+    "m10_fold_counts": _fold_counts,
+    "s01_csv_roundtrip_patients": _csv_roundtrip("patients"),
+    "s01_csv_roundtrip_visits": _csv_roundtrip("visits"),
+    "s01_csv_roundtrip_billing": _csv_roundtrip("billing"),
+    "s03_reloaded_patients": _reloaded("patients"),
+    "s03_reloaded_visits": _reloaded("visits"),
+    "s03_reloaded_billing": _reloaded("billing"),
+    "s07_exported_model_table": _exported,
+    "s10_drift_sink": _drift_sink,
     "s03_s05_reload_counts": _reload_counts,
     "s07_model_table_export": _export_counts,
     "s08_s09_audit_tail": _audit_tail,

@@ -1,6 +1,7 @@
 """DuckDB oracle SQL for evaluation (V2-V5, V7) on rule predictions and governance."""
 
 from careops import schema as S
+from careops.plans.oracle_drift import K
 from careops.plans.oracle_features import SPLIT_SQL
 from careops.sources.fixtures import with_fixtures
 
@@ -104,14 +105,17 @@ weekly AS (SELECT CAST(ws AS DATE) AS week_start, CAST(ws + INTERVAL '7 days' AS
 W["w01_weekly_audit_metrics"] = with_fixtures(WEEKLY_SQL, "SELECT * FROM weekly")
 
 W["w02_retrain_triggers"] = with_fixtures(WEEKLY_SQL + """,
-tr_end AS (SELECT MAX(visit_date) AS d FROM mt WHERE split = 'train')""", f"""
+tr_end AS (SELECT MAX(visit_date) AS d FROM mt WHERE split = 'train'),
+psi AS (SELECT MAX("PSI") AS m FROM (""" + K["k05_drift_report"] + "))", f"""
 SELECT week_start, week_end, concat_ws(';',
     CASE WHEN accuracy < {S.RETRAIN_MIN_ACCURACY} THEN 'accuracy_below_threshold' END,
     CASE WHEN rejected_recall < {S.RETRAIN_MIN_REJECTED_RECALL} THEN 'rejected_recall_below_threshold' END,
     CASE WHEN (SELECT d FROM tr_end) + INTERVAL {S.RETRAIN_MAX_AGE_MONTHS} MONTH <= week_end
-         THEN 'model_older_than_6_months' END) AS reasons,
+         THEN 'model_older_than_6_months' END,
+    CASE WHEN (SELECT m FROM psi) > {S.RETRAIN_MAX_PSI} THEN 'psi_above_threshold' END) AS reasons,
   (accuracy < {S.RETRAIN_MIN_ACCURACY} OR COALESCE(rejected_recall < {S.RETRAIN_MIN_REJECTED_RECALL}, FALSE)
-   OR (SELECT d FROM tr_end) + INTERVAL {S.RETRAIN_MAX_AGE_MONTHS} MONTH <= week_end) AS retrain
+   OR (SELECT d FROM tr_end) + INTERVAL {S.RETRAIN_MAX_AGE_MONTHS} MONTH <= week_end
+   OR (SELECT m FROM psi) > {S.RETRAIN_MAX_PSI}) AS retrain
 FROM weekly""")
 
 W["w03_training_pull"] = with_fixtures(SPLIT_SQL, """
