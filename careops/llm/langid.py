@@ -254,7 +254,7 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, id_col:
     sample = (bounded_sample(_known(docs, text_col, label_col, learn), F.col(id_col), sample_rows, "langid")
               .select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                       F.col(label_col).cast("string").alias("label"))
-              .repartition(PARTS, F.xxhash64("id")).persist())
+              .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).persist())
     try:
         labels = sorted(r[0] for r in sample.select("label").distinct().collect())
         n = len(labels)
@@ -274,14 +274,14 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, id_col:
         for r in range(rounds):
             sent = spark.sparkContext.broadcast((weights, transitions, lexicon))
 
-            def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                rows = pd.concat(list(parts)).sort_values(["id", "text"])
-                if len(rows):
-                    w, t = _train_part(rows["text"].tolist(), [place[x] for x in rows["label"]], *sent.value, 7 + r)
-                    yield pd.DataFrame({"rows": [len(rows)], "w": [w.astype("<f4").tobytes()],
-                                        "t": [t.astype("<f8").tobytes()]})
+            def run(rows: pd.DataFrame) -> pd.DataFrame:
+                rows = rows.sort_values(["id", "text"])
+                w, t = _train_part(rows["text"].tolist(), [place[x] for x in rows["label"]], *sent.value, 7 + r)
+                return pd.DataFrame({"rows": [len(rows)], "w": [w.astype("<f4").tobytes()],
+                                     "t": [t.astype("<f8").tobytes()]})
 
-            got = sample.mapInPandas(run, "rows long, w binary, t binary").orderBy("rows", F.md5("w")).collect()
+            got = (sample.groupBy("part").applyInPandas(run, "rows long, w binary, t binary")
+                   .orderBy("rows", F.md5("w")).collect())
             share = [g["rows"] / sum(x["rows"] for x in got) for g in got]
             weights = sum(s * np.frombuffer(g["w"], "<f4").reshape(BUCKETS, n) for s, g in zip(share, got))
             transitions = sum(s * np.frombuffer(g["t"], "<f8").reshape(n, n) for s, g in zip(share, got))
