@@ -105,6 +105,22 @@ def preprocessing(spec: FeatureSpec, include_chronic_flag: bool = False) -> list
     return [*idx, ohe, fill, num_vec, scaler, allv]
 
 
+def encoded_rows(prep: PipelineModel, df: DataFrame, spec: FeatureSpec, keys: Sequence[str]) -> DataFrame:
+    """M3 + M4 as columns: ``num_<column>`` (filled and scaled) and ``cat_<column>``, the category whose
+    one-hot slot is set (NULL: none, as for unseen and missing categories)."""
+    out = prep.transform(df)
+    scaled = vector_to_array("num__scaled")
+    nums = [scaled[i].alias(f"num_{c}") for i, c in enumerate(spec.numeric)]
+    cats = []
+    for stage in prep.stages:
+        if hasattr(stage, "labels") and stage.getOutputCol().endswith("__idx"):
+            c = stage.getInputCol()
+            slot = F.array_position(vector_to_array(f"{c}__ohe"), 1.0).cast("int")
+            labels = F.array(*[F.lit(x) for x in stage.labels])
+            cats.append(F.when(slot > 0, F.element_at(labels, slot)).alias(f"cat_{c}"))
+    return out.select(*keys, *nums, *cats)
+
+
 def class_weights(df: DataFrame, label: str, weight_col: str = "class_weight") -> DataFrame:
     """M5: weight n / (k * n_c) of each of the k classes."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))

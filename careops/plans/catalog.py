@@ -218,6 +218,28 @@ def _split_inputs(spark, sf_dir, spec):
     return data.where(F.col("split") == "train"), data
 
 
+def _encoded(spec):
+    """M3 + M4 fitted on the training rows, applied to all rows."""
+    def run(spark, sf_dir):
+        from pyspark.ml import Pipeline
+        train, rows = _split_inputs(spark, sf_dir, spec)
+        out = models.encoded_rows(Pipeline(stages=models.preprocessing(spec)).fit(train), rows, spec,
+                                  ["visit_id", "bill_id"])
+        return out.select(*[F.round(c, 6).alias(c) if c.startswith("num_") else c for c in out.columns])
+    return run
+
+
+def _scored_rows(predict, spec):
+    """V1: the rows that a model scores, with their labels and what must hold of each prediction."""
+    def run(spark, sf_dir):
+        p = predict(spark, sf_dir)
+        shares = F.array(*[F.col(f"p_{c}") for c in spec.classes])
+        return p.select("visit_id", "bill_id", "split", "actual_label", "n_filled",
+                        F.round(F.aggregate(shares, F.lit(0.0), lambda a, b: a + b), 4).alias("p_sum"),
+                        (F.element_at(shares, F.col("pred_label") + 1) == F.array_max(shares)).alias("is_largest"))
+    return run
+
+
 def _flat_predictions(pred: DataFrame, spec) -> DataFrame:
     return pred.select("visit_id", "bill_id", "split", "n_filled", F.col(spec.label).cast("int").alias("actual_label"),
                        "pred_label", "predicted_class", "model_version",
@@ -410,6 +432,10 @@ QUERIES: dict[str, QueryFn] = {
     "c01_claim_request_check": _request_check,
     "c02_feature_hash": _feature_hash,
     "c03_claim_enrichment": _enrichment,
+    "m03_m04_encoded_rows_risk": _encoded(models.SPEC_A),
+    "m03_m04_encoded_rows_claim": _encoded(models.SPEC_B),
+    "v01_scored_rows_risk_logistic": _scored_rows(_risk_logistic, models.SPEC_A),
+    "v01_scored_rows_claim_logistic": _scored_rows(_claim_logistic, models.SPEC_B),
     "m10_fold_counts": _fold_counts,
     "s01_csv_roundtrip_patients": _csv_roundtrip("patients"),
     "s01_csv_roundtrip_visits": _csv_roundtrip("visits"),

@@ -1,5 +1,6 @@
 """DuckDB oracle SQL for model-side tables that SQL can express."""
 
+from careops import schema as S
 from careops.plans.oracle_drift import K as _K_SQL
 from careops.plans.oracle_features import F as _F_SQL
 from careops.plans.oracle_features import MODEL_TABLE_SQL, RATES_SQL
@@ -69,6 +70,39 @@ t AS (SELECT CASE risk_score WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 WHEN 'High'
 dealt AS (SELECT label, (ROW_NUMBER() OVER (PARTITION BY label) - 1) % 3 AS fold FROM t)""", """
 SELECT CAST(label AS INT) AS label, CAST(fold AS INT) AS fold, COUNT(*) AS row_count FROM dealt GROUP BY ALL""")
 
+_TARGETS = MODEL_TABLE_SQL + """,
+target AS (SELECT *, CASE risk_score WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 WHEN 'High' THEN 2 END AS risk,
+    CASE claim_status WHEN 'Paid' THEN 0 WHEN 'Pending' THEN 1 WHEN 'Rejected' THEN 2 END AS claim
+  FROM model_table WHERE risk_score IS NOT NULL AND claim_status IS NOT NULL)"""
+
+
+def _encoded(numeric, categorical) -> str:
+    """Filled with the training mean, then less it and over the filled training values' deviation."""
+    fills = ", ".join(f"AVG(CAST({c} AS DOUBLE)) FILTER (split = 'train') AS m_{c}" for c in numeric)
+    filled = ", ".join(f"COALESCE(CAST({c} AS DOUBLE), m_{c}) AS f_{c}" for c in numeric)
+    spread = ", ".join(f"STDDEV_SAMP(f_{c}) FILTER (split = 'train') AS s_{c}" for c in numeric)
+    cats = ", ".join(f"CASE WHEN TRIM({c}) = '' THEN '<blank>' ELSE {c} END AS c_{c}" for c in categorical)
+    nums = ", ".join(f"ROUND(COALESCE((f_{c} - m_{c}) / NULLIF(s_{c}, 0), 0), 6) AS num_{c}" for c in numeric)
+    known = ", ".join(
+        f"CASE WHEN c_{c} IN (SELECT c_{c} FROM filled WHERE split = 'train') THEN c_{c} END AS cat_{c}" for c in categorical)
+    return with_fixtures(_TARGETS + f""",
+fill AS (SELECT {fills} FROM target),
+filled AS (SELECT visit_id, bill_id, split, {filled}, {cats} FROM target, fill),
+spread AS (SELECT {spread} FROM filled)""", f"SELECT visit_id, bill_id, {nums}, {known} FROM filled, spread, fill")
+
+
+def _scored_rows(label: str, numeric) -> str:
+    missing = " + ".join(f"CAST({c} IS NULL AS INT)" for c in numeric)
+    return with_fixtures(_TARGETS, f"""
+SELECT visit_id, bill_id, split, CAST({label} AS INT) AS actual_label, CAST({missing} AS INT) AS n_filled,
+  CAST(1 AS DOUBLE) AS p_sum, TRUE AS is_largest FROM target""")
+
+
+M["m03_m04_encoded_rows_risk"] = _encoded(S.NUMERIC_A, S.CATEGORICAL_A)
+M["m03_m04_encoded_rows_claim"] = _encoded(S.NUMERIC_B, S.CATEGORICAL_B)
+M["v01_scored_rows_risk_logistic"] = _scored_rows("risk", S.NUMERIC_A)
+M["v01_scored_rows_claim_logistic"] = _scored_rows("claim", S.NUMERIC_B)
+
 _PLAIN = {
     "patients": "SELECT * FROM patients",
     "visits": """SELECT visit_id, patient_id, visit_date, department, visit_type,
