@@ -5,18 +5,16 @@ length) are shuffled by digest; of equal payloads the largest page id keeps
 its payload as a ``response`` and the others become ``revisit`` records that
 refer to it.  Records are written as WARC/1.1 through Spark's text writer,
 whose line separator is the record separator, so that any store that Spark
-writes to can hold the archives.  Reading parses the archives again and joins
-revisits to the responses they refer to.
+writes to can hold the archives.  Reading streams the archives through Spark's
+text reader, whatever their size, and joins revisits to the responses they
+refer to.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 from collections.abc import Iterator
-from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,7 +86,7 @@ def record_text(date: str = DATE) -> Column:
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit(CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Content-Length: "])),
                     F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
-    block = F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))
+    size = F.octet_length(http) + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}"), _line("WARC-Type", F.col("record_type")),
         _line("WARC-Record-ID", F.coalesce(urn(F.col("page_id")), F.lit(f"<{ID_PREFIX}>"))),
@@ -98,7 +96,8 @@ def record_text(date: str = DATE) -> Column:
                                  _line("WARC-Refers-To-Target-URI", _uri(F.col("refers_url"))),
                                  _line("WARC-Refers-To-Date", F.lit(date)))).otherwise(""),
         _line("Content-Type", F.lit("application/http;msgtype=response")),
-        _line("Content-Length", F.octet_length(block).cast("string")), F.lit(CRLF), block)
+        _line("Content-Length", size.cast("string")), F.lit(CRLF), http,
+        F.when(revisit, "").otherwise(F.col("payload")))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url",
@@ -118,20 +117,42 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
      .write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
 
 
-def parse_records(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of an open, decompressed archive."""
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not the start of a WARC record: {line[:80]!r}")
-        headers = {}
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            name, _, value = line.partition(b":")
-            headers[name.strip().lower().decode()] = value.strip().decode()
-        size = int(headers["content-length"])
-        block = stream.read(size)
-        if len(block) != size or stream.read(4) != b"\r\n\r\n":
-            raise ValueError(f"cut off: record {headers.get('warc-record-id')}")
-        yield headers, block
+class RecordParser:
+    """Cuts a stream of bytes into WARC records; holds one unfinished record at most."""
+
+    def __init__(self):
+        self.buffer = bytearray()
+        self.headers: dict[str, str] = {}
+        self.body = self.end = 0  # of the record in hand, once its headers are complete
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        """(headers by lower-case name, block) of each record that ``data`` completes."""
+        self.buffer += data
+        while True:
+            if not self.end:
+                while self.buffer[:2] == b"\r\n":  # empty lines between records, as at a file's end
+                    del self.buffer[:2]
+                at = self.buffer.find(b"\r\n\r\n")
+                if at < 0:
+                    return
+                first, *lines = bytes(self.buffer[:at]).split(b"\r\n")
+                if not first.startswith(b"WARC/"):
+                    raise ValueError(f"not the start of a WARC record: {first[:80]!r}")
+                parts = (x.partition(b":") for x in lines)
+                self.headers = {n.strip().lower().decode(): v.strip().decode() for n, _, v in parts}
+                self.body = at + 4
+                self.end = self.body + int(self.headers["content-length"])
+            if len(self.buffer) < self.end + 4:
+                return
+            if self.buffer[self.end:self.end + 4] != b"\r\n\r\n":
+                raise ValueError(f"wrong length: record {self.headers.get('warc-record-id')}")
+            yield self.headers, bytes(self.buffer[self.body:self.end])
+            del self.buffer[:self.end + 4]
+            self.end = 0
+
+    def close(self) -> None:
+        if self.end or self.buffer.strip(b"\r\n"):
+            raise ValueError(f"cut off: record {self.headers.get('warc-record-id')}")
 
 
 def _page_id(urn: str | None) -> int | None:
@@ -161,10 +182,10 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             rows.clear()
             return out
 
+        parser = RecordParser()
         for part in parts:
-            for content in part.column(0):
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), 1 << 20)
-                for h, block in parse_records(stream):
+            for piece in part.column(0):
+                for h, block in parser.feed(piece.as_py() + b"\r\n\r\n"):
                     payload, digest = None, h["warc-payload-digest"].removeprefix("sha1:")
                     if h["warc-type"] != "revisit":
                         payload = block.partition(b"\r\n\r\n")[2]
@@ -178,11 +199,14 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
                     if held > 4_000_000:
                         yield batch()
                         held = 0
+        parser.close()
         if rows:
             yield batch()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, READ + ", payload binary" * with_payload)
+    # gzipped files are not split, so a task gets a file's pieces in order, and with the separators they are its bytes
+    pieces = (spark.read.option("lineSep", RECORD_END).option("pathGlobFilter", "*.gz").text(path)
+              .select(F.col("value").cast("binary")))
+    return pieces.mapInArrow(run, READ + ", payload binary" * with_payload)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
