@@ -19,6 +19,7 @@ and the two-sample Kolmogorov-Smirnov statistic all read off that table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -178,20 +179,32 @@ def percentile_values(df: DataFrame, value: str, probs: Sequence[float],
     return [rows.get(float(p)) for p in probs]
 
 
-def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 100) -> Column:
-    """Asymptotic two-sample KS p-value with Stephens' small-sample correction, as a Column.
+def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 60) -> Column:
+    """Two-sample KS p-value for large samples, as a Column.
 
-    lambda = (sqrt(en) + 0.12 + 0.11 / sqrt(en)) * D with en = n*m / (n+m);
-    p = 2 * sum_{k>=1} (-1)^(k-1) exp(-2 k^2 lambda^2), clipped to [0, 1].
+    The distribution of the one-sample statistic at the rounded effective size
+    n*m / (n+m), by the expansion of Pelz and Good (1976) to the order
+    size^-3/2: off by up to 5e-6 at a size of 140, and by less than 1e-6 from
+    400 on.  With x = sqrt(size) * D and h = (pi (k + 1/2))^2, g = (pi k)^2, all
+    its sums run over exp(-h / 2x^2) and exp(-g / 2x^2).
     """
-    en = n * m / (n + m)
-    lam = (F.sqrt(en) + F.lit(0.12) + F.lit(0.11) / F.sqrt(en)) * d
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
-        lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(F.lit(-2.0) * k * k * lam * lam))
-    p = F.lit(2.0) * series
-    return (F.when(lam < 0.05, F.lit(1.0))
-            .otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))))
+    size = F.greatest(F.bround(n * m / (n + m)), F.lit(1.0))
+    x = F.sqrt(size) * d
+    root, x2, x4, x6, x8 = F.sqrt(size), x * x, F.pow(x, 4), F.pow(x, 6), F.pow(x, 8)
+
+    def term(k: Column) -> Column:
+        h, g = F.pow((k + 0.5) * math.pi, 2), F.pow(k * F.lit(math.pi), 2)
+        odd = (2 / x + (h - x2) / (3 * x4 * root)
+               + (6 * x6 + 2 * x4 + (2 * x4 - 5 * x2) * h + (1 - 2 * x2) * h * h) / (36 * F.pow(x, 7) * size)
+               + ((5 - 30 * x2) * F.pow(h, 3) + (212 * x4 - 60 * x2) * h * h + (135 * x4 - 96 * x6) * h
+                  - 30 * x6 - 90 * x8) / (3240 * F.pow(x, 10) * size * root))
+        even = -g / (18 * F.pow(x, 3) * size) + (3 * g * x2 - g * g) / (54 * x6 * size * root)
+        return odd * F.exp(-h / (2 * x2)) + even * F.exp(-g / (2 * x2))
+
+    below = F.lit(math.sqrt(math.pi / 2)) * F.aggregate(
+        F.sequence(F.lit(0), F.lit(terms)), F.lit(0.0), lambda acc, k: acc + term(k))
+    return F.when(x < 0.1, F.lit(1.0)).when(x > 15, F.lit(0.0)).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - below)))
 
 
 def ks_statistic(ref: DataFrame, prod: DataFrame, value: str,

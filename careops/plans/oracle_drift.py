@@ -25,11 +25,17 @@ cum_{c} AS (SELECT v, SUM(SUM(a)) OVER (ORDER BY v) AS ca, SUM(SUM(b)) OVER (ORD
   FROM (SELECT v, 1 AS a, 0 AS b FROM r_{c} UNION ALL SELECT v, 0, 1 FROM p_{c}) GROUP BY v),
 ks_{c} AS (SELECT COALESCE(MAX(ABS(ca / nr - cb / np)), 0.0) AS d, ANY_VALUE(nr) AS nr, ANY_VALUE(np) AS np
   FROM cum_{c}, n_{c}),
-lam_{c} AS (SELECT d, (sqrt(en) + 0.12 + 0.11 / sqrt(en)) * d AS lam
-  FROM (SELECT d, CAST(nr AS DOUBLE) * np / (nr + np) AS en FROM ks_{c})),
-pv_{c} AS (SELECT d, CASE WHEN lam < 0.05 THEN 1.0 ELSE GREATEST(0.0, LEAST(1.0, 2.0 * (
-  SELECT SUM(CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END * exp(-2.0 * k * k * lam * lam))
-  FROM range(1, 101) t(k)))) END AS p FROM lam_{c}),
+x_{c} AS (SELECT d, en, sqrt(en) * d AS x
+  FROM (SELECT d, GREATEST(round_even(CAST(nr AS DOUBLE) * np / (nr + np), 0), 1) AS en FROM ks_{c})),
+pg_{c} AS (SELECT d, x, en, pow((k + 0.5) * pi(), 2) AS h, pow(k * pi(), 2) AS g FROM x_{c}, range(0, 61) t(k) WHERE x > 0),
+ps_{c} AS (SELECT SUM(exp(-h / (2 * x * x)) * (2 / x + (h - x * x) / (3 * pow(x, 4) * sqrt(en))
+    + (6 * pow(x, 6) + 2 * pow(x, 4) + (2 * pow(x, 4) - 5 * x * x) * h + (1 - 2 * x * x) * h * h) / (36 * pow(x, 7) * en)
+    + ((5 - 30 * x * x) * pow(h, 3) + (212 * pow(x, 4) - 60 * x * x) * h * h + (135 * pow(x, 4) - 96 * pow(x, 6)) * h
+       - 30 * pow(x, 6) - 90 * pow(x, 8)) / (3240 * pow(x, 10) * pow(en, 1.5)))
+  + exp(-g / (2 * x * x)) * (-g / (18 * pow(x, 3) * en) + (3 * g * x * x - g * g) / (54 * pow(x, 6) * pow(en, 1.5)))) AS s
+  FROM pg_{c}),
+pv_{c} AS (SELECT d, CASE WHEN x < 0.1 THEN 1.0 WHEN x > 15 THEN 0.0
+  ELSE GREATEST(0.0, LEAST(1.0, 1 - sqrt(pi() / 2) * (SELECT s FROM ps_{c}))) END AS p FROM x_{c}),
 ed_{c} AS (SELECT list_sort(list_distinct(quantile_cont(v, [{_PROBS}]))) AS e FROM r_{c}),
 bd_{c} AS (SELECT e, len(e) - 1 AS nb FROM ed_{c}),
 br_{c} AS (SELECT len(list_filter(e[2:len(e) - 1], lambda x: x <= v)) AS bin, COUNT(*) AS cnt

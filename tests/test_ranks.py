@@ -1,5 +1,6 @@
 """Distributed exact order statistics against brute force."""
 
+import math
 import random
 
 import numpy as np
@@ -61,13 +62,40 @@ def test_ks_statistic_properties(spark, path):
     assert abs(back - d.d) < 1e-12
 
 
+def _exact_cdf(n, d):
+    """P(D_n < d) by the matrix of Marsaglia, Tsang and Wang (2003)."""
+    k = int(n * d) + 1
+    size, h = 2 * k - 1, k - n * d
+    a = np.array([[1.0 if i - j + 1 >= 0 else 0.0 for j in range(size)] for i in range(size)])
+    for i in range(size):
+        a[i, 0] -= h ** (i + 1)
+        a[-1, i] -= h ** (size - i)
+    a[-1, 0] += (2 * h - 1) ** size if 2 * h > 1 else 0
+    for i in range(size):
+        for j in range(size):
+            if i - j + 1 > 0:
+                a[i, j] /= math.factorial(i - j + 1)
+    p, scale = np.eye(size), 0
+    for i in range(n):
+        p = p @ a * (i + 1) / n  # times n! / n**n in the end
+    return p[k - 1, k - 1]
+
+
+def test_kolmogorov_pvalue_matches_the_exact_distribution(spark):
+    cases = [(n, d) for n in (140, 400) for d in (0.03, 0.05, 0.07, 0.1, 0.13)]
+    rows = [(d, 2.0 * n, 2.0 * n) for n, d in cases]  # two samples of 2n: effective size n
+    df = spark.createDataFrame(rows, "d double, n double, m double")
+    got = df.select("d", "n", ranks.kolmogorov_pvalue(F.col("d"), F.col("n"), F.col("m")).alias("p"))
+    limit = {140: 5e-6, 400: 1e-6}  # the expansion is good to five digits at 140 and gains with the size
+    for r in got.collect():
+        assert abs(r.p - (1 - _exact_cdf(int(r.n / 2), r.d))) < limit[int(r.n / 2)]
+
+
 def test_kolmogorov_pvalue_published_row(spark):
-    # LoS row of the reference's drift output: D 0.0143 with 20,000 vs 5,000 rows -> p about 0.383
-    df = spark.createDataFrame([(0.0143, 20000.0, 5000.0)], "d double, n double, m double")
-    p = df.select(ranks.kolmogorov_pvalue(F.col("d"), F.col("n"), F.col("m")).alias("p")).first().p
-    assert abs(p - 0.383088) < 0.01
-    tiny = df.select(ranks.kolmogorov_pvalue(F.lit(0.0), F.col("n"), F.col("m")).alias("p")).first().p
-    assert tiny == 1.0
+    # the published LoS row: D 0.0143 (rounded) with 20,000 and 5,000 rows, p 0.383088
+    df = spark.createDataFrame([(x, 20000.0, 5000.0) for x in (0.01425, 0.01435, 0.0, 0.5)], "d double, n double, m double")
+    p = [r.p for r in df.select(ranks.kolmogorov_pvalue(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()]
+    assert p[1] < 0.383088 < p[0] and p[0] - p[1] < 0.01 and p[2:] == [1.0, 0.0]
 
 
 def test_null_groups_are_groups(spark, path):
