@@ -11,50 +11,106 @@ ones; what remains over is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careops.llm.common import Words, chunks_by_size, mix64, word_hashes
+
 CAPACITY = 2048
 MAX_OPEN = 4096
 END_ID = 1
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 500_000
+GROUP_CHARS = 2_000_000
 
-_UNSAFE = re.compile(r"\s\s")
-_SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+_SPACES = re.compile(r"\s\s")
+# fixed value: the pattern that byte-level BPE cuts texts by
+_W = r"\p{White_Space}"
+_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W}\p{{L}}\p{{N}}]+|{_W}+(?!\P{{White_Space}})|{_W}+")
 
 
-class Encoder:
-    """Token ids of whole texts by a ``tokenizers`` file, with a bounded cache of space-led chunks.
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: printable ones as they are, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
 
-    The tokenizer never joins what a single space between two other
-    characters separates, so a text may be cut in front of such spaces and
-    each distinct chunk encoded once.
+class Encoder:
+    """Token ids of whole texts by a ``tokenizers`` file, the same as its own ``encode`` gives.
+
+    Byte-level BPE cuts a text into pieces by a pattern and never joins across
+    them, and the pattern always cuts in front of a white-space character that
+    stands alone.  So a text without white space in a row is cut there; the
+    distinct words of a group of texts, told apart by 64-bit hashes of their
+    bytes with the character in front, are encoded once by the tokenizer's
+    model and the texts put together from them.  Words in use are kept in two
+    generations of up to CACHE_ENTRIES.  Other texts, and those with a special
+    token's string, take the tokenizer's own way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        with open(path) as f:
+            kind = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        parts = _SAFE_CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-        chunks = parts[:1] + [" " + p for p in parts[1:]]
-        cache = self.cache
-        new = list({c for c in chunks if c not in cache})
-        if new:
-            if len(cache) + len(new) > CACHE_ENTRIES:
-                cache.clear()
-                new = list(set(chunks))
-            for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                cache[chunk] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join(map(cache.__getitem__, chunks)), dtype="<u4")
+        cut = kind.get("pre_tokenizer") or {}
+        self.plain = not (cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+                          and not kind.get("normalizer") and kind["model"].get("type", "BPE") == "BPE")
+        self.special = [t["content"] for t in kind.get("added_tokens") or []]
+        self.letters = _byte_letters()
+        self.young: dict[int, bytes] = {}  # ids by hash
+        self.old: dict[int, bytes] = {}
+
+    def _word(self, word: bytes) -> bytes:
+        pieces = _PIECES.findall(word.decode())
+        letters = [p.encode().decode("latin-1").translate(self.letters) for p in pieces]
+        return array("I", [t.id for p in letters for t in self.tokenizer.model.tokenize(p)]).tobytes()
+
+    def _own(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        regular = [bool(t) and not (self.plain or t[-1].isspace() or _SPACES.search(t) or any(s in t for s in self.special))
+                   for t in texts]
+        out = [None if r else self._own(t) for r, t in zip(regular, texts)]
+        places = [i for i, r in enumerate(regular) if r]
+        if not places:
+            return out
+        w = Words([texts[i] for i in places])
+        lead = w.data[w.starts - 1].astype(np.uint64)
+        lead[w.starts == w.base[w.doc]] = 0  # a text's first word, with nothing in front
+        keys = mix64(word_hashes(w.data, w.starts, w.ends) + lead)
+        keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        found = list(map(self.young.get, keys))
+        if len(self.young) > CACHE_ENTRIES:
+            self.old, self.young = self.young, {}
+        for k, known in enumerate(found):
+            if known is None:
+                known = self.old.get(keys[k])
+                if known is None:
+                    i = at[k]
+                    known = self._word(w.joined[w.starts[i] - (lead[i] > 0):w.ends[i]])
+                self.young[keys[k]] = found[k] = known
+        flat = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1])]
+        for i, piece in zip(places, np.split(ids, ends[w.last[:-1] - 1])):
+            out[i] = piece
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -202,12 +258,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
 
         end = np.array([END_ID], dtype="<u4")
         for part in parts:
-            for doc, text in zip(part.column(0), part.column(1)):
-                text = text.as_py()
-                ids = np.concatenate((encode(text), end)) if text else end
-                take(packer.add((doc.as_py(), len(ids)), ids))
-                if len(rows) >= 2000:
-                    yield batch()
+            docs, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+            for lo, hi in chunks_by_size(texts, GROUP_CHARS):
+                for doc, ids in zip(docs[lo:hi], encode(texts[lo:hi])):
+                    ids = np.concatenate((ids, end))
+                    take(packer.add((doc, len(ids)), ids))
+                    if len(rows) >= 2000:
+                        yield batch()
         take(packer.flush())
         yield batch()
 
