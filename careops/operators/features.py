@@ -9,7 +9,7 @@
 * ``transform_features`` (F6-F11): per split, patient-level counts and
   means are aggregated and joined back (a hot patient is collapsed by the
   partial aggregate and split by AQE's skew join, never windowed in one
-  task); fitted rates are mapped with size-checked broadcast joins.
+  task); fitted rates are mapped with joins that the planner may broadcast.
 * ``current_aggregates`` (F13): the scoring-time rates over all data.
 """
 

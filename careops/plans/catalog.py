@@ -83,7 +83,7 @@ def _master(spark, sf_dir):
 
 def _key_contract(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return keys.key_contract_report(t["staging_patients"], t["visits"], t["billing"])
+    return keys.key_contract_report(t["staging_patients"], t["staging_visits"], t["billing"])
 
 
 def _cascade(spark, sf_dir):
@@ -92,6 +92,11 @@ def _cascade(spark, sf_dir):
     return keys.cascade_report(t["patients"], t["visits"], t["billing"], dead.select("patient_id"))
 
 
+def _orphan_bills(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    return quality.bills_without_visit(t["staging_visits"], t["billing"])
+
+
 def _dup_patients(spark, sf_dir):
     return quality.duplicate_keys(_tables(spark, sf_dir)["staging_patients"], "patient_id")
 
@@ -157,6 +162,14 @@ def _matrix(actual, pred, classes, normalize):
                                                              normalize)
 
 
+def _on_model(predict, spec, fn):
+    """An evaluation table of a model's predictions on the test rows."""
+    def run(spark, sf_dir):
+        p = predict(spark, sf_dir).where(F.col("split") == "test")
+        return fn(p, "actual_label", "pred_label", spec.classes)
+    return run
+
+
 def _weekly(spark, sf_dir):
     return governance.weekly_metrics(_ev(spark, sf_dir), "visit_date", "claim_label", "claim_pred")
 
@@ -388,7 +401,7 @@ QUERIES: dict[str, QueryFn] = {
     "b17_payments_by_provider": _pvb(bi.payments_by_provider),
     "b18_provider_summary": _pvb(bi.provider_summary),
     "q01_visits_without_bill": _vb(quality.visits_without_bill),
-    "q02_bills_without_visit": _vb(quality.bills_without_visit),
+    "q02_bills_without_visit": _orphan_bills,
     "q03_duplicate_patients": _dup_patients,
     "q04_invalid_length_of_stay": _v(quality.invalid_length_of_stay),
     "q05_invalid_payment_days": _b(quality.invalid_payment_days),
@@ -436,6 +449,9 @@ QUERIES: dict[str, QueryFn] = {
     "m03_m04_encoded_rows_claim": _encoded(models.SPEC_B),
     "v01_scored_rows_risk_logistic": _scored_rows(_risk_logistic, models.SPEC_A),
     "v01_scored_rows_claim_logistic": _scored_rows(_claim_logistic, models.SPEC_B),
+    "v02_report_risk_logistic": _on_model(_risk_logistic, models.SPEC_A, evaluation.classification_report),
+    "v02_report_claim_logistic": _on_model(_claim_logistic, models.SPEC_B, evaluation.classification_report),
+    "v03_confusion_claim_logistic": _on_model(_claim_logistic, models.SPEC_B, evaluation.confusion_matrix),
     "m10_fold_counts": _fold_counts,
     "s01_csv_roundtrip_patients": _csv_roundtrip("patients"),
     "s01_csv_roundtrip_visits": _csv_roundtrip("visits"),

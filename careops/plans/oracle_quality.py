@@ -10,7 +10,7 @@ SELECT visit_id, visit_date, patient_id, department FROM visits
 WHERE NOT EXISTS (FROM billing WHERE billing.visit_id = visits.visit_id AND bill_id IS NOT NULL)""")
 
 Q["q02_bills_without_visit"] = with_fixtures("""
-lost AS (SELECT visit_id FROM billing EXCEPT SELECT visit_id FROM visits)""", """
+lost AS (SELECT visit_id FROM billing EXCEPT SELECT visit_id FROM staging_visits)""", """
 SELECT bill_id, visit_id, CAST(billed_amount AS DOUBLE) AS billed_amount, billing_date
 FROM billing SEMI JOIN lost USING (visit_id)""")
 
@@ -70,7 +70,7 @@ WHERE reasons <> ''""")
 
 Q["s02_key_contract"] = with_fixtures("""
 kp AS (SELECT DISTINCT patient_id FROM staging_patients),
-kv AS (SELECT DISTINCT ON (visit_id) * FROM visits),
+kv AS (SELECT DISTINCT ON (visit_id) * FROM staging_visits),
 av AS (SELECT * FROM kv WHERE patient_id IS NULL OR patient_id IN (SELECT patient_id FROM kp)),
 kb AS (SELECT DISTINCT ON (bill_id) * FROM billing),
 ab AS (SELECT * FROM kb WHERE visit_id IS NULL OR visit_id IN (SELECT visit_id FROM av))""", """
@@ -78,8 +78,8 @@ SELECT 'patients' AS table_name, (SELECT COUNT(*) FROM staging_patients) AS stag
   (SELECT COUNT(*) FROM kp) AS accepted_rows,
   (SELECT COUNT(*) FROM staging_patients) - (SELECT COUNT(*) FROM kp) AS rejected_pk,
   CAST(0 AS BIGINT) AS rejected_fk
-UNION ALL SELECT 'visits', (SELECT COUNT(*) FROM visits), (SELECT COUNT(*) FROM av),
-  (SELECT COUNT(*) FROM visits) - (SELECT COUNT(*) FROM kv), (SELECT COUNT(*) FROM kv) - (SELECT COUNT(*) FROM av)
+UNION ALL SELECT 'visits', (SELECT COUNT(*) FROM staging_visits), (SELECT COUNT(*) FROM av),
+  (SELECT COUNT(*) FROM staging_visits) - (SELECT COUNT(*) FROM kv), (SELECT COUNT(*) FROM kv) - (SELECT COUNT(*) FROM av)
 UNION ALL SELECT 'billing', (SELECT COUNT(*) FROM billing), (SELECT COUNT(*) FROM ab),
   (SELECT COUNT(*) FROM billing) - (SELECT COUNT(*) FROM kb), (SELECT COUNT(*) FROM kb) - (SELECT COUNT(*) FROM ab)""")
 

@@ -2,7 +2,8 @@
 
 The mapping (FIXTURES.md part 3) plants faults on purpose: blank / 'null' /
 NULL insurance providers, NULL and zero lengths of stay, negative and missing
-payment days, orders dropped from visits so that their bills become orphans.
+payment days.  The staging tables hold two more: patients that arrive twice, and
+visits that are missing so that their bills are orphans.
 Every row of customer / orders / lineitem flows through, so the derived
 tables grow with the inputs.
 
@@ -38,7 +39,7 @@ def patients_from(customer: DataFrame, nation: DataFrame) -> DataFrame:
 
 
 def visits_from(orders: DataFrame) -> DataFrame:
-    return orders.where("o_orderkey % 97 <> 13").selectExpr(
+    return orders.selectExpr(
         "o_orderkey AS visit_id",
         "o_custkey AS patient_id",
         "CAST(o_orderdate AS DATE) AS visit_date",
@@ -88,15 +89,22 @@ def staging_patients_from(patients: DataFrame) -> DataFrame:
     return patients.unionByName(patients.where("patient_id % 500 = 3"))
 
 
+def staging_visits_from(visits: DataFrame) -> DataFrame:
+    """Visits as staged before the key contract: some are missing, and their bills are orphans."""
+    return visits.where("visit_id % 97 <> 13")
+
+
 def load_hospital(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """patients / visits / billing (+ staging_patients) derived from the driver tables."""
+    """patients / visits / billing (+ staging_patients, staging_visits) derived from the driver tables."""
     patients = patients_from(read_table(spark, sf_dir, "customer"),
                              read_table(spark, sf_dir, "nation"))
+    visits = visits_from(read_table(spark, sf_dir, "orders"))
     return {
         "patients": patients,
-        "visits": visits_from(read_table(spark, sf_dir, "orders")),
+        "visits": visits,
         "billing": billing_from(read_table(spark, sf_dir, "lineitem")),
         "staging_patients": staging_patients_from(patients),
+        "staging_visits": staging_visits_from(visits),
     }
 
 
@@ -115,7 +123,7 @@ VISITS_SQL = """SELECT o_orderkey AS visit_id, o_custkey AS patient_id, CAST(o_o
        ELSE CAST(1.0 + (o_orderkey * 37 % 4700) / 100.0 AS DECIMAL(10,2)) END AS length_of_stay_hours,
   CASE WHEN o_totalprice >= 400000 THEN 'High' WHEN o_totalprice >= 250000 THEN 'Medium' ELSE 'Low' END AS risk_score,
   CAST(o_orderkey % 120 AS INT) AS doctor_id
-FROM orders WHERE o_orderkey % 97 <> 13"""
+FROM orders"""
 
 BILLING_SQL = """SELECT k AS bill_id, k AS visit_id, billed AS billed_amount,
   CASE WHEN status = 'Paid' THEN approved
@@ -133,11 +141,14 @@ FROM (SELECT l_orderkey AS k,
 
 STAGING_PATIENTS_SQL = """SELECT * FROM patients UNION ALL SELECT * FROM patients WHERE patient_id % 500 = 3"""
 
+STAGING_VISITS_SQL = """SELECT * FROM visits WHERE visit_id % 97 <> 13"""
+
 FIXTURE_CTE = (
     f"WITH patients AS ({PATIENTS_SQL}),\n"
     f"visits AS ({VISITS_SQL}),\n"
     f"billing AS ({BILLING_SQL}),\n"
-    f"staging_patients AS ({STAGING_PATIENTS_SQL})"
+    f"staging_patients AS ({STAGING_PATIENTS_SQL}),\n"
+    f"staging_visits AS ({STAGING_VISITS_SQL})"
 )
 
 
