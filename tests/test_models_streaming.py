@@ -9,7 +9,8 @@ from careops.operators import evaluation, features, models, scoring
 from careops.sources.audit import audit_tail
 from careops.sources.master import load_joined
 from careops.streaming.audit import weekly_metrics_stream
-from careops.streaming.scoring import score_claim_batch, start_claim_scoring
+from careops.streaming.scoring import (RISK, score_claim_batch, score_requests, start_claim_scoring,
+                                       start_risk_scoring)
 
 
 @pytest.fixture(scope="module")
@@ -98,23 +99,59 @@ def test_stream_equals_batch_and_replay_has_no_duplicates(spark, table, hospital
     assert len(tail) == 10 and all(len(r.feature_hash) == 64 for r in tail)
 
 
+def test_risk_stream_equals_batch(spark, table, tmp_dir):
+    data = models.model_input(table, models.SPEC_A)
+    model = models.logistic(models.SPEC_A, 1000).fit(data.where("split = 'train'"))
+    req = scoring.requests_from(table, scoring.RISK_FIELDS).drop("visit_id", "bill_id")
+    req = req.unionByName(req.limit(3).withColumn("age", F.lit(200).cast("long")))
+    src, out = f"{tmp_dir}/requests", f"{tmp_dir}/out"
+    req.repartition(3).write.json(src)
+    start_risk_scoring(spark, src, out, f"{tmp_dir}/ckpt", model, "v-test", max_files_per_trigger=1).awaitTermination()
+    streamed, rejects = spark.read.parquet(f"{out}/scored"), spark.read.parquet(f"{out}/rejects")
+    assert streamed.count() + rejects.count() == req.count() and rejects.where("reasons like '%range:age%'").count() >= 3
+    valid = scoring.check_requests(req, scoring.RISK_FIELDS).where(F.size("reasons") == 0).drop("reasons")
+    batch = score_requests(valid, RISK, model, "v-test")
+    key = ["feature_hash", "predicted_class", "model_version"]
+    assert sorted(map(tuple, streamed.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+    assert spark.read.parquet(f"{out}/audit").where("endpoint = '/predict/risk'").count() == streamed.count()
+
+
 def test_weekly_metrics_stream_matches_batch(spark, tmp_dir):
     from careops.operators.governance import weekly_metrics
     rows = [(dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 3), i % 3, (i * 7) % 3) for i in range(90)]
     df = spark.createDataFrame(rows, "ts timestamp, actual int, predicted int")
+    batch = {r.week_start: r for r in weekly_metrics(df, "ts", "actual", "predicted").collect()}
     src = f"{tmp_dir}/labelled"
     df.write.parquet(src)
-    q = weekly_metrics_stream(spark, src, f"{tmp_dir}/weekly", f"{tmp_dir}/wckpt", watermark="0 seconds")
-    q.awaitTermination()
+    # a later row moves the watermark past every window of the others
+    last = dt.datetime(2024, 3, 1)
+    spark.createDataFrame([(last, 0, 0)], df.schema).write.mode("append").parquet(src)
+    for _ in range(2):  # the second run emits what the first one's last watermark closed
+        weekly_metrics_stream(spark, src, f"{tmp_dir}/weekly", f"{tmp_dir}/wckpt", watermark="0 seconds").awaitTermination()
     streamed = {r.week_start: r for r in spark.read.parquet(f"{tmp_dir}/weekly").collect()}
-    batch = {r.week_start: r for r in weekly_metrics(df, "ts", "actual", "predicted").collect()}
-    # availableNow emits the windows closed by the watermark; every emitted one equals batch
-    assert streamed and set(streamed) <= set(batch)
+    assert set(streamed) == set(batch) and len(batch) == 5
     for k, r in streamed.items():
         assert (r.volume, r.accuracy, r.rejected_recall) == (batch[k].volume, batch[k].accuracy,
                                                             batch[k].rejected_recall)
 
 
+def test_evaluation_of_model_output_matches_brute_force(spark, table):
+    data = models.model_input(table, models.SPEC_B)
+    train = models.balanced_weights(data.where("split = 'train'"), "claim_label")
+    model = models.logistic(models.SPEC_B, 1000, weighted=True).fit(train)
+    pred = models.predictions(model, data.where("split = 'test'"), models.SPEC_B)
+    rows = [(int(r.claim_label), r.pred_label) for r in pred.collect()]
+    report = {r.label: r for r in evaluation.classification_report(
+        pred.withColumn("claim_label", F.col("claim_label").cast("int")), "claim_label", "pred_label",
+        models.SPEC_B.classes).collect()}
+    for i, name in enumerate(models.SPEC_B.classes):
+        hits = sum(a == b == i for a, b in rows)
+        guessed, actual = sum(b == i for _, b in rows), sum(a == i for a, _ in rows)
+        assert abs(report[name].precision - (hits / guessed if guessed else 0)) < 1e-4
+        assert abs(report[name].recall - hits / actual) < 1e-4 and report[name].support == actual
+    assert abs(report["accuracy"].f1_score - sum(a == b for a, b in rows) / len(rows)) < 1e-4
+
+
 def test_gbt_grid_search_tiny_grid(spark, table):
     data = models.model_input(table, models.SPEC_B).where("split = 'train'")
     m = models.search_ovr_gbt(data, models.SPEC_B, {"maxIter": [2], "maxDepth": [2], "stepSize": [0.1]})
