@@ -80,6 +80,12 @@ def test_mix_of_odd_rows(spark):
     assert [(r.target, r.copies) for r in nothing] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mix_runs_no_python(spark):
+    rows = [(i, "one two", None, "ab"[i % 2], 0) for i in range(10)]
+    plan = mixing.mix(frame(spark, rows))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and "CartesianProduct" not in plan
+
+
 # ------------------------------------------------------------------- packing
 
 def ids_of(text):
