@@ -13,6 +13,7 @@ no document ids have to be shuffled with the hashes.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -24,6 +25,7 @@ from careops.llm.common import Words, cover, window_hashes, word_hashes
 BATCH_CHARS = 8_000_000
 BUCKET_WINDOWS = 4_000_000
 
+
 class _Batch:
     """The texts of one batch in doc_id order (nulls last) with their words and window hashes."""
 
@@ -82,15 +84,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     chars = row["chars"] or 0
     n_batches = max(1, -(-chars // batch_chars))
     n_buckets = max(1, -(-chars // (4 * bucket_windows)))  # a word has about four characters or more
-    cuts = []
+    cuts: list[int] = []
     if n_batches > 1 and row["n"]:
         shares = [i / n_batches for i in range(1, n_batches)]
         cuts = sorted(set(table.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n_batches))).first()[0]))
-    # the number of cuts at or below an id: ranges in order, null ids in the last one
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
-        F.size(F.filter(bounds, lambda c: c <= F.col("doc_id")))).cast("int")
-    dealt = table.withColumn("batch", place)
+    bounds = np.array(cuts, dtype=np.int64)  # 8 bytes for each batch_chars of text
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
+
+    last = F.lit(2 ** 63 - 1).cast("long")  # where null ids go
+    dealt = table.withColumn("batch", place(F.coalesce("doc_id", last)) if cuts else F.lit(0))
 
     def hashes(table: pa.Table) -> pa.Table:
         values = _Batch(table, window).values
