@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careops.llm.common import Words, chunks_by_size, mix64, word_hashes
+from careops.llm.common import Words, chunks_by_size, mix64, release_memory, word_hashes
 
 CAPACITY = 2048
 MAX_OPEN = 4096
 END_ID = 1
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 GROUP_CHARS = 2_000_000
 
 _SPACES = re.compile(r"\s\s")
@@ -53,9 +53,9 @@ class Encoder:
     stands alone.  So a text without white space in a row is cut there; the
     distinct words of a group of texts, told apart by 64-bit hashes of their
     bytes with the character in front, are encoded once by the tokenizer's
-    model and the texts put together from them.  Words in use are kept in two
-    generations of up to CACHE_ENTRIES.  Other texts, and those with a special
-    token's string, take the tokenizer's own way.
+    model and the texts put together from them.  Up to CACHE_ENTRIES words are
+    kept, as sorted hashes with places in one array of ids.  Other texts, and
+    those with a special token's string, take the tokenizer's own way.
     """
 
     def __init__(self, path: str):
@@ -68,8 +68,13 @@ class Encoder:
                           and not kind.get("normalizer") and kind["model"].get("type", "BPE") == "BPE")
         self.special = [t["content"] for t in kind.get("added_tokens") or []]
         self.letters = _byte_letters()
-        self.young: dict[int, bytes] = {}  # ids by hash
-        self.old: dict[int, bytes] = {}
+        self._clear()
+
+    def _clear(self):
+        self.keys = np.empty(0, np.uint64)  # sorted hashes of the known words
+        self.start = np.empty(0, np.int64)  # of each one's ids in ``flat``
+        self.size = np.empty(0, np.int64)
+        self.flat = np.empty(0, "<u4")
 
     def _word(self, word: bytes) -> bytes:
         pieces = _PIECES.findall(word.decode())
@@ -91,23 +96,26 @@ class Encoder:
         lead[w.starts == w.base[w.doc]] = 0  # a text's first word, with nothing in front
         keys = mix64(word_hashes(w.data, w.starts, w.ends) + lead)
         keys, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        keys = keys.tolist()
-        found = list(map(self.young.get, keys))
-        if len(self.young) > CACHE_ENTRIES:
-            self.old, self.young = self.young, {}
-        for k, known in enumerate(found):
-            if known is None:
-                known = self.old.get(keys[k])
-                if known is None:
-                    i = at[k]
-                    known = self._word(w.joined[w.starts[i] - (lead[i] > 0):w.ends[i]])
-                self.young[keys[k]] = found[k] = known
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
+        known = np.zeros(len(keys), dtype=bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        if len(self.keys) + len(keys) - known.sum() > CACHE_ENTRIES:
+            self._clear()
+            known[:] = False
+        new = np.flatnonzero(~known)
+        if len(new):
+            raw = [self._word(w.joined[w.starts[i] - (lead[i] > 0):w.ends[i]]) for i in at[new]]
+            size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            place = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, place, keys[new])
+            self.start = np.insert(self.start, place, len(self.flat) + np.cumsum(size) - size)
+            self.size = np.insert(self.size, place, size)
+            self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(raw), dtype="<u4")))
+        found = np.searchsorted(self.keys, keys)
+        starts, sizes = self.start[found], self.size[found]
         n = sizes[which]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1])]
         for i, piece in zip(places, np.split(ids, ends[w.last[:-1] - 1])):
             out[i] = piece
         return out
@@ -240,6 +248,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col:
                         ("offset", pa.int64()), ("ids", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encode, packer = encoder(tokenizer_path), Packer(capacity, max_open)
         first = TaskContext.get().partitionId() << 40
         rows: list = []
