@@ -7,9 +7,11 @@ UTF-8 bytes of a text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 
 __all__ = ["WORD_RE", "SPACE_RE", "bounded_sample", "cut_lineage", "scratch_path", "read_table",
            "remainder", "chunks_by_size", "Words", "word_edges", "word_hashes", "window_hashes", "cover",
-           "mix64"]
+           "mix64", "release_memory"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +150,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this Python worker have freed but the allocators still hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def byte_table(seed: int) -> np.ndarray:
     """256 fixed pseudo-random odd 64-bit values, one for each byte."""
     return np.random.default_rng(seed).integers(0, 2 ** 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

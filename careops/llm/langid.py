@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.llm.common import bounded_sample, chunks_by_size
+from careops.llm.common import bounded_sample, chunks_by_size, release_memory
 
 SAMPLE_ROWS = 3000      # documents that the model is fitted on
 BUCKETS = 1 << 16       # hashed features
@@ -377,6 +377,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     run_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         label = Labeller(sent.value)
         for part in parts:
             texts = part.column(texts_at).to_pylist()

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.llm.common import cut_lineage
+from careops.llm.common import cut_lineage, release_memory
 from careops.llm.components import components
 
 WIDTH = 64
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for part in parts:
             fp = np.fromiter((text_fingerprint(t.as_py(), shingle) for t in part.column(1)), np.uint64, part.num_rows)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]],

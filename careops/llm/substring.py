@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.llm.common import Words, cover, window_hashes, word_hashes
+from careops.llm.common import Words, cover, release_memory, window_hashes, word_hashes
 
 BATCH_CHARS = 8_000_000
 BUCKET_WINDOWS = 4_000_000
@@ -98,6 +98,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     dealt = table.withColumn("batch", place(F.coalesce("doc_id", last)) if cuts else F.lit(0))
 
     def hashes(table: pa.Table) -> pa.Table:
+        release_memory()
         values = _Batch(table, window).values
         cut = _buckets(values, n_buckets)
         full = np.flatnonzero(np.diff(cut))
