@@ -42,6 +42,11 @@ _FRAME_NAMES = frozenset(
     "sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets contentinfo "
     "complementary alert".split())
 _MAIN_NAMES = frozenset("article content entry main post story".split())
+#: What an opening tag closes, and the tags that it doesn't reach beyond.
+_CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "option": (("option",), ("select",)),
+           **dict.fromkeys(("dt", "dd"), (("dt", "dd"), ("dl",))),
+           **dict.fromkeys(("td", "th"), (("td", "th"), ("table", "tr"))), "tr": (("tr",), ("table",)),
+           **dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot"), ("table",)))}
 
 
 @dataclass
@@ -71,9 +76,19 @@ class _Parser:
 
     found: list[Block] = field(default_factory=list)
     stack: list[_Open] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)  # where each tag lies in the stack
     runs: list[tuple[str, bool]] = field(default_factory=list)  # text, in a link
     links: int = 0
 
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element with one of the tags, -1 if there is none."""
+        return max(at[-1] if (at := self.places.get(t)) else -1 for t in tags)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from a place of the stack on."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
     def end_block(self) -> None:
         if not self.runs:
             return
@@ -103,10 +118,14 @@ class _Parser:
         if tag in _VOID:
             return
         above = self.stack
-        if above and (above[-1].tag == "p" or above[-1].tag == tag in ("li", "tr", "td", "th", "dt", "dd", "option")):
-            above.pop()  # closed by what follows it
+        if above and above[-1].tag == "p":
+            self.cut(len(above) - 1)  # closed by what follows it
+        if tag in _CLOSES:
+            closed, within = _CLOSES[tag]
+            if (at := self.last(closed)) > self.last(within):
+                self.cut(at)
         if tag == "body":
-            above.clear()
+            self.cut(0)
         top = above[-1] if above else _Open("", False, False, False, False)
         frame, main, marked = top.frame, top.main or tag in _MAIN_TAGS, top.marked
         frame = frame or tag in _FRAME_TAGS or (tag == "header" and not main)
@@ -121,6 +140,7 @@ class _Parser:
                 elif (name == "hidden" or name == "aria-hidden" and value == "true"
                       or name == "style" and "display:none" in value.replace(" ", "")):
                     frame = True
+        self.places.setdefault(tag, []).append(len(above))
         above.append(_Open(tag, frame, main, top.dropped or tag in _DROPPED, marked))
 
     def close(self, tag: str) -> None:
@@ -129,10 +149,8 @@ class _Parser:
                 self.links = 0
             return
         self.end_block()
-        for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 200), -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                break
+        if (at := self.last((tag,))) >= 0:
+            self.cut(at)
 
 
 def blocks(html: str) -> list[Block]:

@@ -57,6 +57,25 @@ def test_pages_of_several_makes(spark):
                    5: f"A & B <i> éé🙂 x y {s}", 6: f"{s} cut of", 7: s, 8: f"word {s}"}
 
 
+def test_deep_and_omitted_end_tags():
+    """A menu or table of any depth ends where it is closed; the article after it is not in it."""
+    for inside in ("<table>" + "<tr><td>a<td>b" * 1000 + "</table>", "<dl>" + "<dt>a<dd>b" * 1000 + "</dl>", "<div>x" * 1000):
+        for tag in ("nav", "div class=sidebar"):
+            found = html_text.blocks(f"<{tag}>{inside}</{tag.split()[0]}>" * (1 if inside[1:4] != "div" or tag == "nav" else 0)
+                                     + f"<article><p>{SENTENCE}</p></article><p>after")
+            assert [(b.text, b.frame, b.main) for b in found[-2:]] == [(SENTENCE, False, True), ("after", False, False)]
+            assert all(b.frame and not b.main for b in found[:-2])
+    p = html_text._Parser()
+    p.open("table", "")
+    for _ in range(1000):
+        for tag in ("tr", "td", "td"):
+            p.open(tag, "")
+    assert [o.tag for o in p.stack] == ["table", "tr", "td"]
+    p.open("table", "")  # a table in a cell closes nothing outside
+    p.open("tr", "")
+    assert [o.tag for o in p.stack] == ["table", "tr", "td", "table", "tr"]
+
+
 def test_odd_pages(spark):
     odd = [None, "", "   ", "<", "<p", "</p></p>", "<!-- never closed <p>x", "<script>x", "&#0;&#xD800;&bogus;",
            "<p>" * 30_000, "<div>" * 20_000 + SENTENCE, "<a href='", "<p " + "a='" * 5000 + ">x", "x" * 3_000_000]
