@@ -33,7 +33,7 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROPPED = frozenset("head button select option svg math template object canvas audio video map".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_FRAME_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
+_FRAME_TAGS = frozenset("nav footer aside menu dialog fieldset".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _FRAME_NAMES = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
@@ -59,6 +59,9 @@ class Block:
     frame: bool          # in a tag or class that is not for main text
     main: bool           # in a tag or class for main text
     marked: bool = False  # labelled as main text, in PAGES only
+    wraps: int = 0       # forms and frame-named elements around it
+    over: int = 0        # those of them that are around its innermost main element as well
+    forms: int = 0       # forms around it
 
 
 @dataclass
@@ -68,6 +71,9 @@ class _Open:
     main: bool
     dropped: bool
     marked: bool
+    wraps: int = 0
+    over: int = 0
+    forms: int = 0
 
 
 @dataclass
@@ -99,7 +105,8 @@ class _Parser:
             top = self.stack[-1] if self.stack else _Open("", False, False, False, False)
             words = text.count(" ") + 1
             self.found.append(Block(text, words, min(linked, words), bool(tags & _HEADINGS),
-                                    bool(tags & {"li", "td", "th", "dd", "dt"}), top.frame, top.main, top.marked))
+                                    bool(tags & {"li", "td", "th", "dd", "dt"}), top.frame, top.main, top.marked,
+                                    top.wraps, top.over, top.forms))
         self.runs.clear()
 
     def text(self, raw: str) -> None:
@@ -127,21 +134,26 @@ class _Parser:
         if tag == "body":
             self.cut(0)
         top = above[-1] if above else _Open("", False, False, False, False)
-        frame, main, marked = top.frame, top.main or tag in _MAIN_TAGS, top.marked
-        frame = frame or tag in _FRAME_TAGS or (tag == "header" and not main)
+        marked, holder = top.marked, tag in _MAIN_TAGS
+        frame = top.frame or tag in _FRAME_TAGS or (tag == "header" and not top.main)
+        named = False
         if attributes:
             marked = marked or "data-label-main" in attributes
             for name, value in _ATTR.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id", "role"):
                     names = set(_TOKEN.findall(value))
-                    frame = frame or bool(names & _FRAME_NAMES) or ("header" in names and not main)
-                    main = main or bool(names & _MAIN_NAMES)
+                    named = named or bool(names & _FRAME_NAMES) or ("header" in names and not (top.main or holder))
+                    holder = holder or bool(names & _MAIN_NAMES)
                 elif (name == "hidden" or name == "aria-hidden" and value == "true"
                       or name == "style" and "display:none" in value.replace(" ", "")):
                     frame = True
+        if tag in ("html", "body"):  # they hold the whole page, whatever they are called
+            named = holder = False
+        over = top.wraps if holder else top.over
+        wraps, forms = top.wraps + (named or tag == "form"), top.forms + (tag == "form")
         self.places.setdefault(tag, []).append(len(above))
-        above.append(_Open(tag, frame, main, top.dropped or tag in _DROPPED, marked))
+        above.append(_Open(tag, frame, top.main or holder, top.dropped or tag in _DROPPED, marked, wraps, over, forms))
 
     def close(self, tag: str) -> None:
         if tag in _INLINE:
@@ -153,6 +165,24 @@ class _Parser:
             self.cut(at)
 
 
+def _settle_frames(found: list[Block]) -> None:
+    """Set ``frame`` of the blocks of one page by the forms and frame-named elements around them.
+
+    Those that hold the page's main element are no frame for what is in it:
+    of the main elements, the ones with the fewest of them around count.  A
+    form with most of the page's words and no main text outside is none either.
+    """
+    named = [b for b in found if not b.frame]
+    least = min((b.over for b in named if b.main and b.wraps == b.over), default=0)
+    for b in named:
+        b.frame = b.wraps > (b.over if b.main and b.over <= least else 0)
+    inside = sum(b.words for b in found if b.forms)
+    if 2 * inside > sum(b.words for b in found) and not any(b.main and not b.frame and not b.forms for b in found):
+        for b in named:
+            if b.forms and not b.main:
+                b.frame = b.wraps > b.forms
+
+
 def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in order."""
     p, at = _Parser(), 0
@@ -173,6 +203,7 @@ def blocks(html: str) -> list[Block]:
         p.open(tag, attributes)
     p.text(html[at:])
     p.end_block()
+    _settle_frames(p.found)
     return p.found
 
 
@@ -273,6 +304,9 @@ PAGES = (
     "<span>{2}</span><div M>{55}</div><div M>{80}</div><div>{5}</div><div>[2] {3}</div>",
     "<div>[6] [7] [5]</div><div M><p>{33}</p><p>{49} [2] {5}</p></div><div>{4} [12] [9]</div><div>[20]</div>",
     "<p>[1] [1] [1] [1] [1]</p><p M>{95}</p><p M>{41}</p><p>{3} [3]</p><p>[4]</p>",
+    "<body class='has-sidebar'><nav>[1] [1]</nav><article M><h1>{5}</h1><p>{40}</p><p>{6}</p></article><div class=sidebar><p>{30}</p></div></body>",
+    "<div class='content-with-sidebar'><article M><h1>{6}</h1><p>{50}</p><p>{4}</p></article><div class=sidebar><p>{26}</p></div></div>",
+    "<form><div class=header>{3}</div><div id=content M><h2>{5}</h2><p>{45}</p><p>{30}</p></div><div id=footer>{14}</div></form>",
 )
 
 

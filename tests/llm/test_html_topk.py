@@ -76,6 +76,25 @@ def test_deep_and_omitted_end_tags():
     assert [o.tag for o in p.stack] == ["table", "tr", "td", "table", "tr"]
 
 
+def test_frame_names_around_the_whole_page(spark):
+    s, t = SENTENCE + ".", SENTENCE.upper() + "!"
+    article, side = f"<article><h1>Head</h1><p>{s}</p><p>ok</p></article>", f"<div class=sidebar><p>{t}</p></div>"
+    pages = [
+        f"<html class=navbar><body class='has-sidebar'>{article}{side}</body></html>",
+        f"<div class='content-with-sidebar'>{article}{side}</div>",
+        f"<body id='search-page'><div id='search-page'><main><h1>Head</h1><p>{s}</p><p>ok</p></main></div>",
+        f"<form method=post action=x><nav><a href=1>Home</a></nav>{article}<div id=footer>{t}</div></form>",
+        f"<form><div class=header>Site</div><div id=content><h1>Head</h1><p>{s}</p><p>ok</p></div></form>",
+        f"<div class=has-sidebar>{article}<div class=comments><article><p>{t}</p></article></div></div>",
+        f"{article}<div class=comments><article><p>{t}</p></article></div><aside><article><p>{t}</p></article></aside>",
+        f"<div id=widgets><article><h1>Head</h1><p>{s}</p><div class=ad>{t}</div><p>ok</p></article></div>",
+    ]
+    assert texts(spark, pages) == dict.fromkeys(range(len(pages)), f"Head {s} ok")
+    long = f"<p>{s} {s}</p><p>{t} {t}</p>"
+    assert texts(spark, [f"<form>{long}</form>", f"<article><p>{s}</p></article><form>{long}</form>"]) == {
+        0: f"{s} {s} {t} {t}", 1: s}
+
+
 def test_odd_pages(spark):
     odd = [None, "", "   ", "<", "<p", "</p></p>", "<!-- never closed <p>x", "<script>x", "&#0;&#xD800;&bogus;",
            "<p>" * 30_000, "<div>" * 20_000 + SENTENCE, "<a href='", "<p " + "a='" * 5000 + ">x", "x" * 3_000_000]
