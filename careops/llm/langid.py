@@ -12,7 +12,7 @@ stretches of texts in different languages.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,8 @@ STEPS = 32              # words of a block in forward-backward
 SEQUENCE = 128          # words of a training sequence
 CACHE_WORDS = 200_000
 GROUP_CHARS = 1_000_000
+LEAST_TEXTS = 100       # labelled texts of the sample from which on there is a calibration
+LOWEST = 1              # percentile of the sample's texts that calibrates
 
 
 @dataclass
@@ -41,6 +43,9 @@ class Model:
     weights: np.ndarray     # BUCKETS x labels
     transitions: np.ndarray  # labels x labels, log scale
     lexicon: np.ndarray     # sorted hashes of words
+    seen: np.ndarray | None = None  # buckets of the sample's features
+    low_known: float = 0.0  # ``known`` of the sample's texts, at LOWEST per cent of them; 0: no calibration
+    low_score: float = 0.0  # their score
 
 
 def clean(token: str) -> str:
@@ -241,14 +246,16 @@ def _known(docs: DataFrame, text_col: str, label_col: str, learn: Column) -> Dat
 
 
 def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
-        text_col: str = "text", label_col: str = "lang", rounds: int = ROUNDS) -> Model:
+        text_col: str = "text", label_col: str = "lang", rounds: int = ROUNDS, evidence: bool = False) -> Model:
     """Fit the model on about ``sample_rows`` (at most twice as many) of the labelled rows where ``learn`` holds.
 
     The sample is chosen by a hash of the id over the whole table and is all
     that the model sees: labels, lexicon, weights and transitions.  In each
     round PARTS tasks take gradient steps on a share of it from the same
     weights, whose average starts the next round.  What reaches the driver is
-    bounded by the model's size and the sample's word list.
+    bounded by the model's size and the sample's word list.  With ``evidence``
+    the model also holds the sample's features and how the sample's texts fare
+    in :func:`identify`, each judged by the features of the other parts.
     """
     spark = docs.sparkSession
     sample = (bounded_sample(_known(docs, text_col, label_col, learn), F.col(id_col), sample_rows, "langid")
@@ -286,11 +293,38 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, id_col:
             weights = sum(s * np.frombuffer(g["w"], "<f4").reshape(BUCKETS, n) for s, g in zip(share, got))
             transitions = sum(s * np.frombuffer(g["t"], "<f8").reshape(n, n) for s, g in zip(share, got))
             sent.destroy()
-        return Model(labels, weights.astype(np.float32), transitions, lexicon)
+        model = Model(labels, weights.astype(np.float32), transitions, lexicon)
+        return _calibrated(model, sample) if evidence else model
     finally:
         sample.unpersist()
 
 
+def _calibrated(model: Model, sample: DataFrame) -> Model:
+    """The model with the features of the sample and the calibration on its texts."""
+    def used(rows: pd.DataFrame) -> pd.DataFrame:
+        words = {w for t in rows["text"] for w in map(clean, t.lower().split()) if w}
+        seen = np.zeros(BUCKETS, bool)
+        seen[features(sorted(words), model.lexicon)[0]] = True
+        return pd.DataFrame({"part": rows["part"].iloc[:1], "seen": [np.packbits(seen).tobytes()]})
+
+    own = {r["part"]: np.unpackbits(np.frombuffer(r["seen"], np.uint8)).astype(np.int64)
+           for r in sample.groupBy("part").applyInPandas(used, "part int, seen binary").collect()}
+    total = sum(own.values())
+
+    def judge(rows: pd.DataFrame) -> pd.DataFrame:
+        label = Labeller(replace(model, seen=total > own[rows["part"].iloc[0]]))
+        _, scores, _ = label(rows["text"].tolist(), False)
+        out = pd.DataFrame({"known": label.known_share, "score": scores})
+        return out[label.n_words > 0]
+
+    model = replace(model, seen=total > 0)
+    got = sample.groupBy("part").applyInPandas(judge, "known double, score double").toPandas()
+    if len(got) < LEAST_TEXTS:
+        return model
+    known, score = (float(np.percentile(got[c], LOWEST)) for c in ("known", "score"))
+    return replace(model, low_known=known, low_score=score)
+
+
 # ---------------------------------------------------------------- prediction
 
 class _Words(dict):
@@ -316,6 +350,7 @@ class Labeller:
         self.words = _Words()
         self.scores = np.zeros((0, len(self.model.labels)), np.float32)
         self.letters = np.zeros(0, bool)
+        self.known = np.zeros(0)
 
     def _numbers(self, tokens: list[str]) -> np.ndarray:
         if len(self.words) > CACHE_WORDS:
@@ -326,11 +361,17 @@ class Labeller:
             self.words.new.clear()
             self.scores = np.concatenate((self.scores, emissions(cleaned, self.model.weights, self.model.lexicon)))
             self.letters = np.concatenate((self.letters, np.fromiter(map(bool, cleaned), bool, len(cleaned))))
+            if self.model.seen is not None:
+                index, owner = features(cleaned, self.model.lexicon)
+                share = (np.bincount(owner, self.model.seen[index], minlength=len(cleaned))
+                         / np.maximum(np.bincount(owner, minlength=len(cleaned)), 1))
+                self.known = np.concatenate((self.known, share))
         return ids
 
     def __call__(self, texts: list[str | None], spans: bool) -> tuple[list[str], np.ndarray, list | None]:
         labels = self.model.labels
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        self.n_words, self.known_share = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         runs: list | None = [[] for _ in texts] if spans else None
         if not labels:
             return names, scores, runs
@@ -341,6 +382,11 @@ class Labeller:
         word_of = np.repeat(np.arange(len(texts)), lengths)
         letters = self.letters[ids]
         n = np.bincount(word_of[letters], minlength=len(texts))
+        self.n_words = n
+        if self.model.seen is not None:
+            share = np.bincount(word_of[letters], self.known[ids[letters]], minlength=len(texts)) / np.maximum(n, 1)
+            chance = self.model.seen.mean()  # that a feature is known by its bucket alone
+            self.known_share = np.maximum(share - chance, 0) / max(1 - chance, 1e-9)
         total = np.stack([np.bincount(word_of[letters], p[letters, k], minlength=len(texts))
                           for k in range(len(labels))], 1)
         best = total.argmax(axis=1)
@@ -359,14 +405,17 @@ class Labeller:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-             spans: bool = True) -> DataFrame:
+             spans: bool = True, evidence: bool = False) -> DataFrame:
     """Language of every whole text: the ``keep`` columns, ``lang_pred``, ``score`` and, if asked for, ``spans``.
 
     ``lang_pred`` is the label with the largest mean probability over the
     words with a letter (ties: the first label), ``score`` that mean.  A null
     text, a text without a letter and a model without labels give ``und`` and
     0.  ``spans`` are the runs of equally labelled words of a code-switched
-    text, [start, end) in white-space separated words.  One row per input row,
+    text, [start, end) in white-space separated words.  ``evidence``, of a
+    model fitted with it, adds ``n_words`` (words with a letter) and ``known``:
+    the mean share of a word's features that the sample has, above what chance
+    gives (0 to 1).  One row per input row,
     repeated rows and nulls in any column included; an empty table gives an
     empty result.  Only the text is an input of the prediction; columns other
     than it and ``keep`` are not looked at.
@@ -385,9 +434,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                 names, scores, runs = label(texts[lo:hi], spans)
                 columns = {c: part.column(i).slice(lo, hi - lo) for i, c in enumerate(keep)}
                 columns |= {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores)}
+                if evidence:
+                    columns |= {"n_words": pa.array(label.n_words, pa.int64()), "known": pa.array(label.known_share)}
                 if spans:
                     columns["spans"] = pa.array(runs, run_type)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    found = "lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
+    found = "lang_pred string, score double" + ", n_words long, known double" * evidence + ", spans array<struct<start:int,end:int,lang:string>>" * spans
     return table.mapInArrow(run, T.StructType([table.schema[c] for c in keep] + T.StructType.fromDDL(found).fields))

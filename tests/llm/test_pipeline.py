@@ -1,7 +1,9 @@
 """The corpus pipeline: each stage on its own input, against brute force; the entry module's guard."""
 
 import os
+import random
 import re
+import string
 import subprocess
 import sys
 
@@ -46,6 +48,22 @@ def test_language_id_keeps_the_given_documents(spark):
     assert cp.language_id(spark, docs, MEDIUM).count() == docs.where("text rlike '[A-Za-z]'").count()
 
 
+def test_language_id_drops_planted_noise(spark):
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    rng = random.Random(4)
+    noise = [" ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 10)))
+                      for _ in range(60)) for _ in range(30)]
+    other = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan",
+             "Minden emberi lény szabadon születik és egyenlő méltósága és joga van",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах", "人人生而自由 在尊严和权利上一律平等"]
+    rows = [(10_000_000 + 5 * i, t, None, "s", len(t)) for i, t in enumerate(noise + other)]
+    planted = docs.select(*cp.COLUMNS).union(spark.createDataFrame(rows, SCHEMA))
+    got = cp.language_id(spark, planted, MEDIUM)
+    assert got.where("doc_id >= 10000000").count() == 0
+    assert got.count() == docs.where("text rlike '[A-Za-z]'").count()
+
+
 @pytest.mark.parametrize("rows", ["odd", "made"])
 def test_near_dedup_keeps_one_of_each_group(spark, rows):
     rows = odd_rows() if rows == "odd" else made_documents()
