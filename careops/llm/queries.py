@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careops.llm import html_text, langid, lm, mixing, packing, quality, simhash, substring, topk, warc
-from careops.llm.common import SPACE_RE, cut_lineage, read_table, remainder, scratch_path
+from careops.llm import html_text, langid, lm, mixing, packing, periodic, quality, simhash, substring, topk, warc
+from careops.llm.common import SPACE_RE, WORD_RE, cut_lineage, read_table, remainder, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -74,6 +74,36 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` with every tenth text, by crc32 of its id, made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(WORD_RE), F.lit(0))
+    marked = docs.withColumns({"_g": F.floor(h / 10), "_words": F.when(h % 10 == 0, words)})
+    n = F.size("_words")
+    marked = marked.withColumn("_a", F.when(n > 0, (F.col("_g") % n).cast("int")))
+    marked = marked.withColumn("_p", (1 + F.floor((n - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int"))
+    head = F.slice("_words", F.lit(1), F.col("_a"))
+    cycle = F.slice("_words", F.col("_a") + 1, F.col("_p"))
+    times = F.ceil((n - F.col("_a")) / F.col("_p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(cycle, times)), F.lit(1), n - F.col("_a"))
+    line = F.when(F.col("_a").isNotNull(), F.array_join(F.concat(head, tail), " ")).otherwise(F.col("text"))
+    return marked.select("doc_id", line.alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")), least=12)
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                               (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    found = found.withColumn("_first", first)
+    length, period = F.col("_first.length"), -F.col("_first.period")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_first.start")).alias("start"),
+                        length.alias("length"), period.alias("period"),
+                        F.floor(1000 * length / period).alias("exponent_milli"),
+                        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality_cascade": op2_quality_cascade,
@@ -85,4 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_mix_sources": op10_mix_sources,
+    "op12_periodic_runs": op12_periodic_runs,
 }
