@@ -110,10 +110,38 @@ SELECT doc_id, size, source_size, target,
 FROM k
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                  string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, unnest(pieces) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+total AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang),
+spot AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+gram AS (SELECT lang, list_slice(words, i, i + k - 1) AS g FROM spot, range(1, 6) AS z(k) WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, g, count(*) AS n FROM gram GROUP BY lang, g HAVING count(*) >= 100),
+c AS (SELECT lang, g, n AS a FROM f WHERE len(g) > 1),
+inside AS (SELECT lang, list_slice(g, i, i + k - 1) AS g, max(a) AS longer
+           FROM c, range(2, 5) AS z(k), range(1, 5) AS y(i) WHERE k < len(g) AND i + k - 1 <= len(g) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside ON c.lang = inside.lang AND c.g = inside.g
+         WHERE longer IS NULL OR 100 * longer < 100 * a),
+cut AS (SELECT kept.lang, kept.g, a, x.n AS l, y.n AS r, total.n, z.k,
+               (CAST(1000 AS HUGEINT) * a * total.n) // (CAST(x.n AS HUGEINT) * y.n) AS score
+        FROM kept JOIN range(1, 5) AS z(k) ON z.k < len(kept.g) JOIN total ON total.lang = kept.lang
+        JOIN f AS x ON x.lang = kept.lang AND x.g = list_slice(kept.g, 1, z.k)
+        JOIN f AS y ON y.lang = kept.lang AND y.g = list_slice(kept.g, z.k + 1, len(kept.g))),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM low)
+SELECT lang, CAST(rank AS BIGINT) AS rank, array_to_string(g, ' ') AS phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+       CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM o WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_cascade": OP2,
     "op4_exact_topk": OP4,
     "op6_substring_dedup": OP6,
     "op9_warc_revisit": OP9,
     "op10_mix_sources": OP10,
+    "op11_collocations": OP11,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careops.llm import html_text, langid, lm, mixing, packing, periodic, quality, simhash, substring, topk, warc
+from careops.llm import collocations, html_text, langid, lm, mixing, packing, periodic, quality, simhash, substring, topk, warc
 from careops.llm.common import SPACE_RE, WORD_RE, cut_lineage, read_table, remainder, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -74,6 +74,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return collocations.collocations(docs, max_words=5, least=100, top=2000, cover_percent=100).drop("words")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``docs`` with every tenth text, by crc32 of its id, made periodic from some word on."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -115,5 +120,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_warc_revisit": op9_warc_revisit,
     "op10_mix_sources": op10_mix_sources,
+    "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
 }
