@@ -7,15 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careops.llm import collocations, html_text, langid, lm, mixing, packing, periodic, quality, simhash, substring, topk, warc
+from careops.llm import collocations, html_text, langid, lm, mixing, packing, periodic, quality, simhash, substring, token_files, topk, warc
 from careops.llm.common import SPACE_RE, WORD_RE, cut_lineage, read_table, remainder, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(read_table(spark, sf_dir, "documents"), path, tokenizer_path(WORD_TOKENIZER))
+    return token_files.read_tokens(spark, path, with_ids=False).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_quality_cascade": op2_quality_cascade,
@@ -122,4 +129,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
     "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
