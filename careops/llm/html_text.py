@@ -23,15 +23,18 @@ from pyspark.sql import types as T
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
                   r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTR = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")  # every name, with its value if it has one
 _TOKEN = re.compile(r"[a-z]+")
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp",
+                                                            "annotation", "annotation-xml")}
 
 # tag names: fixed values
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s "
-                    "samp small span strike strong sub sup time tt u var wbr img br input picture source".split())
+                    "samp small span strike strong sub sup time tt u var wbr img br input picture source "
+                    "math mi mn mo ms mtext mrow msup msub msubsup mmultiscripts mprescripts mfrac msqrt mroot mstyle munder "
+                    "mover munderover mtable mtr mtd mlabeledtr mspace mpadded mphantom menclose merror semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROPPED = frozenset("head button select option svg math template object canvas audio video map".split())
+_DROPPED = frozenset("head button select option svg template object canvas audio video map".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _FRAME_TAGS = frozenset("nav footer aside menu dialog fieldset".split())
 _MAIN_TAGS = frozenset(("article", "main"))
@@ -41,6 +44,11 @@ _FRAME_NAMES = frozenset(
     "pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription tags toolbar widget widgets contentinfo "
     "complementary alert".split())
+#: Words that names of frames are made up with.
+_NAME_PARTS = frozenset(
+    "area article articles bar block body bottom box btn button buttons container content email group holder icons inner "
+    "item items left link links list outer panel post posts right row section sections slot stories story text title top "
+    "unit wrap wrapper".split())
 _MAIN_NAMES = frozenset("article content entry main post story".split())
 #: What an opening tag closes, and the tags that it doesn't reach beyond.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "option": (("option",), ("select",)),
@@ -64,6 +72,24 @@ class Block:
     forms: int = 0       # forms around it
 
 
+def _names_frame(name: str, value: str, tag: str, inside: bool) -> bool:
+    """Whether a class, role or id says that an element is no main text.
+
+    Outside the main element any part of a name may say so.  Inside it, and
+    for ids of sections, a name like ``related-work`` is rather the subject: each
+    part must be a frame's or one that such names are made up with.  Ids of
+    headings are anchors.
+    """
+    if name == "id" and tag in _HEADINGS:
+        return False
+    strict = inside or (name == "id" and tag == "section")
+    for token in value.split():
+        parts = set(_TOKEN.findall(token))
+        if parts & _FRAME_NAMES and not (strict and parts - _FRAME_NAMES - _NAME_PARTS):
+            return True
+    return False
+
+
 @dataclass
 class _Open:
     tag: str
@@ -142,9 +168,11 @@ class _Parser:
             for name, value in _ATTR.findall(attributes):
                 name, value = name.lower(), value.strip("\"'").lower()
                 if name in ("class", "id", "role"):
+                    inside = top.main or holder
                     names = set(_TOKEN.findall(value))
-                    named = named or bool(names & _FRAME_NAMES) or ("header" in names and not (top.main or holder))
-                    holder = holder or bool(names & _MAIN_NAMES)
+                    named = named or _names_frame(name, value, tag, inside) or (
+                        "header" in names and not inside and not (name == "id" and tag in _HEADINGS))
+                    holder = holder or (bool(names & _MAIN_NAMES) and tag not in _HEADINGS)
                 elif (name == "hidden" or name == "aria-hidden" and value == "true"
                       or name == "style" and "display:none" in value.replace(" ", "")):
                     frame = True
@@ -208,7 +236,7 @@ def blocks(html: str) -> list[Block]:
 
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after",
-            "heading", "item", "frame", "main", "elsewhere")
+            "heading", "item", "frame", "main", "inside", "elsewhere")
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -219,6 +247,7 @@ def features(found: list[Block]) -> np.ndarray:
     density = np.array([b.linked for b in found], float) / words
     flags = [np.array([getattr(b, n) for b in found], float) for n in ("heading", "item", "frame", "main")]
 
+    flags.append(flags[3] * (1 - flags[2]))
     flags.append(flags[3].max() * (1 - flags[3]))  # the page has a tag for main text, and this block is outside
 
     def shifted(x: np.ndarray, by: int) -> np.ndarray:
@@ -246,7 +275,7 @@ def _impurity(n: np.ndarray, main: np.ndarray) -> np.ndarray:
     return n * 2 * p * (1 - p)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Node:
     """A CART classifier: the split with the least Gini impurity, until pure or ``depth``."""
     node = Node(float(y.mean()))
     if depth == 0 or y.all() or not y.any():
@@ -306,6 +335,16 @@ PAGES = (
     "<p>[1] [1] [1] [1] [1]</p><p M>{95}</p><p M>{41}</p><p>{3} [3]</p><p>[4]</p>",
     "<body class='has-sidebar'><nav>[1] [1]</nav><article M><h1>{5}</h1><p>{40}</p><p>{6}</p></article><div class=sidebar><p>{30}</p></div></body>",
     "<div class='content-with-sidebar'><article M><h1>{6}</h1><p>{50}</p><p>{4}</p></article><div class=sidebar><p>{26}</p></div></div>",
+    "<div>[1] [1] [2]</div><div M><h1>{5}</h1><p>{40}</p><p>{2}</p><p>{52}</p><p>{3}</p><p>{2}</p><p>{61}</p></div><div>{4} [2]</div><div>{5}</div>",
+    "<div>{4}</div><div M><p>{26}</p><p>{1}</p><p>{47}</p><h2>{2}</h2><p>{3}</p><p>{34}</p><p>{5}</p><p>{70}</p></div><div>[3]</div><div>[2]</div>",
+    "<div>{2} [1] [1]</div><div M><p>{2}</p><p>{44}</p><p>{4}</p><p>{4}</p><p>{38}</p><p>{2}</p><p>{29}</p></div><div>[1] [2]</div>",
+    "<article M><h1>{3}</h1><p>{40}</p><p>{2}</p><p>{40}</p></article><footer>{3}</footer>",
+    "<article M><p>{7}</p><p>{14}</p></article>",
+    "<main M><p>{2}</p><p>{9}</p></main><div>{2}</div>",
+    "<article M><p>{5}</p></article>",
+    "<article M><p>{3} [2]</p><p>[4]</p><p>{8}</p></article><div>{8}</div>",
+    "<div><article M><h2>{5}</h2><p>{20}</p><p>{7}</p></article></div>",
+    "<main M><h1>{2}</h1><p>{3}</p><p>{50}</p><ul><li>{2}</li><li>{1}</li></ul></main>",
     "<form><div class=header>{3}</div><div id=content M><h2>{5}</h2><p>{45}</p><p>{30}</p></div><div id=footer>{14}</div></form>",
 )
 
