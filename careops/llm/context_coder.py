@@ -21,9 +21,10 @@ _U = np.uint64
 TOTAL_BITS = 30            # all frequencies of a step add up to at most this power of two
 SHARES = 64                # a step's mixture is dealt in so many shares
 _Z = 1 << 24               # frequency of a share: SHARES * _Z == 1 << TOTAL_BITS
-_SURE = 3                  # most that a remembered place is sure
+_SURE = 3                  # most that a remembered place is sure: how often in a row it was right
+_SURER = np.minimum(np.arange(_SURE + 1) + 1, _SURE)
 _HASH_BITS = 13            # of the table of order 2
-_RATE = 4
+_RATE = 5
 _EVERY = 128               # steps between renewals of the order-0 frequencies
 
 
@@ -112,9 +113,9 @@ class _Mixer:
         self.state_row = self.lane * (2 * (_SURE + 1) ** 2)
         self.after1 = np.zeros(lanes * (width + 1), np.int32)   # place << 2 | how sure
         self.after2 = np.zeros(lanes << _HASH_BITS, np.int32)
-        start = np.array([[0.02, 0.35, 0.6, 0.8][k2] for k2 in range(4) for _ in range(8)])
+        start = np.array([[0.15, 0.45, 0.65, 0.8][k2] for k2 in range(_SURE + 1) for _ in range(8)])
         self.right2 = np.tile((start * 65536).astype(np.int64), lanes)
-        start = np.array([[0.02, 0.2, 0.35, 0.5][k1] for _ in range(4) for k1 in range(4) for _ in range(2)])
+        start = np.array([[0.08, 0.3, 0.4, 0.5][k1] for _ in range(4) for k1 in range(4) for _ in range(2)])
         self.right1 = np.tile((start * 65536).astype(np.int64), lanes)
         self.counts = np.zeros((lanes, width + 1), np.int32)
         self.flat = self.counts.reshape(-1)
@@ -187,8 +188,7 @@ class _Mixer:
 
     def learn(self, active: int, place: np.ndarray) -> None:
         for at, found, hit, table in ((self.at1, self.found1, self.hit1, self.after1), (self.at2, self.found2, self.hit2, self.after2)):
-            sure = found & 3
-            table[at] = np.where(hit, found + (sure < _SURE), np.where(sure > 1, found - 1, (place << 2) | 1))
+            table[at] = (place << 2) + hit * _SURER[found & 3]
         state = self.state
         self.right2[state] = self.rate2 + (((self.hit2.astype(np.int64) << 16) - self.rate2) >> _RATE)
         # order 1 is judged where it differs from order 2 and that is wrong

@@ -34,7 +34,7 @@ BLOCK = 4096
 SEGMENT_CHARS = 8_000_000
 FILE_SEGMENTS = 4
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 # fixed value: what a segment starts with
 MAGIC = b"TKSEG\x00\x00\x01"
 _HEAD = struct.Struct("<8sQIIIIII")
