@@ -1,12 +1,19 @@
 """Language-model scores of texts by a hashed maximum-entropy model with a class-factored softmax.
 
 The probability of a token is that of its class, given the tokens before it,
-times that of the token in its class.  Classes group words by their ending and
-are found by clustering the endings' neighbours.  The class model is a
-softmax over hashed features of the context (the last word, the word before it
-with one skipped, the last two classes, the last two words), trained by
-gradient steps that tasks take side by side on their share of the documents.
-The token's share of its class comes from the counts of the whole corpus.
+times that of its cell in the class, given them too, times its share of the
+cell.  Classes group words by their ending and are found by clustering the
+endings' neighbours; cells are hashed groups of the words of a class.  Class
+and cell are softmax models over hashed features of the context (the last
+word, the word before it with one skipped, the last two classes, the last two
+words; for the cell each together with the class).  The share of the cell
+comes from the counts of the whole corpus.
+
+Both are trained by distributed gradient steps.  Texts are dealt into shares
+by a hash, so many as their length asks for; a task takes its share's steps in
+the order of the hash, and the changes of each feature's weights are averaged
+by how often the share met it.  Sums are made in integers.  So the model is
+the same however the table is partitioned.
 
 Counts: tasks count the distinct words of groups of texts, and the counts are
 summed by word hash.  The most frequent words (a bounded table) go to every
@@ -27,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.llm.common import Words, chunks_by_size, mix64, scratch_path, word_hashes
+from careops.llm.common import Words, chunks_by_size, mix64, release_memory, scratch_path, word_hashes
 
 CLASSES = 32
 ENDINGS = 2048          # hashed word endings, which make up the classes
 NEIGHBOURS = 64         # hashed neighbouring endings that describe an ending
-BUCKETS = 1 << 14       # hashed features
-ROUNDS = 2              # each trains on another share of the documents; together on all
+CELLS = 16              # hashed groups of the words of a class
+BUCKETS = 1 << 14       # rows of hashed features, at least; a power of two, as many as TOKENS_A_BUCKET asks for
+MOST_BUCKETS = 1 << 17  # and at most: the tables go to every task
+TOKENS_A_BUCKET = 512
+ROUNDS = 2              # each trains on another part of the documents; together on all
+CHARS_A_ROW = 384       # of the training texts of all rounds in a share, for each row of the tables that it sends back
 STEP = 0.2              # of AdaGrad
 BATCH = 8192            # tokens of a gradient step
 SENT_WORDS = 200_000    # most frequent words whose counts go to every task
@@ -43,12 +54,32 @@ BLOCKS = 64             # row blocks of matrices on their way between tasks
 END = np.uint64(0x5851F42D4C957F2D)  # stands for a text's end
 
 
+@dataclass
+class Weights:
+    """Of the classes and the cells: tables by hashed feature, with AdaGrad's sum for each row."""
+    classes: np.ndarray        # rows x CLASSES; the last row is no feature's but the bias
+    seen_classes: np.ndarray
+    cells: np.ndarray          # rows x CELLS
+    seen_cells: np.ndarray
+
+    @staticmethod
+    def of(buckets: int) -> "Weights":
+        return Weights(np.zeros((buckets + 1, CLASSES), np.float32), np.full(buckets + 1, 1e-3, np.float32),
+                       np.zeros((buckets + 1, CELLS), np.float32), np.full(buckets + 1, 1e-3, np.float32))
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        return self.classes, self.seen_classes, self.cells, self.seen_cells
+
+    @property
+    def buckets(self) -> int:
+        return len(self.classes) - 1
+
+
 @dataclass
 class Model:
     classes: np.ndarray        # of each ending
-    weights: np.ndarray        # BUCKETS x CLASSES
-    bias: np.ndarray           # CLASSES
-    class_log: np.ndarray      # log10(tokens + words + 1) of each class
+    weights: Weights
+    cell_log: np.ndarray       # log10(tokens + words + 1) of each class and cell
     hashes: np.ndarray         # sorted hashes of the most frequent words
     counts: np.ndarray         # their counts
     train_tokens: int = 0
@@ -75,6 +106,7 @@ class Tokens:
             tail[have] |= w.data[w.ends[have] - k].astype(np.uint64) << np.uint64(8 * k)
         self.ending = np.zeros(len(self.hash), dtype=np.int64)  # ending 0 is the end's own
         self.ending[place] = 1 + (mix64(tail) % np.uint64(ENDINGS - 1)).astype(np.int64)
+        self.cell = (mix64(self.hash + np.uint64(1)) & np.uint64(CELLS - 1)).astype(np.int64)
 
     def back(self, values: np.ndarray, by: int, blank) -> np.ndarray:
         """``values`` of the tokens ``by`` places earlier in the same text, else ``blank``."""
@@ -83,15 +115,24 @@ class Tokens:
         out[np.arange(len(values)) - self.first[self.doc] < by] = blank
         return out
 
-    def features(self, classes: np.ndarray) -> np.ndarray:
-        """Buckets of the context features: tokens x 4."""
+    def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Four 64-bit values that describe each token's context."""
         h1, h2 = self.back(self.hash, 1, 0), self.back(self.hash, 2, 0)
         c = classes[self.ending].astype(np.uint64)
         c1, c2 = self.back(c, 1, CLASSES), self.back(c, 2, CLASSES)
-        kinds = (h1, h2 + np.uint64(1), c1 * np.uint64(CLASSES + 1) + c2 + np.uint64(1 << 40),
-                 h1 * np.uint64(0x9E3779B97F4A7C15) + h2)
-        return np.stack([(mix64(x * np.uint64(2 * i + 3)) % np.uint64(BUCKETS)).astype(np.int64)
-                         for i, x in enumerate(kinds)], axis=1)
+        return (h1, h2 + np.uint64(1), c1 * np.uint64(CLASSES + 1) + c2 + np.uint64(1 << 40),
+                h1 * np.uint64(0x9E3779B97F4A7C15) + h2)
+
+    def features(self, classes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+        """Rows of the context features among ``buckets``, a power of two: tokens x 4."""
+        return np.stack([(mix64(x * np.uint64(2 * i + 3)) & np.uint64(buckets - 1)).astype(np.int64)
+                         for i, x in enumerate(self.contexts(classes))], axis=1)
+
+    def cell_features(self, classes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+        """Rows of the context features with the token's own class, and of the class alone: tokens x 5."""
+        own = (classes[self.ending].astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return np.stack([(mix64((x ^ own) * np.uint64(2 * i + 11)) & np.uint64(buckets - 1)).astype(np.int64)
+                         for i, x in enumerate((*self.contexts(classes), np.zeros_like(own)))], axis=1)
 
 
 def _batch(names: list[str], *columns) -> pa.RecordBatch:
@@ -105,12 +146,12 @@ def _blocks(matrix: np.ndarray) -> list[bytes]:
 # -------------------------------------------------------------------- counts
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """From ``text``: rows (hash, ending, n) of distinct words per task, and per task BLOCKS rows (block, cells).
+    """From ``text``: rows (hash, ending, cell, n) of distinct words per task, and per task BLOCKS rows (block, cells).
 
     ``cells`` counts the endings on both sides of each ending.
     """
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hash", "ending", "n", "block", "cells"]
+        names = ["hash", "ending", "cell", "n", "block", "cells"]
         near = np.zeros((ENDINGS, 2 * NEIGHBOURS), np.float32)
         for part in parts:
             texts = part.column(0).to_pylist()
@@ -118,7 +159,8 @@ def count_words(docs: DataFrame) -> DataFrame:
                 t = Tokens(texts[lo:hi])
                 values, at, n = np.unique(t.hash, return_index=True, return_counts=True)
                 none = pa.nulls(len(values))
-                yield _batch(names, pa.array(values.view(np.int64)), pa.array(t.ending[at], pa.int32()), pa.array(n),
+                yield _batch(names, pa.array(values.view(np.int64)), pa.array(t.ending[at], pa.int32()),
+                             pa.array(t.cell[at], pa.int32()), pa.array(n),
                              none.cast(pa.int32()), none.cast(pa.binary()))
                 left, right = t.ending[:-1], t.ending[1:]
                 same = t.doc[:-1] == t.doc[1:]
@@ -128,26 +170,23 @@ def count_words(docs: DataFrame) -> DataFrame:
                     near += np.bincount(cell, minlength=near.size).reshape(near.shape)
         if near.any():
             none = pa.nulls(BLOCKS)
-            yield _batch(names, none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()),
+            yield _batch(names, none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.int64()),
                          pa.array(range(BLOCKS), pa.int32()), pa.array(_blocks(near), pa.binary()))
 
-    return docs.select("text").mapInArrow(run, "hash long, ending int, n long, block int, cells binary")
+    return docs.select("text").mapInArrow(run, "hash long, ending int, cell int, n long, block int, cells binary")
 
 
-def _sum_blocks(rows: DataFrame, columns: int, weight: str | None = None) -> np.ndarray:
-    """Sum (or mean by ``weight``) of matrices that arrive as rows (block, cells); no row if none arrives."""
+def _sum_blocks(rows: DataFrame, columns: int) -> np.ndarray:
+    """Sum of matrices of whole numbers that arrive as rows (block, cells); no row if none arrives."""
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}  # the blocks of this partition; rows stream by
-        weights: dict[int, float] = {}
         for part in parts:
-            for block, cells, w in zip(*(c.to_pylist() for c in part.columns)):
-                sums[block] = sums.get(block, 0.0) + w * np.frombuffer(cells, np.float32).astype(np.float64)
-                weights[block] = weights.get(block, 0.0) + w
-        cells = [(x / weights[b] if weight else x).astype(np.float32).tobytes() for b, x in sums.items()]
-        yield _batch(["block", "cells"], pa.array(list(sums), pa.int32()), pa.array(cells, pa.binary()))
-
-    got = (rows.select("block", "cells", F.col(weight) if weight else F.lit(1.0).alias("w"))
-           .repartition(BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect())
+            for block, cells in zip(*(c.to_pylist() for c in part.columns)):
+                sums[block] = sums.get(block, 0.0) + np.frombuffer(cells, np.float32).astype(np.float64)
+        yield _batch(["block", "cells"], pa.array(list(sums), pa.int32()),
+                     pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary()))
+
+    got = rows.select("block", "cells").repartition(BLOCKS, "block").mapInArrow(add, "block int, cells binary").collect()
     cells = [np.frombuffer(r["cells"], np.float32) for r in sorted(got, key=lambda r: r["block"])]
     return np.concatenate([np.empty(0, np.float32), *cells]).reshape(-1, columns)
 
@@ -184,48 +223,121 @@ def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.n
     return out
 
 
-def train(docs: DataFrame, classes: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One round: every task takes AdaGrad steps on its texts from the same weights; the mean by tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((classes, weights, bias))
+def _step(weights: np.ndarray, seen: np.ndarray, hits: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
+    """One AdaGrad step of a softmax on some tokens; ``hits`` counts the tokens of each row."""
+    p = weights[rows[:, 0]]
+    for k in range(1, rows.shape[1]):
+        p += weights[rows[:, k]]
+    p -= p.max(axis=1, keepdims=True)
+    np.exp(p, out=p)
+    p /= p.sum(axis=1, keepdims=True)
+    n = len(gold)
+    p[np.arange(n), gold] -= 1  # the gradient of minus the log-likelihood
+    keys = np.sort((rows.T.ravel() << 20) | np.tile(np.arange(n), rows.shape[1]))
+    at = keys >> 20
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    g = np.add.reduceat(p[keys & 0xFFFFF], starts, axis=0) / np.float32(np.sqrt(n))
+    hit = at[starts]
+    hits[hit] += np.diff(np.append(starts, len(at)))
+    seen[hit] += np.einsum("ij,ij->i", g, g) / p.shape[1]  # one rate for a feature's row
+    weights[hit] -= STEP * g / np.sqrt(seen[hit])[:, None]
+
+
+_UNIT = 2.0 ** 24       # half-precision numbers are multiples of its inverse
+_SEEN_UNIT = 2.0 ** 20
+
+
+def _changes(new: np.ndarray, old: np.ndarray, hits: np.ndarray, seen: np.ndarray, seen_old: np.ndarray) -> list[bytes]:
+    """What a share did to a table, in blocks of rows: changes in half precision, hits, growth of AdaGrad's sums."""
+    parts = (np.clip(new - old, -64, 64).astype(np.float16), hits.astype(np.uint32), (seen - seen_old).astype(np.float32))
+    return [b"".join(x.tobytes() for x in block) for block in zip(*(np.array_split(p, BLOCKS) for p in parts))]
+
+
+def _change(data: bytes, columns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The changes times the hits, the hits and the growth, as whole numbers."""
+    n = len(data) // (2 * columns + 8)
+    moved = np.frombuffer(data, np.float16, n * columns).reshape(n, columns).astype(np.float64)
+    hits = np.frombuffer(data, np.uint32, n, 2 * n * columns).astype(np.int64)
+    grown = np.frombuffer(data, np.float32, n, 2 * n * columns + 4 * n).astype(np.float64)
+    return (moved * _UNIT).astype(np.int64) * hits[:, None], hits, np.round(grown * _SEEN_UNIT).astype(np.int64)
+
+
+def train(docs: DataFrame, classes: np.ndarray, weights: Weights, shares: int) -> Weights:
+    """One round over ``text`` rows with their ``share`` and ``place``: all shares step from the same weights."""
+    sent = docs.sparkSession.sparkContext.broadcast((classes, weights))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, weights, bias = sent.value
-        weights, bias = weights.copy(), bias.copy()
-        seen, seen_bias = np.full(BUCKETS, 1e-3, np.float32), np.full(CLASSES, 1e-3, np.float32)
-        total = 0
+        classes, start = sent.value
+        release_memory()
+
+        def fresh():
+            hits = np.zeros(start.buckets + 1, np.int64), np.zeros(start.buckets + 1, np.int64)
+            return Weights(*(x.copy() for x in start.tables())), hits
+
+        def moved(w: Weights, hits) -> pa.RecordBatch:
+            blocks = (_changes(w.classes, start.classes, hits[0], w.seen_classes, start.seen_classes),
+                      _changes(w.cells, start.cells, hits[1], w.seen_cells, start.seen_cells))
+            return _batch(["block", "classes", "cells"], pa.array(range(BLOCKS), pa.int32()),
+                          *(pa.array(b, pa.binary()) for b in blocks))
+
+        def learn(texts: list[str], w: Weights, hits) -> None:
+            t = Tokens(texts)
+            gold = classes[t.ending]
+            bias = np.full((len(gold), 1), start.buckets)
+            rows = np.concatenate((t.features(classes, start.buckets), bias), axis=1)
+            cell_rows = t.cell_features(classes, start.buckets)
+            for a in range(0, len(gold), BATCH):
+                step = slice(a, a + BATCH)
+                _step(w.classes, w.seen_classes, hits[0], rows[step], gold[step])
+                _step(w.cells, w.seen_cells, hits[1], cell_rows[step], t.cell[step])
+
+        share, held = None, []  # texts come by share, in the order of their hash; groups do not depend on the batches
+        size = 0
+        w, hits = None, None
         for part in parts:
-            texts = part.column(0).to_pylist()
-            for lo, hi in chunks_by_size(texts, GROUP_CHARS):
-                t = Tokens(texts[lo:hi])
-                all_features, gold = t.features(classes), classes[t.ending]
-                for a in range(0, len(gold), BATCH):
-                    f, y = all_features[a:a + BATCH], gold[a:a + BATCH]
-                    p = _logits(weights, bias, f)
-                    p -= p.max(axis=1, keepdims=True)
-                    np.exp(p, out=p)
-                    p /= p.sum(axis=1, keepdims=True)
-                    p[np.arange(len(y)), y] -= 1  # the gradient of minus the log-likelihood
-                    flat = f.T.ravel().astype(np.int16)  # BUCKETS fit; makes the sort a radix sort
-                    order = np.argsort(flat, kind="stable")
-                    at = flat[order]
-                    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                    g = np.add.reduceat(p[order % len(y)], starts, axis=0) / np.float32(np.sqrt(len(y)))
-                    hit = at[starts].astype(np.int64)
-                    seen[hit] += np.einsum("ij,ij->i", g, g) / CLASSES  # one rate for a feature's row
-                    weights[hit] -= STEP * g / np.sqrt(seen[hit])[:, None]
-                    gb = p.sum(axis=0) / np.float32(np.sqrt(len(y)))
-                    seen_bias += gb * gb
-                    bias -= STEP * gb / np.sqrt(seen_bias)
-                total += len(gold)
-        if total:
-            rows = np.concatenate((weights, bias[None]))
-            yield _batch(["block", "cells", "tokens"], pa.array(range(BLOCKS), pa.int32()),
-                         pa.array(_blocks(rows), pa.binary()), pa.array([float(total)] * BLOCKS))
-
-    moved = docs.select("text").mapInArrow(run, "block int, cells binary, tokens double")
-    rows = _sum_blocks(moved, CLASSES, weight="tokens")
+            for of, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if of != share:
+                    if held:
+                        learn(held, w, hits)
+                    if w:
+                        yield moved(w, hits)
+                    (w, hits), share, held, size = fresh(), of, [], 0
+                held.append(text)
+                size += len(text or "")
+                if size >= GROUP_CHARS:
+                    learn(held, w, hits)
+                    held, size = [], 0
+        if held:
+            learn(held, w, hits)
+        if w:
+            yield moved(w, hits)
+
+    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}  # the blocks of this partition; rows stream by
+        for part in parts:
+            for block, *tables in zip(*(c.to_pylist() for c in part.columns)):
+                got = [x for data, n in zip(tables, (CLASSES, CELLS)) for x in _change(data, n)]
+                sums[block] = [a + b for a, b in zip(sums[block], got)] if block in sums else got
+
+        def tables(moved, hits, grown):
+            return ((moved / np.maximum(hits, 1)[:, None] / _UNIT).astype(np.float32).tobytes()
+                    + (grown / _SEEN_UNIT).astype(np.float32).tobytes())
+        yield _batch(["block", "classes", "cells"], pa.array(list(sums), pa.int32()),
+                     *(pa.array([tables(*x[i:i + 3]) for x in sums.values()], pa.binary()) for i in (0, 3)))
+
+    schema = "block int, classes binary, cells binary"
+    got = (docs.repartitionById(shares, F.col("share")).sortWithinPartitions("share", "place").select("share", "text")
+           .mapInArrow(run, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect())
     sent.unpersist()
-    return (rows[:-1], rows[-1]) if len(rows) else (weights, bias)
+    if not got:
+        return weights
+    new = []
+    for name, columns, tables in (("classes", CLASSES, weights.tables()[:2]), ("cells", CELLS, weights.tables()[2:])):
+        parts = [np.frombuffer(r[name], np.float32) for r in sorted(got, key=lambda r: r["block"])]
+        cut = [len(p) // (columns + 1) * columns for p in parts]
+        new.append(tables[0] + np.concatenate([p[:c] for p, c in zip(parts, cut)]).reshape(-1, columns))
+        new.append(tables[1] + np.concatenate([p[c:] for p, c in zip(parts, cut)]))
+    return Weights(*new)
 
 
 # ------------------------------------------------------------------- scoring
@@ -245,6 +357,20 @@ def _frequent(counts: DataFrame) -> DataFrame:
     return counts.where(step >= least if least is not None else F.lit(False)).select("hash", "n")
 
 
+def token_logs(model: Model, t: Tokens) -> np.ndarray:
+    """log10 of the probability of each token's class and cell, given its context."""
+    cls, w, out = model.classes[t.ending], model.weights, np.zeros(len(t.ending))
+    none = np.zeros(CELLS, np.float32)
+    for weights, bias, rows, gold in ((w.classes, w.classes[-1], t.features(model.classes, w.buckets), cls),
+                                      (w.cells, none, t.cell_features(model.classes, w.buckets), t.cell)):
+        for a in range(0, len(gold), BATCH):
+            x = _logits(weights, bias, rows[a:a + BATCH])
+            x -= x.max(axis=1, keepdims=True)
+            own = x[np.arange(len(x)), gold[a:a + BATCH]].astype(np.float64)
+            out[a:a + BATCH] += own - np.log(np.exp(x).sum(axis=1, dtype=np.float64))
+    return out / math.log(10)
+
+
 def _score_batches(model: Model):
     """A function from batches of (carried..., text) to rows with the known parts of the scores."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,18 +380,10 @@ def _score_batches(model: Model):
             texts = part.column(part.num_columns - 1).to_pylist()
             for lo, hi in chunks_by_size(texts, GROUP_CHARS // 2):
                 t, n = Tokens(texts[lo:hi]), hi - lo
-                cls = m.classes[t.ending]
-                score = np.empty(len(cls))
-                f = t.features(m.classes)
-                for a in range(0, len(cls), BATCH):
-                    x = _logits(m.weights, m.bias, f[a:a + BATCH])
-                    x -= x.max(axis=1, keepdims=True)
-                    own = x[np.arange(len(x)), cls[a:a + BATCH]].astype(np.float64)
-                    score[a:a + BATCH] = own - np.log(np.exp(x).sum(axis=1, dtype=np.float64))
-                score = score / math.log(10) - m.class_log[cls]
+                score = token_logs(m, t) - m.cell_log[m.classes[t.ending], t.cell]
                 at = np.minimum(np.searchsorted(m.hashes, t.hash), max(len(m.hashes) - 1, 0))
-                sent = m.hashes[at] == t.hash if len(m.hashes) else np.zeros(len(cls), bool)
-                counts = np.where(sent, m.counts[at], 0) if len(m.hashes) else np.zeros(len(cls))
+                sent = m.hashes[at] == t.hash if len(m.hashes) else np.zeros(len(t.hash), bool)
+                counts = np.where(sent, m.counts[at], 0) if len(m.hashes) else np.zeros(len(t.hash))
                 logs = np.bincount(t.doc, np.log10(counts + 1.0), minlength=n)
                 known = np.bincount(t.doc[sent], minlength=n)
                 rare = t.hash[~sent].view(np.int64)
@@ -292,10 +410,11 @@ def fit_and_score(docs: DataFrame, learn: Column, text_col: str = "text", keep:
     ``score``, the log10 probability of the text by the model.
 
     A null or empty text is its end alone.  A ``learn`` that is null counts as
-    false.  Without a training text all counts are 0 and the classes are
-    equally likely.  Null ids and repeated rows are scored, and learned from,
+    false.  Without a training text all counts are 0, and the classes and cells
+    are equally likely.  Null ids and repeated rows are scored, and learned from,
     like any others; an empty table gives an empty result; columns of ``docs``
-    other than the text and ``keep`` are not looked at.
+    other than the id, the text and ``keep`` are not looked at.  Scores do not
+    depend on how the rows are partitioned or ordered.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -305,27 +424,33 @@ def fit_and_score(docs: DataFrame, learn: Column, text_col: str = "text", keep:
     count_words(training.select(text.alias("text"))).write.parquet(found)
     rows = spark.read.parquet(found)
     counts_at = scratch_path(spark, "lm-counts")
-    (rows.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"), F.min("ending").alias("ending"))
+    (rows.where("hash is not null").groupBy("hash").agg(F.sum("n").alias("n"), F.min("ending").alias("ending"), F.min("cell").alias("cell"))
      .write.parquet(counts_at))
     counts = spark.read.parquet(counts_at)
     near = _sum_blocks(rows.where("block is not null").select("block", "cells"), 2 * NEIGHBOURS)
     classes = cluster_endings(near) if len(near) else np.zeros(ENDINGS, np.int64)
 
-    weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), np.zeros(CLASSES, np.float32)
-    share = F.pmod(F.xxhash64(F.lit("round"), F.col(id_col)), F.lit(rounds))
-    for r in range(rounds):
-        weights, bias = train(training.where(share == r).select(text.alias("text")), classes, weights, bias)
+    by_cell = counts.groupBy("ending", "cell").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
+    train_tokens, vocabulary = sum(r["n"] for r in by_cell), sum(r["words"] for r in by_cell)
+    sums = np.zeros((CLASSES, CELLS))
+    for r in by_cell:  # ENDINGS x CELLS rows at most
+        sums[classes[r["ending"]], r["cell"]] += r["n"] + r["words"]
+
+    # both follow from the training texts alone, not from how they are partitioned
+    buckets = min(MOST_BUCKETS, max(BUCKETS, 1 << (train_tokens // TOKENS_A_BUCKET).bit_length()))
+    chars = training.agg(F.sum(F.length(text))).first()[0] or 0
+    shares = max(1, -(-chars // (CHARS_A_ROW * buckets)))
+    place = F.xxhash64(F.col(id_col), text)
+    dealt = training.select(F.pmod(place, F.lit(shares)).cast("int").alias("share"), place.alias("place"), text.alias("text"),
+                            F.pmod(F.xxhash64(F.lit("round"), place), F.lit(rounds)).alias("part"))
+    weights = Weights.of(buckets)
+    for r in range(rounds if train_tokens else 0):
+        weights = train(dealt.where(F.col("part") == r).drop("part"), classes, weights, shares)
 
-    by_ending = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()
-    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_ending:  # one row per ending
-        tokens[classes[r["ending"]]] += r["n"]
-        words[classes[r["ending"]]] += r["words"]
     top = _frequent(counts).toArrow()
     hashes = top.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
-    model = Model(classes, weights, bias, np.log10(tokens + words + 1), hashes[order],
-                  top.column("n").to_numpy()[order], sum(r["n"] for r in by_ending), sum(r["words"] for r in by_ending))
+    model = Model(classes, weights, np.log10(sums + 1), hashes[order], top.column("n").to_numpy()[order], train_tokens, vocabulary)
 
     table = docs.select(*keep, text.alias("_text"))
     scored_at = scratch_path(spark, "lm-scored")

@@ -70,8 +70,65 @@ def test_token_probabilities_sum_to_one():
     assert np.allclose((p * share).sum(axis=1), 1, atol=1e-5)
 
 
-def test_model_is_of_the_agreed_size():
-    assert (lm.CLASSES, lm.BATCH) == (32, 8192)
+def test_cell_probabilities_sum_to_one_for_every_class():
+    """Class, cell and share together are a distribution over the known words and one unknown for each cell."""
+    rng = np.random.default_rng(3)
+    classes = rng.integers(0, lm.CLASSES, lm.ENDINGS)
+    weights = lm.Weights.of(1 << 10)
+    for table in (weights.classes, weights.cells):
+        table += rng.normal(size=table.shape).astype(np.float32)
+    model = lm.Model(classes, weights, np.zeros((lm.CLASSES, lm.CELLS)), np.empty(0, np.uint64), np.empty(0))
+    t = lm.Tokens(["one two three"])
+    total = np.zeros(len(t.ending))
+    by_class = [int(np.flatnonzero(classes == c)[0]) for c in np.unique(classes)]
+    for ending in by_class:  # the token itself gets any class and cell; its context stays
+        for cell in range(lm.CELLS):
+            for i in range(len(t.ending)):
+                u = lm.Tokens(["one two three"])
+                u.ending[i], u.cell[i] = ending, cell
+                total[i] += 10 ** lm.token_logs(model, u)[i]
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_scores_do_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHARS_A_ROW", 40)  # several shares
+    docs = spark.read.parquet(f"{MEDIUM}/documents.parquet")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 7
+    learned, scores = rest != 2, []
+    for n in (1, 8, 64):
+        got = lm.fit_and_score(docs.repartition(n), learned).collect()
+        scores.append({r.doc_id: (r.score, r.base_score) for r in got})
+    held = [i for i in scores[0] if zlib.crc32(str(i).encode()) % 7 == 2]
+    for other in scores[1:]:
+        assert all(abs(other[i][0] - s[0]) <= 1e-6 * abs(s[0]) for i, s in scores[0].items())
+    assert sum(scores[0][i][0] for i in held) > 0.96 * sum(scores[0][i][1] for i in held)
+
+
+def test_fitted_scores_match_a_recomputation(spark, monkeypatch):
+    """The scores of a fitted model, text by text, from its own tables and counts."""
+    kept = []
+    make = lm._score_batches
+    monkeypatch.setattr(lm, "_score_batches", lambda sent: kept.append(sent.value) or make(sent))
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "Efg", "hij", "k"]) for _ in range(rng.randint(0, 30))), None, None, 0) for i in range(300)]
+    got = {r.doc_id: r.score for r in lm.fit_and_score(frame(spark, rows), F.col("doc_id") % 7 != 2).collect()}
+    m = kept[0]
+    learned = [t for i, text, *_ in rows if i % 7 != 2 for t in tokens(text)]
+    counts = collections.Counter(learned)
+    sizes = collections.Counter()
+    for word, n in counts.items():
+        t = lm.Tokens([word or ""])
+        sizes[int(m.classes[t.ending[0]]), int(t.cell[0])] += n + 1
+    for i, text, *_ in rows:
+        t, total = lm.Tokens([text]), 0.0
+        rows1, rows2 = t.features(m.classes, m.weights.buckets), t.cell_features(m.classes, m.weights.buckets)
+        for k, word in enumerate(tokens(text)):
+            c, cell = int(m.classes[t.ending[k]]), int(t.cell[k])
+            x = m.weights.classes[rows1[k]].sum(0).astype(float) + m.weights.classes[-1]
+            y = m.weights.cells[rows2[k]].sum(0).astype(float)
+            p = math.exp(x[c]) / np.exp(x).sum() * math.exp(y[cell]) / np.exp(y).sum()
+            total += math.log10(p * (counts[word] + 1) / (sizes[c, cell] + 1))
+        assert got[i] == pytest.approx(total, rel=1e-5)
 
 
 def test_context_does_not_cross_texts():
