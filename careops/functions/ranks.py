@@ -5,12 +5,10 @@ every row into one task.  The building block here avoids that:
 
 1. group rows by value (map-side partial aggregation, so one hot value
    becomes one row per map task before the shuffle),
-2. cut the distinct values into range buckets whose edges come from
-   ``percentile_approx`` (a short literal array, so recomputation after a
-   lost executor assigns the same buckets),
-3. running sums with a window partitioned by (group, bucket) -- each window
-   partition holds about 1/B of the distinct values,
-4. add per-bucket offsets computed on the tiny (group, bucket) totals table.
+2. range-partition the distinct values; a row's bucket is the number of its
+   partition, kept in a checkpoint, so no edge ever reaches the driver or the plan,
+3. running sums with a window partitioned by (group, bucket),
+4. add per-bucket offsets computed on the small (group, bucket) totals table.
 
 The result is, per distinct value, its weight(s) and the cumulative weight(s)
 up to and including the value.  Exact percentiles, the k-th smallest key,
@@ -30,16 +28,6 @@ from careops.session import cut_lineage
 
 # distinct values of one window partition; the number of buckets grows with the count
 ROWS_PER_BUCKET = 250_000
-_EDGE_ACCURACY = 10_000
-
-
-def _edges(distinct: DataFrame, value: str, buckets: int) -> list:
-    """Approximate range edges of ``buckets`` equal shares of the per-value table."""
-    if buckets <= 1:
-        return []
-    probs = [i / buckets for i in range(1, buckets)]
-    got = distinct.agg(F.percentile_approx(value, probs, max(_EDGE_ACCURACY, 20 * buckets))).first()[0]
-    return sorted(set(got or []))
 
 
 def _search(value: Column, edges: list, strict: bool, lo: int, hi: int) -> Column:
@@ -53,8 +41,8 @@ def _search(value: Column, edges: list, strict: bool, lo: int, hi: int) -> Colum
 
 
 def bucket_of(value: Column, edges: list, strict: bool = True) -> Column:
-    """Range bucket of ``value``: the number of sorted ``edges`` below it (``<``, or ``<=``
-    when not strict), as a balanced CASE tree -- O(log B) comparisons per row, no lambda."""
+    """Bin of ``value``: the number of sorted ``edges`` below it (``<``, or ``<=`` when not strict), as a balanced
+    CASE tree.  For a handful of edges, like those of a histogram."""
     return _search(value, list(edges), strict, 0, len(edges))
 
 
@@ -65,9 +53,9 @@ def cumulative_counts(df: DataFrame, value: str, weights: dict[str, Column] | No
     ``weights`` maps output names to per-row numeric columns (default: ``n`` = 1
     per row).  Cumulative sums are within each group, in ascending value order;
     a NULL group is a group.  The per-value table is checkpointed (reliable,
-    survives executor loss) because the count, the bucket totals and the
-    running sums read it.  ``buckets`` defaults to one per ROWS_PER_BUCKET
-    rows of that table.
+    survives executor loss) because its count and the running sums read it; so
+    are its rows in buckets, if there is more than one.  ``buckets`` defaults to one per
+    ROWS_PER_BUCKET rows of that table.
     """
     weights = weights or {"n": F.lit(1)}
     names, group_cols = list(weights), list(group_cols)
@@ -75,16 +63,17 @@ def cumulative_counts(df: DataFrame, value: str, weights: dict[str, Column] | No
                             .agg(*[F.sum(w).alias(n) for n, w in weights.items()]))
     if buckets is None:
         buckets = -(-per_value.count() // ROWS_PER_BUCKET)
-    edges = _edges(per_value, value, buckets)
+    if buckets <= 1:
+        running = Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy(value)
+        running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return per_value.select(*group_cols, value, *names, *[F.sum(n).over(running).alias(f"cum_{n}") for n in names])
     keys = [*group_cols, "_bucket"]
-    rows = per_value.withColumn("_bucket", bucket_of(F.col(value), edges))
-    if edges:  # sums of the buckets before; with one bucket there are none
-        prior = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = rows.groupBy(*keys).agg(*[F.sum(n).alias(f"_t_{n}") for n in names]).select(
-            *keys, *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in names])
-        rows = null_safe_join(rows, offsets, keys)
-    else:
-        rows = rows.withColumns({f"_o_{n}": F.lit(0) for n in names})
+    rows = cut_lineage(per_value.repartitionByRange(buckets, *group_cols, value)
+                       .withColumn("_bucket", F.spark_partition_id()))
+    prior = Window.partitionBy(*(group_cols or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(*keys).agg(*[F.sum(n).alias(f"_t_{n}") for n in names]).select(
+        *keys, *[F.coalesce(F.sum(f"_t_{n}").over(prior), F.lit(0)).alias(f"_o_{n}") for n in names])
+    rows = null_safe_join(rows, offsets, keys)
     running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select(*group_cols, value, *names, *[
         (F.sum(n).over(running) + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in names])
@@ -106,22 +95,18 @@ def locate_rank(df: DataFrame, value: str, rank: int, buckets: int | None = None
 def kth_key(df: DataFrame, keys: Sequence[str], k: int, buckets: int | None = None) -> list | None:
     """The k-th smallest key tuple (lexicographic over ``keys``, none of them NULL).
 
-    Narrows one key column at a time: the value of the first column holding
-    rank k, then the rank inside that value's ties on the next column, ...
-    Each step is a distributed ``cumulative_counts`` pass over the rows still
-    tied on the chosen prefix.  Returns None when k <= 0.
+    A distributed ``cumulative_counts`` pass over the first column finds its
+    value at rank k; another one over the rows with that value finds the
+    other columns, as one struct.  Returns None when k <= 0.
     """
     if k <= 0:
         return None
-    chosen = []
-    subset = df.select(*keys)
-    r = k
-    for i, key in enumerate(keys):
-        v, r, ties = locate_rank(subset, key, r, buckets)
-        chosen.append(v)
-        if i + 1 < len(keys):
-            subset = subset.where(F.col(key) == F.lit(v))
-    return chosen
+    first, *rest = keys
+    value, rank, _ = locate_rank(df.select(first), first, k, buckets)
+    if not rest:
+        return [value]
+    tied = df.where(F.col(first) == F.lit(value)).select(F.struct(*rest).alias("_rest"))
+    return [value, *locate_rank(tied, "_rest", rank, buckets)[0]]
 
 
 def lex_leq(cols: Sequence[Column], bound: Sequence) -> Column:
@@ -141,28 +126,28 @@ def percentiles_of(cum: DataFrame, value: str, probs: Sequence[float], group_col
     """Linear-interpolated percentiles read off a :func:`cumulative_counts` table.
 
     Output: group columns, ``p`` (the probability), ``value`` (DOUBLE).  Values
-    of weight zero don't count.
+    of weight zero don't count.  One join with the groups' sizes, then one aggregation.
     """
     user_groups = list(group_cols)
-    groups = user_groups or ["_g"]  # a constant group when ungrouped: every join below stays an equi-join
+    groups = user_groups or ["_g"]  # a constant group when ungrouped: the join below stays an equi-join
     cum = cum.where(F.col(weight) > 0).select(
         *user_groups, *([] if user_groups else [F.lit(0).alias("_g")]), F.col(value).cast("double").alias("_v"),
         F.col(f"cum_{weight}").alias("_upto"), (F.col(f"cum_{weight}") - F.col(weight)).alias("_before"))
-    place = F.col("p") * (F.col("_size") - 1)
-    targets = (cum.groupBy(*groups).agg(F.max("_upto").alias("_size"))
-               .withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-               .select(*groups, "p", F.floor(place).alias("_lo"), (place - F.floor(place)).alias("_frac")))
-    targets = targets.withColumn("_hi", F.col("_lo") + (F.col("_frac") > 0).cast("int"))
-    # the value at 0-based rank r has _before <= r < _upto; a group asks for a handful of ranks
-    wanted = targets.groupBy(*groups).agg(
-        F.array_distinct(F.flatten(F.collect_list(F.array("_lo", "_hi")))).alias("_ranks"))
-    hits = null_safe_join(cum, wanted, groups).select(*groups, "_v", F.explode(F.filter(
-        "_ranks", lambda r: (F.col("_before") <= r) & (r < F.col("_upto")))).alias("_r"))
-    lo = hits.select(*groups, F.col("_r").alias("_lo"), F.col("_v").alias("_vlo"))
-    hi = hits.select(*groups, F.col("_r").alias("_hi"), F.col("_v").alias("_vhi"))
-    out = null_safe_join(null_safe_join(targets, lo, [*groups, "_lo"]), hi, [*groups, "_hi"])
-    return out.select(*user_groups, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac"))
-                      .alias("value"))
+    sizes = cum.groupBy(*groups).agg(F.max("_upto").alias("_size"))
+
+    def at(rank: Column) -> Column:  # the value at 0-based rank r has _before <= r < _upto
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_upto")), F.col("_v")))
+
+    picks, out = [], []
+    for i, p in enumerate(probs):
+        place = F.lit(float(p)) * (F.col("_size") - 1)
+        frac = place - F.floor(place)
+        picks += [at(F.floor(place)).alias(f"_lo{i}"), at(F.floor(place) + (frac > 0).cast("int")).alias(f"_hi{i}"),
+                  F.max(frac).alias(f"_frac{i}")]
+        out.append(F.struct(F.lit(float(p)).alias("p"),
+                            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_frac{i}")).alias("value")))
+    rows = null_safe_join(cum, sizes, groups).groupBy(*groups).agg(*picks)
+    return rows.select(*user_groups, F.inline(F.array(*out)))
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: Sequence[float],

@@ -1,8 +1,8 @@
 """Drift statistics between a reference and a production frame (K1-K5).
 
 * K1: two-sample Kolmogorov-Smirnov D from exact cumulative counts (see
-  ``careops.functions.ranks``), p-value from the asymptotic Kolmogorov
-  series with Stephens' correction, evaluated as a Spark expression.
+  ``careops.functions.ranks``), p-value exact for small samples and by an
+  expansion for large ones, evaluated as a Spark expression.
 * K2: categorical PSI = sum (a - e) ln(a / e) over the union of categories,
   a category missing on one side takes share 0.0001.
 * K3: numeric PSI over 10 reference-percentile bins (deduplicated edges,

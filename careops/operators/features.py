@@ -36,8 +36,13 @@ def split_keys(df: DataFrame) -> list[Column]:
 
 def time_split(master: DataFrame, train_num: int = 4, train_den: int = 5,
                buckets: int | None = None) -> DataFrame:
-    """add ``split`` ('train' / 'test'); train = first floor(n*num/den) rows by key."""
-    keyed = cut_lineage(master.select(*[k.alias(f"_k{i}") for i, k in enumerate(split_keys(master))]))
+    """add ``split`` ('train' / 'test'); train = first floor(n*num/den) rows by key.
+
+    The rows are checkpointed first, so that finding the bound and tagging them
+    read one result of the three-table join: select the columns that are needed.
+    """
+    master = cut_lineage(master)
+    keyed = master.select(*[k.alias(f"_k{i}") for i, k in enumerate(split_keys(master))])
     bound = kth_key(keyed, ["_k0", "_k1", "_k2"], keyed.count() * train_num // train_den, buckets)
     if bound is None:
         return master.withColumn("split", F.lit("test"))
@@ -172,8 +177,7 @@ def transform_features(df: DataFrame, aggregates: Aggregates | None = None,
 
 def model_table(master: DataFrame, buckets: int | None = None) -> DataFrame:
     """Master + split + features, aggregates fitted on train and applied to both splits."""
-    # the split frame feeds the fitted rates and both transforms: the three-table join runs once
-    split = cut_lineage(time_split(master, buckets=buckets).select(*S.MASTER_COLUMNS, "split"))
+    split = time_split(master.select(*S.MASTER_COLUMNS), buckets=buckets)
     aggs = fit_aggregates(split.where(F.col("split") == "train"))
     feats = transform_features(split, aggs, by=["split"])
     return feats.select(*S.MASTER_COLUMNS, *S.ENGINEERED_COLUMNS, "split")

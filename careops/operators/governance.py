@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careops import schema as S
+from careops.functions.joins import null_safe_join
 from careops.operators.quality import RULES, _RULE_EXPR
 
 
@@ -79,10 +80,11 @@ def training_pull(master: DataFrame, months: int = S.RETRAIN_MAX_AGE_MONTHS) ->
 
 def promotion_gate(active: DataFrame, candidate: DataFrame, keys: list[str], actual: str,
                    pred: str, tolerance: float = S.PROMOTION_TOLERANCE) -> DataFrame:
-    """Compare two prediction sets on the rows both scored (equi-join on ``keys``)."""
+    """Compare two prediction sets on the rows both scored (null-safe equi-join on ``keys``: a visit without a bill
+    has a NULL bill_id)."""
     a = active.select(*keys, F.col(actual).alias("_y"), F.col(pred).alias("_pa"))
     c = candidate.select(*keys, F.col(pred).alias("_pc"))
-    both = a.join(c, keys)
+    both = null_safe_join(a, c, keys)
     agg = both.agg(F.count(F.lit(1)).alias("rows"),
                    (F.count_if(F.col("_y") == F.col("_pa")) / F.count(F.lit(1))).alias("active_accuracy"),
                    (F.count_if(F.col("_y") == F.col("_pc")) / F.count(F.lit(1))).alias("candidate_accuracy"))

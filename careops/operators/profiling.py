@@ -13,9 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from careops.functions.joins import null_safe_join
 from careops.functions.ranks import cumulative_counts, exact_percentiles, percentiles_of
-from careops.session import cut_lineage
 
 OUTLIER_COLUMNS = ["billed_amount", "payment_days", "length_of_stay_hours"]
 CATEGORY_COLUMNS = ["department", "visit_type", "insurance_provider", "city"]
@@ -55,7 +53,7 @@ _QUARTILE_NAMES = {0.25: "q1", 0.5: "median", 0.75: "q3"}
 def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, value, n, cum_n): the distinct values of all columns, computed once."""
     long = unpivot_values(df, columns, "double").where(F.col("value").isNotNull())
-    return cut_lineage(cumulative_counts(long, "value", None, ["column_name"]))
+    return cumulative_counts(long, "value", None, ["column_name"])
 
 
 def _quartiles(counts: DataFrame, probs=(0.25, 0.5, 0.75)) -> DataFrame:
@@ -96,9 +94,12 @@ def box_summary(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS) -> Data
 
 
 def impute(df: DataFrame, group: str = "department", stay: str = "length_of_stay_hours") -> DataFrame:
-    """E5 (opt-in): stay <- its group median; approved_amount and payment_days <- 0 when missing."""
-    med = exact_percentiles(df, stay, [0.5], [group]).select(group, F.col("value").alias("_median"))
-    out = null_safe_join(df, med, [group], "left")
+    """E5 (opt-in): stay <- its group median; approved_amount and payment_days <- 0 when missing.
+
+    Rows without a group keep a missing stay: they are no group to take a median of.
+    """
+    med = exact_percentiles(df.where(F.col(group).isNotNull()), stay, [0.5], [group]).select(group, F.col("value").alias("_median"))
+    out = df.join(med, group, "left")
     return out.select(
         *[c for c in df.columns if c not in (stay, "approved_amount", "payment_days")],
         F.coalesce(F.col(stay).cast("double"), F.col("_median")).alias(stay),

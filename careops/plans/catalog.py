@@ -108,11 +108,12 @@ def _on_master(fn):
 
 
 def _split(spark, sf_dir):
-    return features.time_split(_master(spark, sf_dir)).select("visit_id", "bill_id", "split")
+    keys = _master(spark, sf_dir).select("visit_id", "bill_id", "visit_date")
+    return features.time_split(keys).select("visit_id", "bill_id", "split")
 
 
 def _train_aggs(spark, sf_dir):
-    split = features.time_split(_master(spark, sf_dir))
+    split = features.time_split(_master(spark, sf_dir).select(*RATE_INPUTS))
     return features.aggregates_long(features.fit_aggregates(split.where(F.col("split") == "train")))
 
 
@@ -138,14 +139,24 @@ def _imputed(spark, sf_dir):
 
 
 def _drift(spark, sf_dir):
+    return _drift_between_splits(model_table(spark, sf_dir))
+
+
+def _drift_between_splits(mt):
     columns = dict.fromkeys([*S.DRIFT_NUMERIC, *S.DRIFT_CATEGORICAL, "split"])
-    mt = cut_lineage(model_table(spark, sf_dir).select(*columns))
+    mt = cut_lineage(mt.select(*columns))
     return drift.drift_report(mt.where(F.col("split") == "train"), mt.where(F.col("split") == "test"))
 
 
+EVAL_INPUTS = ["visit_id", "bill_id", "visit_date", "visit_type", "length_of_stay_hours", "risk_score", "claim_status",
+               "billed_amount", "gender", "city", "insurance_provider"]
+RATE_INPUTS = ["visit_id", "bill_id", "visit_date", "insurance_provider", "department", "claim_status", "billed_amount",
+               "approved_amount"]
+
+
 def _scored(spark, sf_dir):
-    """Split master with encoded targets and rule-baseline predictions."""
-    split = features.time_split(_master(spark, sf_dir))
+    """Split master (the columns that evaluation looks at) with encoded targets and rule-baseline predictions."""
+    split = features.time_split(_master(spark, sf_dir).select(*EVAL_INPUTS))
     return evaluation.rule_baseline(evaluation.with_targets(split))
 
 
@@ -175,11 +186,14 @@ def _weekly(spark, sf_dir):
 
 
 def _triggers(spark, sf_dir):
-    scored = _scored(spark, sf_dir)
+    """W2 with the metrics and the drift report read off one model table."""
+    mt = cut_lineage(model_table(spark, sf_dir).select(
+        *dict.fromkeys([*EVAL_INPUTS, *S.DRIFT_NUMERIC, *S.DRIFT_CATEGORICAL, "split"])))
+    scored = evaluation.rule_baseline(evaluation.with_targets(mt))
     ev = scored.where(F.col("split") == "test")
     trained_on = scored.where(F.col("split") == "train").agg(F.max("visit_date")).scalar()
     metrics = governance.weekly_metrics(ev, "visit_date", "claim_label", "claim_pred")
-    return governance.retrain_triggers(metrics, trained_on, _drift(spark, sf_dir).agg(F.max("PSI")).scalar())
+    return governance.retrain_triggers(metrics, trained_on, _drift_between_splits(mt).agg(F.max("PSI")).scalar())
 
 
 def _pull(spark, sf_dir):

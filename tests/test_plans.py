@@ -1,4 +1,4 @@
-"""Plan facts: anti-joins, broadcast of checked small sides, pushdown, no global windows."""
+"""Plan facts: anti-joins, joins that the planner broadcasts, pushdown, no global windows, constant plan sizes."""
 
 from pyspark.sql import functions as F
 
