@@ -216,31 +216,48 @@ def cluster_endings(near: np.ndarray, rounds: int = 15) -> np.ndarray:
 # ------------------------------------------------------------------ training
 
 def _logits(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    out = weights[features[:, 0]]
+    """Sums of the features' rows, kept within what exp() can take."""
+    out = np.take(weights, features[:, 0], axis=0, mode="clip")  # rows are in range; "clip" skips the check
+    more = np.empty_like(out)
     for k in range(1, features.shape[1]):
-        out += weights[features[:, k]]
+        out += np.take(weights, features[:, k], axis=0, out=more, mode="clip")
     out += bias
+    return np.clip(out, -80, 80, out=out)
+
+
+def _sums(p: np.ndarray, order: np.ndarray, starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``p``, in ``order``, that begin at ``starts``; most are of one row."""
+    out = np.take(p, order[starts], axis=0, mode="clip")
+    more = np.flatnonzero(count > 1)
+    if len(more):
+        rows = order[np.repeat(count > 1, count)]
+        out[more] = np.add.reduceat(np.take(p, rows, axis=0, mode="clip"), np.cumsum(count[more]) - count[more], axis=0)
     return out
 
 
-def _step(weights: np.ndarray, seen: np.ndarray, hits: np.ndarray, rows: np.ndarray, gold: np.ndarray) -> None:
-    """One AdaGrad step of a softmax on some tokens; ``hits`` counts the tokens of each row."""
-    p = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        p += weights[rows[:, k]]
-    p -= p.max(axis=1, keepdims=True)
+def _step(weights: np.ndarray, seen: np.ndarray, hits: np.ndarray, rows: np.ndarray, gold: np.ndarray, bias: int = 0) -> None:
+    """One AdaGrad step of a softmax on some tokens; ``hits`` counts the tokens of each row; ``bias``: a row of all tokens."""
+    p = _logits(weights, weights[bias] if bias else np.float32(0), rows)
     np.exp(p, out=p)
     p /= p.sum(axis=1, keepdims=True)
     n = len(gold)
-    p[np.arange(n), gold] -= 1  # the gradient of minus the log-likelihood
-    keys = np.sort((rows.T.ravel() << 20) | np.tile(np.arange(n), rows.shape[1]))
-    at = keys >> 20
-    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    g = np.add.reduceat(p[keys & 0xFFFFF], starts, axis=0) / np.float32(np.sqrt(n))
-    hit = at[starts]
-    hits[hit] += np.diff(np.append(starts, len(at)))
-    seen[hit] += np.einsum("ij,ij->i", g, g) / p.shape[1]  # one rate for a feature's row
-    weights[hit] -= STEP * g / np.sqrt(seen[hit])[:, None]
+    place = np.arange(n)
+    p[place, gold] -= 1  # the gradient of minus the log-likelihood
+    p *= np.float32(1 / np.sqrt(n))
+    for k in range(rows.shape[1] + bool(bias)):  # kind by kind: the gradients stay in the cache
+        if k == rows.shape[1]:
+            hit, count, g = np.array([bias]), n, p.sum(axis=0, keepdims=True)
+        else:
+            keys = np.sort((rows[:, k] << 20) | place)
+            at = keys >> 20
+            starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            hit, count = at[starts], np.diff(np.append(starts, n))
+            g = _sums(p, keys & 0xFFFFF, starts, count)
+        hits[hit] += count
+        rate = seen[hit] + np.einsum("ij,ij->i", g, g) / p.shape[1]  # one rate for a feature's row
+        seen[hit] = rate
+        g *= (STEP / np.sqrt(rate))[:, None]
+        weights[hit] = np.take(weights, hit, axis=0, mode="clip") - g
 
 
 _UNIT = 2.0 ** 24       # half-precision numbers are multiples of its inverse
@@ -283,12 +300,11 @@ def train(docs: DataFrame, classes: np.ndarray, weights: Weights, shares: int) -
         def learn(texts: list[str], w: Weights, hits) -> None:
             t = Tokens(texts)
             gold = classes[t.ending]
-            bias = np.full((len(gold), 1), start.buckets)
-            rows = np.concatenate((t.features(classes, start.buckets), bias), axis=1)
+            rows = t.features(classes, start.buckets)
             cell_rows = t.cell_features(classes, start.buckets)
             for a in range(0, len(gold), BATCH):
                 step = slice(a, a + BATCH)
-                _step(w.classes, w.seen_classes, hits[0], rows[step], gold[step])
+                _step(w.classes, w.seen_classes, hits[0], rows[step], gold[step], start.buckets)
                 _step(w.cells, w.seen_cells, hits[1], cell_rows[step], t.cell[step])
 
         share, held = None, []  # texts come by share, in the order of their hash; groups do not depend on the batches
@@ -365,9 +381,8 @@ def token_logs(model: Model, t: Tokens) -> np.ndarray:
                                       (w.cells, none, t.cell_features(model.classes, w.buckets), t.cell)):
         for a in range(0, len(gold), BATCH):
             x = _logits(weights, bias, rows[a:a + BATCH])
-            x -= x.max(axis=1, keepdims=True)
             own = x[np.arange(len(x)), gold[a:a + BATCH]].astype(np.float64)
-            out[a:a + BATCH] += own - np.log(np.exp(x).sum(axis=1, dtype=np.float64))
+            out[a:a + BATCH] += own - np.log(np.exp(x, out=x).sum(axis=1).astype(np.float64))
     return out / math.log(10)
 
 
