@@ -48,25 +48,47 @@ def resolve_roles(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
 
     Of pages with equal payloads of at least ``min_bytes`` bytes, those with
     the largest page id are responses and the others revisit it; smaller
-    payloads are all responses.
+    payloads are all responses.  A revisit's ``payload`` is null.
+
+    Headers go through the shuffle by digest; of the payloads only one for
+    each digest and task, kept by the partial aggregate, as that of the largest
+    page id.  Pages without an id take their payload to the join: they are
+    responses where no page with an id has the same one.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     table = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                          payload.alias("payload"))
     table = (table.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
              .withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))))
-    originals = cut_lineage(
-        table.where((F.col("payload_bytes") >= min_bytes) & F.col("page_id").isNotNull())
-        .groupBy(F.col("payload_digest").alias("o_digest"), F.col("payload_bytes").alias("o_bytes"))
-        .agg(F.max(F.struct("page_id", "url")).alias("original")))
-    joined = table.join(originals, (F.col("payload_digest") == F.col("o_digest"))
-                        & (F.col("payload_bytes") == F.col("o_bytes")), "left")
-    revisit = F.col("original.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original.page_id"))
-    return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("original.page_id")).alias("refers_to"),
-        F.when(revisit, F.col("original.url")).alias("refers_url"))
+    headers = cut_lineage(table.drop("payload"))
+    large = F.col("payload_bytes") >= min_bytes
+    same = ["payload_bytes", "payload_digest"]
+    originals = cut_lineage(headers.where(large & F.col("page_id").isNotNull()).groupBy(*same)
+                            .agg(F.max(F.struct("page_id", "url")).alias("original")))
+    columns = ["page_id", "url", "payload", *same, "record_type", "refers_to", "refers_url"]
+
+    def role(rows: DataFrame, revisit: bool) -> DataFrame:
+        """The rows as responses, or as revisits of their ``original``."""
+        added = {"record_type": F.lit("revisit" if revisit else "response"),
+                 "refers_to": F.col("original.page_id") if revisit else F.lit(None).cast("long"),
+                 "refers_url": F.col("original.url") if revisit else F.lit(None).cast("string")}
+        if revisit:
+            added["payload"] = F.lit(None).cast("string")
+        return rows.withColumns(added).select(*columns)
+
+    roles = headers.where(large).join(originals, same)
+    revisits = role(roles.where(~F.col("page_id").eqNullSafe(F.col("original.page_id"))), True)
+    # rows that repeat the id of an original are responses as well
+    urls = (roles.where(F.col("page_id") == F.col("original.page_id")).groupBy(*same)
+            .agg(F.collect_list("url").alias("urls"), F.count(F.lit(1)).alias("n")))
+    kept = (table.where(large & F.col("page_id").isNotNull()).groupBy(*same)
+            .agg(F.max("page_id").alias("page_id"), F.max_by("payload", "page_id").alias("payload"))
+            .join(urls, same))
+    nulls = F.array_repeat(F.lit(None).cast("string"), (F.col("n") - F.size("urls")).cast("int"))
+    responses = role(kept.withColumn("url", F.explode(F.concat("urls", nulls))), False)
+    small = role(table.where(~large), False)
+    alone = role(table.where(large & F.col("page_id").isNull()).join(originals, same, "left_anti"), False)
+    return responses.unionByName(revisits).unionByName(small).unionByName(alone)
 
 
 def _uri(url: Column) -> Column:
