@@ -7,7 +7,8 @@ corpus costs one hash per batch.  Each bucket is counted as a sorted array:
 a hash that an earlier batch also has is marked, and the marks go back as one
 bit per hash.  The batch then removes the windows that are marked, or that a
 smaller document of the same batch has.  Because batches are in doc_id order,
-no document ids have to be shuffled with the hashes.
+no document ids have to be shuffled with the hashes.  Documents without an id
+are dealt by a hash of their text into batches of their own, behind the others.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from careops.llm.common import Words, cover, release_memory, window_hashes, word
 
 BATCH_CHARS = 8_000_000
 BUCKET_WINDOWS = 4_000_000
+CUT_CHARS = 4_000   # a document counts once for so many characters where batches are cut
 
 
 class _Batch:
@@ -80,22 +82,28 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
-    row = table.agg(F.sum(F.length("text")).alias("chars"), F.count("doc_id").alias("n")).first()
-    chars = row["chars"] or 0
-    n_batches = max(1, -(-chars // batch_chars))
+    length = F.coalesce(F.length("text"), F.lit(0))
+    row = table.agg(F.sum(length).alias("chars"), F.count("doc_id").alias("n"),
+                    F.sum(F.when(F.col("doc_id").isNull(), length)).alias("null_chars")).first()
+    chars, null_chars = row["chars"] or 0, row["null_chars"] or 0
+    n_batches = max(1, -(-(chars - null_chars) // batch_chars))
+    n_null = -(-null_chars // batch_chars) or 1
     n_buckets = max(1, -(-chars // (4 * bucket_windows)))  # a word has about four characters or more
     cuts: list[int] = []
     if n_batches > 1 and row["n"]:
         shares = [i / n_batches for i in range(1, n_batches)]
-        cuts = sorted(set(table.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n_batches))).first()[0]))
+        by_length = table.select("doc_id", F.explode(F.array_repeat(F.lit(0), (1 + length / CUT_CHARS).cast("int"))))
+        cuts = sorted(set(by_length.agg(F.percentile_approx("doc_id", shares, max(10_000, 20 * n_batches))).first()[0]))
     bounds = np.array(cuts, dtype=np.int64)  # 8 bytes for each batch_chars of text
+    first_null = len(cuts) + 1  # the batches from here on hold the documents without an id
 
     @F.pandas_udf("int")
     def place(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
 
-    last = F.lit(2 ** 63 - 1).cast("long")  # where null ids go
-    dealt = table.withColumn("batch", place(F.coalesce("doc_id", last)) if cuts else F.lit(0))
+    behind = (F.lit(first_null) + F.pmod(F.xxhash64("text"), F.lit(n_null))).cast("int")
+    known = place(F.coalesce("doc_id", F.lit(0).cast("long"))) if cuts else F.lit(0)
+    dealt = table.withColumn("batch", F.when(F.col("doc_id").isNull(), behind).otherwise(known))
 
     def hashes(table: pa.Table) -> pa.Table:
         release_memory()
@@ -110,9 +118,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         table = table.sort_by("batch")
         packed = table.column("hashes").to_pylist()
         values = np.frombuffer(b"".join(packed), dtype=np.uint64)
+        # null ids are equal, so their batches don't mark each other's hashes
+        rank = np.minimum(np.array(table.column("batch").to_pylist()), first_null)
+        rank = np.repeat(rank, [len(p) // 8 for p in packed])
         order = np.argsort(values, kind="stable")  # within a hash: earliest batch first
+        ordered = values[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         seen = np.zeros(len(values), dtype=bool)
-        seen[order[1:]] = values[order[1:]] == values[order[:-1]]
+        seen[order] = rank[order] > np.repeat(rank[order[first]], np.diff(np.append(first, len(values))))
         parts = np.split(seen, np.cumsum([len(p) // 8 for p in packed])[:-1])
         marked = pa.array([i for i, p in enumerate(parts) if p.any()], pa.int64())
         return pa.table({"batch": table.column("batch").take(marked).cast(pa.int32()),
@@ -146,7 +159,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
 
     schema = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, "
                                   "spans array<struct<start:int,end:int>>, text string")
-    n = max(n_batches, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(first_null + n_null, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by_batch = dealt.repartition(n, "batch")
     marks = (by_batch.groupBy("batch").applyInArrow(hashes, "bucket int, batch int, hashes binary")
              .groupBy("bucket").applyInArrow(count, "batch int, bucket int, marks binary"))
