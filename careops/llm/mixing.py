@@ -52,11 +52,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED,
         bucket_rows: int = BUCKET_ROWS, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
+        source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """How often each document enters a mix whose sources meet their targets (see :func:`targets`).
 
     Returns one row per input row: ``doc_id``, ``source``, ``size`` (words),
-    ``source_size``, ``target`` and ``copies``.  Every document of a source
+    ``source_size``, ``target``, ``copies`` and the ``keep`` columns.  Every document of a source
     has the same expected number of copies, target / source_size, at most
     ``max_copies``.  A source's documents are put in a fixed order, their
     expected copies are summed along it from a random offset, and a document
@@ -79,10 +79,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
     rows = cut_lineage(docs.select(
         F.col(id_col).alias("doc_id"), source.alias("source"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("source_key"),  # null: a key of its own
-        word_count(F.col(text_col).cast("string")).alias("size")))
+        word_count(F.col(text_col).cast("string")).alias("size"),
+        _draw(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit(""))))
+        .alias("draw"), *keep))
     buckets = max(1, -(-rows.count() // bucket_rows))
-    mixed = _draw(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % buckets
-    keyed = rows.withColumn("bucket", mixed.cast("int"))
+    keyed = rows.withColumn("bucket", (F.col("draw") % buckets).cast("int"))
     counts = cut_lineage(keyed.groupBy("source_key", "bucket").agg(
         F.first("source").alias("source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")))
     sizes = counts.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("s").alias("source_size"))
@@ -100,12 +101,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
                                    offset.alias("offset"))))).alias("plan")))
     inside = Window.partitionBy("bucket", "source_key").orderBy("size", F.col("doc_id").asc_nulls_last())
     placed = (keyed.join(plan, F.col("bucket") == F.col("plan_bucket"))
-              .select("doc_id", "source", "source_key", "size", "bucket",
+              .select("doc_id", "source", "source_key", "size", "bucket", *keep,
                       F.element_at("plan", F.col("source_key")).alias("p"))
-              .select("doc_id", "source", "source_key", "size", "bucket", "p.*")
+              .select("doc_id", "source", "source_key", "size", "bucket", *keep, "p.*")
               .withColumn("rank", F.row_number().over(inside)))
     upto = F.col("ahead") + F.col("rank")
     copies = (F.floor(F.col("offset") + F.col("rate") * upto)
               - F.floor(F.col("offset") + F.col("rate") * (upto - 1)))
     return placed.select("doc_id", "source", "size", "source_size", "target",
-                         F.least(copies, F.lit(max_copies)).cast("int").alias("copies"))
+                         F.least(copies, F.lit(max_copies)).cast("int").alias("copies"), *keep)

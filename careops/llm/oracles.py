@@ -88,8 +88,8 @@ def _draw(text: str) -> str:
 
 
 OP10 = f"""
-WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
-b AS (SELECT *, {_draw(f"'{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')")}
+WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), text, '') AS drawn, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+b AS (SELECT *, {_draw(f"'{mixing.SEED}:' || drawn")}
              % greatest(1, (SELECT (count(*) + {mixing.BUCKET_ROWS - 1}) // {mixing.BUCKET_ROWS} FROM d)) AS bucket FROM d),
 s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, CAST(source_size AS DOUBLE) AS size, CAST({_WEIGHT} AS DOUBLE) AS weight,
