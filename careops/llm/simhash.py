@@ -82,7 +82,9 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     m = bits + 1
     edges = [WIDTH * i // m for i in range(m + 1)]
     widths = [edges[i + 1] - edges[i] for i in range(m)]
-    distinct = fps.select("fp").where("fp is not null").distinct()
+    # each row becomes dozens below: an explicit number of partitions is not coalesced by the size before that
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = fps.select("fp").where("fp is not null").repartition(n, "fp").distinct()
     if bits == 0:
         return distinct.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("a < b")
     exact, near = [], []
