@@ -11,7 +11,7 @@ stretches of texts in different languages.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -245,11 +245,22 @@ def _known(docs: DataFrame, text_col: str, label_col: str, learn: Column) -> Dat
     return docs.where(learn & F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
 
 
+def _by_part(sample: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` of the rows of each part.  The sample is dealt by part, one to a task, and stays so: nothing is shuffled."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [f for f in frames if len(f)]
+        if held:
+            for _, rows in pd.concat(held, ignore_index=True).groupby("part"):
+                yield fn(rows)
+
+    return sample.mapInPandas(run, schema)
+
+
 def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "lang", rounds: int = ROUNDS, evidence: bool = False) -> Model:
     """Fit the model on about ``sample_rows`` (at most twice as many) of the labelled rows where ``learn`` holds.
 
-    The sample is chosen by a hash of the id over the whole table and is all
+    The sample is chosen by a hash of the id and the text over the whole table and is all
     that the model sees: labels, lexicon, weights and transitions.  In each
     round PARTS tasks take gradient steps on a share of it from the same
     weights, whose average starts the next round.  What reaches the driver is
@@ -258,10 +269,11 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, id_col:
     in :func:`identify`, each judged by the features of the other parts.
     """
     spark = docs.sparkSession
-    sample = (bounded_sample(_known(docs, text_col, label_col, learn), F.col(id_col), sample_rows, "langid")
+    sample = (bounded_sample(_known(docs, text_col, label_col, learn), F.struct(id_col, text_col), sample_rows, "langid")
               .select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
                       F.col(label_col).cast("string").alias("label"))
-              .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")).persist())
+              .withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(PARTS)).cast("int"))
+              .repartitionById(PARTS, F.col("part")).persist())
     try:
         labels = sorted(r[0] for r in sample.select("label").distinct().collect())
         n = len(labels)
@@ -287,7 +299,7 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, id_col:
                 return pd.DataFrame({"rows": [len(rows)], "w": [w.astype("<f4").tobytes()],
                                      "t": [t.astype("<f8").tobytes()]})
 
-            got = (sample.groupBy("part").applyInPandas(run, "rows long, w binary, t binary")
+            got = (_by_part(sample, run, "rows long, w binary, t binary")
                    .orderBy("rows", F.md5("w")).collect())
             share = [g["rows"] / sum(x["rows"] for x in got) for g in got]
             weights = sum(s * np.frombuffer(g["w"], "<f4").reshape(BUCKETS, n) for s, g in zip(share, got))
@@ -308,7 +320,7 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
         return pd.DataFrame({"part": rows["part"].iloc[:1], "seen": [np.packbits(seen).tobytes()]})
 
     own = {r["part"]: np.unpackbits(np.frombuffer(r["seen"], np.uint8)).astype(np.int64)
-           for r in sample.groupBy("part").applyInPandas(used, "part int, seen binary").collect()}
+           for r in _by_part(sample, used, "part int, seen binary").collect()}
     total = sum(own.values())
 
     def judge(rows: pd.DataFrame) -> pd.DataFrame:
@@ -318,7 +330,7 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
         return out[label.n_words > 0]
 
     model = replace(model, seen=total > 0)
-    got = sample.groupBy("part").applyInPandas(judge, "known double, score double").toPandas()
+    got = _by_part(sample, judge, "known double, score double").toPandas()
     if len(got) < LEAST_TEXTS:
         return model
     known, score = (float(np.percentile(got[c], LOWEST)) for c in ("known", "score"))
