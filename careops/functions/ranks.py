@@ -20,8 +20,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from careops.functions.joins import null_safe_join
 from careops.session import cut_lineage
@@ -192,6 +195,48 @@ def kolmogorov_pvalue(d: Column, n: Column, m: Column, terms: int = 60) -> Colum
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - below)))
 
 
+EXACT_KS_SIZE = 10_000  # fixed value: samples up to here get the exact two-sample distribution
+
+
+def _share_outside(d: float, n: int, m: int) -> float:
+    """P(D >= d) for samples of n and m without ties: the share of the lattice paths from (0, 0) to (n, m) that touch
+    the band |i / n - j / m| >= d.  Diagonal by diagonal, each point holds the share of the paths that come
+    to it from inside; only the points in the band are kept, so numbers stay below 1 and nothing overflows."""
+    limit = round(d * n * m)  # d is a multiple of 1 / (n m)
+    if limit <= 0:
+        return 1.0
+    inside, lo = np.array([1.0]), 0      # the points (lo + x, k - lo - x) of diagonal k that no path left the band for
+    outside = 0.0
+    for k in range(1, n + m + 1):
+        left = n + m - k + 1             # steps still to go before this one; (n - i) of them to the right
+        i = np.arange(lo, lo + len(inside))
+        right = inside * ((n - i) / left)
+        new = np.zeros(len(inside) + 1)
+        new[1:] += right
+        new[:-1] += inside - right
+        i = np.arange(lo, lo + len(new))
+        keep = np.abs(i * m - (k - i) * n) < limit
+        outside += new[~keep].sum()
+        where = np.flatnonzero(keep)
+        if not len(where):
+            return 1.0
+        inside, lo = new[where[0]:where[-1] + 1], lo + int(where[0])
+    return float(min(1.0, outside))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_pvalue(d: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([_share_outside(x, int(a), int(b)) if x == x and 0 < min(a, b) and max(a, b) <= EXACT_KS_SIZE else None
+                      for x, a, b in zip(d, n, m)], dtype="float64")
+
+
+def ks_pvalue(d: Column, n: Column, m: Column) -> Column:
+    """Two-sample KS p-value of a handful of rows: exact where both samples have at most EXACT_KS_SIZE values, else
+    :func:`kolmogorov_pvalue`."""
+    n, m = n.cast("double"), m.cast("double")
+    return F.coalesce(_exact_pvalue(d, n, m), kolmogorov_pvalue(d, n, m))
+
+
 def ks_statistic(ref: DataFrame, prod: DataFrame, value: str,
                  buckets: int | None = None) -> DataFrame:
     """Two-sample KS: one row (d, n_ref, n_prod) over non-NULL values of ``value``.

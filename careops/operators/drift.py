@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careops import schema as S
-from careops.functions.ranks import (bucket_of, cumulative_counts, kolmogorov_pvalue, ks_statistic,
+from careops.functions.ranks import (bucket_of, cumulative_counts, ks_pvalue, ks_statistic,
                                      percentile_values, percentiles_of)
 from careops.session import cut_lineage
 
@@ -35,8 +35,7 @@ REPORT_SCHEMA = ("MetricType string, Feature string, Method string, Statistic do
 def ks_test(ref: DataFrame, prod: DataFrame, col: str) -> DataFrame:
     """K1: one row (d, n_ref, n_prod, p_value); NULLs dropped."""
     ks = ks_statistic(ref, prod, col)
-    return ks.withColumn("p_value", kolmogorov_pvalue(F.col("d"), F.col("n_ref").cast("double"),
-                                                      F.col("n_prod").cast("double")))
+    return ks.withColumn("p_value", ks_pvalue(F.col("d"), F.col("n_ref"), F.col("n_prod")))
 
 
 def psi_categorical(ref: DataFrame, prod: DataFrame, col: str) -> DataFrame:
@@ -217,7 +216,7 @@ def drift_report(ref: DataFrame, prod: DataFrame,
         psi_num = psi_parts[0]
         for extra in psi_parts[1:]:
             psi_num = psi_num.unionByName(extra)
-        p = kolmogorov_pvalue(F.col("d"), F.col("n_ref").cast("double"), F.col("n_prod").cast("double"))
+        p = ks_pvalue(F.col("d"), F.col("n_ref"), F.col("n_prod"))
         rows = ks.join(psi_num, "feature").withColumn("p_value", p)
         detected = F.col("p_value") < S.KS_ALPHA
         parts.append(rows.select(

@@ -1,4 +1,4 @@
-"""DuckDB oracle SQL for model-side tables that SQL can express."""
+"""DuckDB oracle SQL for model-side tables that SQL can express."""
 
 from careops import schema as S
 from careops.plans.oracle_drift import K as _K_SQL
@@ -57,6 +57,25 @@ SELECT visit_id, bill_id, r AS reasons, r = '' AS valid FROM (
 SELECT visit_id, bill_id, concat_ws(';',
   {_checks()}) AS r FROM req) t""")
 
+def _json(fields) -> str:
+    """The request as JSON with sorted keys, without spaces; numbers in their shortest form."""
+    text = {"gender", "city", "department", "visit_type", "risk_score", "insurance_provider"}
+    parts = [f"""'"{c}":' || COALESCE({f"CAST(to_json({c}) AS VARCHAR)" if c in text else f"CAST({c} AS VARCHAR)"}, 'null')"""
+             for c in sorted(fields)]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+M["c02_feature_hash"] = with_fixtures(_REQ, f"""
+SELECT visit_id, bill_id, sha256({_json(_FIELDS)}) AS feature_hash FROM req""")
+
+M["s08_s09_audit_tail"] = with_fixtures(_REQ, f"""
+SELECT CAST(0 AS BIGINT) AS batch_id, '/predict/claim' AS endpoint, prediction, 'rule-baseline' AS model_version,
+  sha256(input) AS feature_hash, age, billed_amount
+FROM (SELECT *, md5(concat_ws(':', '/predict/claim', input, prediction, 'rule-baseline', visit_id, bill_id)) AS row_id
+  FROM (SELECT *, {_json(_FIELDS)} AS input,
+    CASE WHEN risk_score = 'High' THEN 'Rejected' WHEN visit_type = 'ER' THEN 'Pending' ELSE 'Paid' END AS prediction FROM req))
+ORDER BY row_id DESC LIMIT 10""")
+
 M["c03_claim_enrichment"] = with_fixtures(_REQ + "," + RATES_SQL, """
 SELECT req.visit_id, req.bill_id,
   COALESCE(p.part / p.whole, (SELECT rate FROM totals WHERE kind = 'provider_rejection')) AS provider_rejection_rate,

@@ -111,3 +111,44 @@ def test_kth_key_of_repeated_rows(spark, path):
     df = spark.createDataFrame([(1, 2, 3)] * 400 + [(1, 2, 4)] * 3, "a long, b long, c long")
     assert ranks.kth_key(df, ["a", "b", "c"], 400) == [1, 2, 3]
     assert ranks.kth_key(df, ["a", "b", "c"], 401) == [1, 2, 4]
+
+
+def _enumerated(n, m, d):
+    """P(D >= d) over all ways in which two samples can interleave."""
+    import itertools
+    hits = total = 0
+    for ones in itertools.combinations(range(n + m), n):
+        chosen, i, worst = set(ones), 0, 0.0
+        for k in range(n + m):
+            i += k in chosen
+            worst = max(worst, abs(i / n - (k + 1 - i) / m))
+        total += 1
+        hits += worst >= d - 1e-12
+    return hits / total
+
+
+def test_exact_pvalue_matches_enumeration(spark):
+    cases = [(n, m, k / (n * m)) for n, m in ((3, 3), (4, 6), (7, 5), (1, 8)) for k in range(1, n * m + 1, 3)]
+    df = spark.createDataFrame([(d, n, m) for n, m, d in cases], "d double, n long, m long")
+    got = df.select("d", "n", "m", ranks.ks_pvalue(F.col("d"), F.col("n"), F.col("m")).alias("p")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        assert abs(r.p - _enumerated(r.n, r.m, r.d)) < 1e-12
+
+
+def test_pvalue_joins_the_expansion(spark):
+    # just below and above the size where the exact distribution ends
+    df = spark.createDataFrame([(0.02, 10_000, 10_000), (0.02, 10_001, 10_001), (0.0135, 10_000, 9_000)], "d double, n long, m long")
+    rows = df.select(ranks.ks_pvalue(F.col("d"), F.col("n"), F.col("m")).alias("p"),
+                     ranks.kolmogorov_pvalue(F.col("d"), F.col("n").cast("double"), F.col("m").cast("double")).alias("q")).collect()
+    assert abs(rows[0].p - rows[1].p) < 2e-3 and rows[1].p == rows[1].q and abs(rows[0].p - rows[0].q) < 2e-3
+
+
+def test_plan_does_not_grow_with_the_buckets(spark):
+    df = spark.range(60_000).select(F.col("id").cast("double").alias("v"))
+
+    def size(buckets):
+        cum = ranks.cumulative_counts(df, "v", buckets=buckets)
+        assert cum.agg(F.max("cum_n")).first()[0] == 60_000
+        return len(cum._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(500) - size(8)) < 200
