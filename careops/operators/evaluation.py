@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,20 @@ def rule_baseline(df: DataFrame) -> DataFrame:
     return df.withColumn("risk_pred", risk).withColumn("claim_pred", claim)
 
 
+class RuleModel:
+    """A rule of :func:`rule_baseline` (``risk_pred`` or ``claim_pred``) as a model: its class has probability 1."""
+
+    def __init__(self, rule: str, classes: int):
+        self.rule, self.classes = rule, classes
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        needed = [c for c in ("length_of_stay_hours", "risk_score", "visit_type") if c not in df.columns]
+        ruled = rule_baseline(df.withColumns({c: F.lit(None) for c in needed})).select(*df.columns, self.rule)
+        shares = F.array(*[(F.col(self.rule) == i).cast("double") for i in range(self.classes)])
+        return (ruled.withColumn("probability", array_to_vector(shares))
+                .withColumn("prediction", F.col(self.rule).cast("double")).drop(self.rule))
+
+
 def confusion_counts(df: DataFrame, actual: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, F.col(actual).alias("actual"), F.col(pred).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from careops import schema as S
 from careops.functions.joins import null_safe_join
+from careops.streaming.audit import utc_date
 from careops.operators.quality import RULES, _RULE_EXPR
 
 
@@ -26,12 +27,14 @@ def weekly_metrics(scored: DataFrame, ts: str, actual: str, pred: str, positive:
                    window: str = "7 days") -> DataFrame:
     """Per event-time window: volume, accuracy, recall of the positive class.
 
-    Dates become wall-clock timestamps (TIMESTAMP_NTZ), so the epoch-aligned
-    windows do not move with the session time zone.
+    Dates become wall-clock timestamps (TIMESTAMP_NTZ) and instants are dated in
+    UTC, so the epoch-aligned windows do not move with the session time zone.
     """
-    col = F.col(ts)
+    col, to_date = F.col(ts), F.to_date
     if isinstance(scored.schema[ts].dataType, T.DateType):
         col = col.cast("timestamp_ntz")
+    elif isinstance(scored.schema[ts].dataType, T.TimestampType):
+        to_date = utc_date
     w = F.window(col, window)
     agg = scored.groupBy(w.alias("w")).agg(
         F.count(F.lit(1)).alias("volume"),
@@ -39,7 +42,7 @@ def weekly_metrics(scored: DataFrame, ts: str, actual: str, pred: str, positive:
         F.count_if(F.col(actual) == positive).alias("_pos"),
         F.count_if((F.col(actual) == positive) & (F.col(pred) == positive)).alias("_tp"))
     return agg.select(
-        F.to_date("w.start").alias("week_start"), F.to_date("w.end").alias("week_end"), "volume",
+        to_date(F.col("w.start")).alias("week_start"), to_date(F.col("w.end")).alias("week_end"), "volume",
         F.round(F.col("_hits") / F.col("volume"), 6).alias("accuracy"),
         F.round(F.col("_tp") / F.nullif(F.col("_pos"), F.lit(0)), 6).alias("rejected_recall"))
 

@@ -28,6 +28,7 @@ from careops.sources.fixtures import load_hospital
 from careops.session import cut_lineage, scratch_path
 from careops.sources import csv_ingest, layout
 from careops.sources.master import load_joined
+from careops.streaming.scoring import CLAIM, RISK, start_scoring
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -395,6 +396,71 @@ def _audit_tail(spark, sf_dir):
                        F.col("input.age").alias("age"), F.col("input.billed_amount").alias("billed_amount"))
 
 
+def _lose_last_commit(spark, checkpoint):
+    """Delete the newest entry of a stream's commit log, as if the driver had died before writing it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, max((n for n in names if n.isdigit()), key=int)), False)
+
+
+def _scoring_stream(endpoint, rule):
+    """Requests as JSON files through the scoring stream in two runs; the last commit of the first one is lost.
+
+    Returns the rows of all three outputs: what was scored, rejected and recorded.
+    """
+    def run(spark, sf_dir):
+        base = scratch_path(spark, "stream")
+        requests = cut_lineage(scoring.requests_from(model_table(spark, sf_dir), endpoint.fields))
+        enrich = None
+        if "provider_rejection_rate" in endpoint.spec.numeric:
+            t = _tables(spark, sf_dir)
+            rates = features.current_aggregates(t["patients"], t["visits"], t["billing"])
+            rates = features.Aggregates(*(cut_lineage(x) for x in (rates.provider_rejection, rates.dept_realization, rates.globals)))
+            enrich = lambda df: scoring.enrich_claims(df, rates)
+        model = evaluation.RuleModel(rule, len(endpoint.spec.classes))
+        half = F.pmod(F.xxhash64("visit_id", "bill_id"), F.lit(2))
+        for part in (0, 1):
+            requests.where(half == part).select(*endpoint.fields).write.mode("append").json(f"{base}/requests")
+            start_scoring(spark, endpoint, f"{base}/requests", f"{base}/out", f"{base}/checkpoint", model, "rule", enrich,
+                          max_files_per_trigger=3).awaitTermination()
+            if part == 0:
+                _lose_last_commit(spark, f"{base}/checkpoint")
+        scored, rejects, recorded = (spark.read.parquet(f"{base}/out/{x}") for x in ("scored", "rejects", "audit"))
+        rejected = rejects.withColumn("feature_hash", scoring.feature_hash(endpoint.fields))
+        return (scored.select(F.lit("scored").alias("output"), "feature_hash", F.col("predicted_class").alias("result"))
+                .unionByName(rejected.select(F.lit("rejects").alias("output"), "feature_hash", F.col("reasons").alias("result")))
+                .unionByName(recorded.select(F.lit("audit").alias("output"), "feature_hash", F.col("prediction").alias("result"))))
+    return run
+
+
+LATE_BOUND = "60 days"
+
+
+def _late_outcomes(spark, sf_dir):
+    """W1 over two streams: rule predictions at the visit, outcomes when the bill comes; weekly metrics of those that
+    come within LATE_BOUND, and how many came later."""
+    from careops.streaming import audit as stream
+    base = scratch_path(spark, "outcomes")
+    split = features.time_split(_master(spark, sf_dir).select(*EVAL_INPUTS, "billing_date"))
+    ev = cut_lineage(evaluation.rule_baseline(evaluation.with_targets(split)).where("split = 'test'"))
+    key = F.concat_ws(":", "visit_id", "bill_id").alias("key")
+    made = ev.select(key, stream.utc_midnight(F.col("visit_date")).alias("ts"), F.col("claim_pred").alias("predicted"))
+    known = ev.select(key, stream.utc_midnight(F.col("billing_date")).alias("outcome_ts"), F.col("claim_label").alias("actual"))
+    made.write.parquet(f"{base}/made")
+    known.write.parquet(f"{base}/known")
+    # later rows without a partner move both watermarks past all windows of the others
+    far = ev.agg((stream.utc_midnight(F.greatest(F.max("visit_date"), F.max("billing_date"))) + F.expr("INTERVAL 400 DAYS")).alias("t"))
+    far.select(F.lit("none").alias("key"), F.col("t").alias("ts"), F.lit(0).alias("predicted")).write.mode("append").parquet(f"{base}/made")
+    far.select(F.lit("nil").alias("key"), F.col("t").alias("outcome_ts"), F.lit(0).alias("actual")).write.mode("append").parquet(f"{base}/known")
+    for _ in range(2):  # the second run emits what the first one's last watermark closed
+        stream.weekly_outcomes_stream(spark, f"{base}/made", f"{base}/known", f"{base}/weekly", f"{base}/checkpoint",
+                                      LATE_BOUND).awaitTermination()
+    late = stream.late_outcomes(made, known, LATE_BOUND)
+    return (spark.read.parquet(f"{base}/weekly").join(late, "week_start", "left")
+            .withColumn("late", F.coalesce("late", F.lit(0)).cast("long")))
+
+
 QUERIES: dict[str, QueryFn] = {
     "b01_visits_by_department": _v(bi.visits_by_department),
     "b02_longest_stay_departments": _v(bi.longest_stay_departments),
@@ -478,6 +544,9 @@ QUERIES: dict[str, QueryFn] = {
     "s03_s05_reload_counts": _reload_counts,
     "s07_model_table_export": _export_counts,
     "s08_s09_audit_tail": _audit_tail,
+    "c06_risk_scoring_stream": _scoring_stream(RISK, "risk_pred"),
+    "c06_claim_scoring_stream": _scoring_stream(CLAIM, "claim_pred"),
+    "w01_late_outcomes_stream": _late_outcomes,
 }
 QUERIES = {name: (lambda fn: (lambda spark, sf_dir: _decimals_as_double(fn(spark, sf_dir))))(fn)
            for name, fn in QUERIES.items()}

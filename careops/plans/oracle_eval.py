@@ -137,3 +137,14 @@ SELECT COUNT(*) AS rows, ROUND(COUNT(*) FILTER (WHERE claim_label = 0) / COUNT(*
   COUNT(*) FILTER (WHERE claim_label = claim_pred) / COUNT(*)
     >= COUNT(*) FILTER (WHERE claim_label = 0) / COUNT(*) - {S.PROMOTION_TOLERANCE} AS promote
 FROM ev""")
+
+W["w01_late_outcomes_stream"] = with_fixtures(EVAL_SQL + """,
+timed AS (SELECT *, billing_date BETWEEN visit_date AND visit_date + INTERVAL 60 DAY AS in_time,
+  time_bucket(INTERVAL '7 days', CAST(visit_date AS TIMESTAMP), TIMESTAMP '1970-01-01') AS ws FROM ev)""", """
+SELECT CAST(ws AS DATE) AS week_start, CAST(ws + INTERVAL '7 days' AS DATE) AS week_end,
+  COUNT(*) FILTER (WHERE in_time) AS volume,
+  ROUND(COUNT(*) FILTER (WHERE in_time AND claim_label = claim_pred) / COUNT(*) FILTER (WHERE in_time), 6) AS accuracy,
+  ROUND(COUNT(*) FILTER (WHERE in_time AND claim_label = 2 AND claim_pred = 2)
+    / NULLIF(COUNT(*) FILTER (WHERE in_time AND claim_label = 2), 0), 6) AS rejected_recall,
+  COUNT(*) FILTER (WHERE billing_date > visit_date + INTERVAL 60 DAY) AS late
+FROM timed GROUP BY ws HAVING COUNT(*) FILTER (WHERE in_time) > 0""")

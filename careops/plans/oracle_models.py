@@ -41,9 +41,9 @@ _RANGES = {"age": (0, 120), "chronic_flag": (0, 1), "length_of_stay_hours": (0,
 # --- end of fixed values ---
 
 
-def _checks():
+def _checks(fields=_FIELDS):
     parts = []
-    for c in _FIELDS:
+    for c in fields:
         parts.append(f"CASE WHEN {c} IS NULL THEN 'missing:{c}' END")
         if c in _RANGES:
             lo, hi = _RANGES[c]
@@ -76,6 +76,21 @@ FROM (SELECT *, md5(concat_ws(':', '/predict/claim', input, prediction, 'rule-ba
     CASE WHEN risk_score = 'High' THEN 'Rejected' WHEN visit_type = 'ER' THEN 'Pending' ELSE 'Paid' END AS prediction FROM req))
 ORDER BY row_id DESC LIMIT 10""")
 
+def _stream(fields, rule: str) -> str:
+    """What the scoring stream writes: every request once, scored and recorded, or rejected."""
+    return with_fixtures(_REQ + f""",
+asked AS (SELECT sha256({_json(fields)}) AS feature_hash, {rule} AS result, concat_ws(';',
+  {_checks(fields)}) AS reasons FROM req)""", """
+SELECT 'scored' AS output, feature_hash, result FROM asked WHERE reasons = ''
+UNION ALL SELECT 'audit', feature_hash, result FROM asked WHERE reasons = ''
+UNION ALL SELECT 'rejects', feature_hash, reasons FROM asked WHERE reasons <> ''""")
+
+
+M["c06_risk_scoring_stream"] = _stream(
+    _FIELDS[:12], "CASE WHEN length_of_stay_hours >= 40 THEN 'High' WHEN length_of_stay_hours >= 20 THEN 'Medium' ELSE 'Low' END")
+M["c06_claim_scoring_stream"] = _stream(
+    _FIELDS, "CASE WHEN risk_score = 'High' THEN 'Rejected' WHEN visit_type = 'ER' THEN 'Pending' ELSE 'Paid' END")
+
 M["c03_claim_enrichment"] = with_fixtures(_REQ + "," + RATES_SQL, """
 SELECT req.visit_id, req.bill_id,
   COALESCE(p.part / p.whole, (SELECT rate FROM totals WHERE kind = 'provider_rejection')) AS provider_rejection_rate,

@@ -157,3 +157,41 @@ def test_gbt_grid_search_tiny_grid(spark, table):
     m = models.search_ovr_gbt(data, models.SPEC_B, {"maxIter": [2], "maxDepth": [2], "stepSize": [0.1]})
     assert m.params == {"maxIter": 2, "maxDepth": 2, "stepSize": 0.1}
     assert len(m.models) == 3
+
+
+def test_weekly_windows_do_not_follow_the_session_zone(spark, tmp_dir):
+    """Prediction and outcome streams under a session zone far from UTC: the same weeks as the batch result under UTC."""
+    from careops.operators.governance import weekly_metrics
+    from careops.streaming.audit import late_outcomes, utc_midnight, weekly_outcomes_stream
+    rows = [(f"k{i}", dt.date(2024, 1, 1) + dt.timedelta(days=i // 2), dt.date(2024, 1, 1) + dt.timedelta(days=i // 2 + i % 70),
+             i % 3, (i * 7) % 3) for i in range(140)]
+    rows.append(("far", dt.date(2026, 1, 1), None, 0, 0))
+    frame = spark.createDataFrame(rows, "key string, day date, known date, actual int, predicted int")
+    want = {r.week_start: r for r in weekly_metrics(frame.where("known <= date_add(day, 30)"), "day", "actual", "predicted").collect()}
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+    try:
+        made = frame.select("key", utc_midnight(F.col("day")).alias("ts"), "predicted")
+        known = frame.select(F.when(F.col("known").isNull(), "nil").otherwise(F.col("key")).alias("key"),
+                             utc_midnight(F.coalesce("known", "day")).alias("outcome_ts"), "actual")
+        made.write.parquet(f"{tmp_dir}/made")
+        known.write.parquet(f"{tmp_dir}/known")
+        for _ in range(2):
+            weekly_outcomes_stream(spark, f"{tmp_dir}/made", f"{tmp_dir}/known", f"{tmp_dir}/out", f"{tmp_dir}/ckpt",
+                                   "30 days", "0 seconds").awaitTermination()
+        got = {r.week_start: r for r in spark.read.parquet(f"{tmp_dir}/out").collect()}
+        late = {r.week_start: r.late for r in late_outcomes(made, known, "30 days").collect()}
+        instants = weekly_metrics(made.withColumn("actual", F.lit(0)), "ts", "actual", "predicted").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == want and len(want) > 5
+    assert sum(late.values()) == sum(i % 70 > 30 for i in range(140))
+    assert {r.week_start for r in instants} >= set(want)
+
+
+def test_rule_model_scores_like_the_rule(spark, table):
+    model = evaluation.RuleModel("claim_pred", 3)
+    got = models.predictions(model, models.model_input(table, models.SPEC_B), models.SPEC_B)
+    rule = evaluation.rule_baseline(table).groupBy("claim_pred").count().collect()
+    assert {(r.pred_label, r["count"]) for r in got.groupBy("pred_label").count().collect()} == {tuple(r) for r in rule}
+    assert {max(r.probabilities.values()) for r in got.limit(50).collect()} == {1.0}
