@@ -34,6 +34,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careops import schema as S
+from careops.operators import boosting
+from careops.operators.boosting import JointBoostingModel
+from careops.session import cut_lineage
 
 # --- fixed values: hyper-parameter grids of the reference's searches ---
 RF_GRID = {"numTrees": [50, 100], "maxDepth": [10, 15, 30], "minInstancesPerNode": [1, 2]}
@@ -279,6 +282,25 @@ def search_ovr_gbt(train: DataFrame, spec: FeatureSpec, values: dict | None = No
     return fit_ovr_gbt(train, spec, best["maxIter"], best["maxDepth"], best["stepSize"])
 
 
+def fit_joint_boosting(train: DataFrame, spec: FeatureSpec, max_iter: int = 50, max_depth: int = 5, step_size: float = 0.1,
+                       weighted: bool = True, losses: list | None = None) -> JointBoostingModel:
+    """M9: one booster for all classes (:mod:`careops.operators.boosting`)."""
+    data = balanced_weights(train, spec.label) if weighted else train
+    return boosting.fit_joint(data, spec, preprocessing(spec), max_iter, max_depth, step_size,
+                              "class_weight" if weighted else None, losses)
+
+
+def search_joint_boosting(train: DataFrame, spec: FeatureSpec, values: dict | None = None,
+                          weighted: bool = True) -> tuple[list[dict], JointBoostingModel]:
+    """M9 + M10: the table of (grid point, fold) results on stratified folds, and the best point refitted on all rows."""
+    data = balanced_weights(train, spec.label) if weighted else train
+    data = cut_lineage(with_folds(data, label=spec.label))
+    table = boosting.search_joint(data, spec, preprocessing(spec), values or GBT_GRID, CV_FOLDS,
+                                  weight="class_weight" if weighted else None)
+    best = boosting.best_point(table)
+    return table, fit_joint_boosting(train, spec, best["maxIter"], best["maxDepth"], best["stepSize"], weighted)
+
+
 def predictions(model, df: DataFrame, spec: FeatureSpec, version: str = "v1") -> DataFrame:
     """Every row with predicted class name, per-class probability map, model version.
 
@@ -299,7 +321,7 @@ def predictions(model, df: DataFrame, spec: FeatureSpec, version: str = "v1") ->
 
 def feature_names(model, spec: FeatureSpec, include_chronic_flag: bool = False) -> list[str]:
     """Expanded feature names: numerics, then ``<col>_<category>`` per one-hot slot."""
-    prep = model.prep if isinstance(model, OneVsRestGBTModel) else model
+    prep = getattr(model, "prep", model)
     nums = list(spec.numeric) + (["chronic_flag"] if include_chronic_flag else [])
     names = list(nums)
     indexers = [s for s in prep.stages if hasattr(s, "labels") and s.getOutputCol().endswith("__idx")]
@@ -313,7 +335,9 @@ def feature_importances(model, spec: FeatureSpec, spark, top: int = 10,
                         include_chronic_flag: bool = False) -> DataFrame:
     """V6: top features by importance; linear models use |coefficient| of class 0."""
     names = feature_names(model, spec, include_chronic_flag)
-    if isinstance(model, OneVsRestGBTModel):
+    if isinstance(model, JointBoostingModel):
+        imp = model.importances()
+    elif isinstance(model, OneVsRestGBTModel):
         vecs = [m.featureImportances.toArray() for m in model.models]
         imp = [sum(v[i] for v in vecs) / len(vecs) for i in range(len(vecs[0]))]
     else:
