@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from careops import schema as S
+from careops.functions.joins import null_safe_join
 from careops.operators import (bi, drift, evaluation, features, governance, models, profiling,
                                quality, scoring)
 from careops.plans.oracle_bi import B as _B_SQL
@@ -303,6 +304,63 @@ def _claim_logistic(spark, sf_dir):
     return _flat_predictions(models.predictions(model, rows, models.SPEC_B, "claim-lr"), models.SPEC_B)
 
 
+def _claim_logistic_rows(spark, sf_dir):
+    """The claim model's predictions on the test rows, with the columns that evaluation looks at."""
+    train, rows = _split_inputs(spark, sf_dir, models.SPEC_B)
+    train = models.balanced_weights(train, models.SPEC_B.label)
+    model = models.logistic(models.SPEC_B, train.count(), weighted=True).fit(train)
+    return models.predictions(model, rows.where("split = 'test'"), models.SPEC_B, "claim-lr").withColumn(
+        "claim_label", F.col("claim_label").cast("int"))
+
+
+def _model_evaluation(spark, sf_dir):
+    """V2, V4, V5 and V7 of one fitted claim model, as (report, segment, item, metric, value)."""
+    pred = cut_lineage(_claim_logistic_rows(spark, sf_dir))
+    classes = models.SPEC_B.classes
+
+    def long(df, report, segment, item, metrics):
+        pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return df.select(F.lit(report).alias("report"), segment.cast("string").alias("segment"),
+                         item.cast("string").alias("item"), F.inline(pairs))
+    none = F.lit(None)
+    return (long(evaluation.classification_report(pred, "claim_label", "pred_label", classes), "classes", none, F.col("label"),
+                 ["precision", "recall", "f1_score", "support"])
+            .unionByName(long(evaluation.confusion_matrix(pred, "claim_label", "pred_label", classes, True), "confusion", none,
+                              F.col("actual"), [f"pred_{c}" for c in classes]))
+            .unionByName(long(evaluation.revenue_protection(pred, "claim_label", "pred_label"), "revenue", none, none,
+                              ["total_rejected_billed", "flagged_rejected_billed", "flagged_pct"]))
+            .unionByName(long(evaluation.fairness(pred, "claim_label", "pred_label", ["gender", "city", "insurance_provider"]),
+                              "fairness", F.col("segment"), F.col("segment_value"),
+                              ["volume", "accuracy", "weighted_f1", "positive_recall"])))
+
+
+def _linear_importances(spark, sf_dir):
+    train, _ = _split_inputs(spark, sf_dir, models.SPEC_A)
+    return models.feature_importances(models.logistic(models.SPEC_A, train.count()).fit(train), models.SPEC_A, spark)
+
+
+def _persisted(spark, sf_dir):
+    """A fitted pipeline saved and loaded; whether it scores every row as the one that was saved does."""
+    from pyspark.ml import PipelineModel
+    train, rows = _split_inputs(spark, sf_dir, models.SPEC_A)
+    model = models.logistic(models.SPEC_A, train.count()).fit(train)
+    path = scratch_path(spark, "model")
+    model.write().overwrite().save(path)
+    keys = ["visit_id", "bill_id"]
+    first, again = (models.predictions(m, rows, models.SPEC_A).select(*keys, "predicted_class", "probabilities")
+                    for m in (model, PipelineModel.load(path)))
+    again = again.withColumnsRenamed({"predicted_class": "loaded_class", "probabilities": "loaded_probabilities"})
+    alike = ((F.col("predicted_class") == F.col("loaded_class"))
+             & (F.map_values("probabilities") == F.map_values("loaded_probabilities")))
+    return null_safe_join(first, again, keys).select(*keys, alike.alias("scores_alike"))
+
+
+def _claim_joint(spark, sf_dir):
+    train, rows = _split_inputs(spark, sf_dir, models.SPEC_B)
+    model = models.fit_joint_boosting(train, models.SPEC_B, max_iter=50, max_depth=5, step_size=0.1)
+    return _flat_predictions(models.predictions(model, rows, models.SPEC_B, "claim-joint"), models.SPEC_B)
+
+
 def _claim_gbt(spark, sf_dir):
     train, rows = _split_inputs(spark, sf_dir, models.SPEC_B)
     model = models.fit_ovr_gbt(train, models.SPEC_B, max_iter=50, max_depth=5, step_size=0.1)
@@ -544,6 +602,10 @@ QUERIES: dict[str, QueryFn] = {
     "s03_s05_reload_counts": _reload_counts,
     "s07_model_table_export": _export_counts,
     "s08_s09_audit_tail": _audit_tail,
+    "v02_v07_claim_logistic_evaluation": _model_evaluation,
+    "v06_feature_importances_risk_logistic": _linear_importances,
+    "m11_persisted_risk_logistic": _persisted,
+    "m09_claim_joint_predictions": _claim_joint,
     "c06_risk_scoring_stream": _scoring_stream(RISK, "risk_pred"),
     "c06_claim_scoring_stream": _scoring_stream(CLAIM, "claim_pred"),
     "w01_late_outcomes_stream": _late_outcomes,

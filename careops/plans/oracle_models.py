@@ -137,6 +137,8 @@ M["m03_m04_encoded_rows_claim"] = _encoded(S.NUMERIC_B, S.CATEGORICAL_B)
 M["v01_scored_rows_risk_logistic"] = _scored_rows("risk", S.NUMERIC_A)
 M["v01_scored_rows_claim_logistic"] = _scored_rows("claim", S.NUMERIC_B)
 
+M["m11_persisted_risk_logistic"] = with_fixtures(_TARGETS, "SELECT visit_id, bill_id, TRUE AS scores_alike FROM target")
+
 _PLAIN = {
     "patients": "SELECT * FROM patients",
     "visits": """SELECT visit_id, patient_id, visit_date, department, visit_type,

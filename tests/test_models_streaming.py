@@ -195,3 +195,46 @@ def test_rule_model_scores_like_the_rule(spark, table):
     rule = evaluation.rule_baseline(table).groupBy("claim_pred").count().collect()
     assert {(r.pred_label, r["count"]) for r in got.groupBy("pred_label").count().collect()} == {tuple(r) for r in rule}
     assert {max(r.probabilities.values()) for r in got.limit(50).collect()} == {1.0}
+
+
+def test_all_evaluation_of_one_model_matches_brute_force(spark, monkeypatch):
+    """The registered V2-V7 table against plain Python over the same predictions."""
+    from conftest import SMALL
+    from careops.plans import catalog
+    made, make = [], catalog._claim_logistic_rows
+
+    def kept(spark, sf_dir):
+        made.append(make(spark, sf_dir).cache())
+        return made[0]
+    monkeypatch.setattr(catalog, "_claim_logistic_rows", kept)
+    got = {(r.report, r.segment, r["item"], r.metric): r.value for r in catalog._model_evaluation(spark, SMALL).collect()}
+    rows, classes = made[0].collect(), models.SPEC_B.classes
+
+    def scores(some):
+        """(volume, accuracy, weighted F1, recall of the last class)"""
+        hits = sum(r.claim_label == r.pred_label for r in some)
+        f1, recall = 0.0, None
+        for k in range(3):
+            tp = sum(r.claim_label == r.pred_label == k for r in some)
+            actual, guessed = sum(r.claim_label == k for r in some), sum(r.pred_label == k for r in some)
+            f1 += 2 * tp / (actual + guessed) * actual if actual + guessed else 0
+            recall = tp / actual if actual else None
+        return len(some), hits / len(some), f1 / len(some), recall
+
+    for i, actual in enumerate(classes):
+        mine = [r for r in rows if r.claim_label == i]
+        for j, guess in enumerate(classes):
+            share = sum(r.pred_label == j for r in mine) / len(mine)
+            assert got["confusion", None, actual, f"pred_{guess}"] == pytest.approx(share, abs=1e-6)
+        assert got["classes", None, actual, "support"] == len(mine)
+    billed = sum(r.billed_amount for r in rows if r.claim_label == 2)
+    flagged = sum(r.billed_amount for r in rows if r.claim_label == 2 and r.pred_label == 2)
+    assert got["revenue", None, None, "total_rejected_billed"] == pytest.approx(float(billed))
+    assert got["revenue", None, None, "flagged_rejected_billed"] == pytest.approx(float(flagged))
+    assert got["revenue", None, None, "flagged_pct"] == pytest.approx(float(flagged) * 100 / float(billed), abs=1e-4)
+    for segment in ("gender", "city", "insurance_provider"):
+        for value in {r[segment] for r in rows if r[segment] is not None}:
+            want = scores([r for r in rows if r[segment] == value])
+            have = tuple(got["fairness", segment, value, m] for m in ("volume", "accuracy", "weighted_f1", "positive_recall"))
+            assert have == pytest.approx(want, abs=2e-6) if want[3] is not None else (have[3] is None and have[:3] == pytest.approx(want[:3], abs=2e-6))
+    made[0].unpersist()
