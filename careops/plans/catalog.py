@@ -402,8 +402,21 @@ def _reloaded(table):
     """S3 + S5: all tables rewritten parent first with the filter-friendly layout; the rows of one read back."""
     def run(spark, sf_dir):
         t = _tables(spark, sf_dir)
-        paths = layout.reload_tables(t, scratch_path(spark, "tables"))
-        return spark.read.parquet(paths[table]).select(*t[table].columns)
+        base = scratch_path(spark, "tables")
+        layout.reload_tables(t, base)
+        return layout.read_snapshot(spark, base)[table].select(*t[table].columns)
+    return run
+
+
+def _cascaded(table):
+    """The tables reloaded, then without the patients of no known provider, published as the next snapshot."""
+    def run(spark, sf_dir):
+        t = _tables(spark, sf_dir)
+        base = scratch_path(spark, "tables")
+        dead = t["patients"].where(quality.missing_provider_condition(F.col("insurance_provider")))
+        left = keys.cascade_delete(t["patients"], t["visits"], t["billing"], dead.select("patient_id"))
+        layout.reload_tables(dict(zip(layout.TABLES, left)), base)
+        return layout.read_snapshot(spark, base)[table].select(*t[table].columns)
     return run
 
 
@@ -597,6 +610,9 @@ QUERIES: dict[str, QueryFn] = {
     "s03_reloaded_patients": _reloaded("patients"),
     "s03_reloaded_visits": _reloaded("visits"),
     "s03_reloaded_billing": _reloaded("billing"),
+    "s04_cascaded_patients": _cascaded("patients"),
+    "s04_cascaded_visits": _cascaded("visits"),
+    "s04_cascaded_billing": _cascaded("billing"),
     "s07_exported_model_table": _exported,
     "s10_drift_sink": _drift_sink,
     "s03_s05_reload_counts": _reload_counts,

@@ -42,25 +42,37 @@ def audit_rows(scored: DataFrame, endpoint: str, batch_id: int, fields: Sequence
         digest.alias("feature_hash"))
 
 
+def _manifest(path: str) -> str:
+    return f"{path.rstrip('/')}_manifest"
+
+
 def append_audit(rows: DataFrame, path: str) -> None:
-    """Write one batch's rows into its own batch_id partition (idempotent on replay)."""
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
+    """Write one batch's rows into its own batch_id partition (idempotent on replay), then its count and greatest
+    id into the manifest beside the trail."""
+    rows = rows.persist()  # the time of scoring is the same in both
+    try:
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(path))
+        (rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), F.max("row_id").alias("last_id")).coalesce(1)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
+         .parquet(_manifest(path)))
+    finally:
+        rows.unpersist()
 
 
 def audit_tail(spark: SparkSession, path: str, input_schema, n: int = 10) -> DataFrame:
     """The last ``n`` rows by id, newest first, JSON input parsed back (TakeOrdered).
 
-    Only the newest batches that together hold ``n`` rows are read: the counts
-    by batch come from file footers.
+    The manifest (one row for each batch) names the newest batches that
+    together hold ``n`` rows; of the trail only their folders are read.
     """
-    rows = spark.read.parquet(path)
-    counts = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    newest = counts.orderBy(F.desc("batch_id")).limit(n).collect()
-    total, oldest = 0, None
+    newest = spark.read.parquet(_manifest(path)).orderBy(F.desc("batch_id")).limit(n).collect()
+    total, folders = 0, []
     for r in newest:
-        total, oldest = total + r["n"], r["batch_id"]
+        total += r["n"]
+        folders.append(f"{path.rstrip('/')}/batch_id={r['batch_id']}")
         if total >= n:
             break
-    return (rows.where(F.col("batch_id") >= F.lit(oldest)).orderBy(F.desc("batch_id"), F.desc("row_id")).limit(n)
+    rows = spark.read.option("basePath", path).parquet(*folders).withColumn("batch_id", F.col("batch_id").cast("long"))
+    return (rows.orderBy(F.desc("batch_id"), F.desc("row_id")).limit(n)
             .withColumn("input", F.from_json("input_data", input_schema)))

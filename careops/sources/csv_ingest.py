@@ -28,12 +28,21 @@ def _convert(name: str, dtype: T.DataType):
     return F.when(missing, F.lit(None).cast(dtype)).otherwise(value).alias(name)
 
 
-def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True) -> DataFrame:
+def has_quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes, so that a cell goes on in the next one (files are split for this)."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool | None = None) -> DataFrame:
     """Read headed CSV as text, take the schema's columns by name, coerce each to its declared type.
 
     Further columns are ignored; a missing one is an error.  With
-    ``multi_line`` a quoted cell may hold line ends (files are then not split).
+    ``multi_line`` a quoted cell may hold line ends; files are then not split,
+    so it is on only where :func:`has_quoted_line_ends` finds any, if not given.
     """
+    if multi_line is None:
+        multi_line = has_quoted_line_ends(spark, path)
     raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False)
            .option("nullValue", None).option("emptyValue", "").option("escape", '"')
            .option("multiLine", multi_line).csv(path))

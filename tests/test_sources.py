@@ -109,3 +109,77 @@ def test_queries_leave_no_cached_frame(spark, name):
     QUERIES[name](spark, SMALL).collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
     assert set(E.queries()) >= set(QUERIES)
+
+
+def _visits(spark, n=24_000):
+    return spark.range(n).selectExpr(
+        "id AS visit_id", "id % 77 AS patient_id", "date_add(DATE '2020-01-01', CAST(id * 7919 % 730 AS INT)) AS visit_date",
+        "element_at(array('A', 'B', 'C', 'D', 'E'), CAST(id * 31 % 5 + 1 AS INT)) AS department", "'OPD' AS visit_type",
+        "CAST(1 AS DECIMAL(10,2)) AS length_of_stay_hours", "'Low' AS risk_score", "1 AS doctor_id")
+
+
+def _file_ranges(path, column):
+    """(least, greatest) of a column for each file, from the parquet footers."""
+    import glob
+
+    import pyarrow.parquet as pq
+    out = []
+    for f in glob.glob(f"{path}/**/*.parquet", recursive=True):
+        meta = pq.read_metadata(f)
+        i = next(i for i in range(meta.num_columns) if meta.schema.column(i).name == column)
+        stats = [meta.row_group(g).column(i).statistics for g in range(meta.num_row_groups)]
+        out.append((min(s.min for s in stats), max(s.max for s in stats)))
+    return out
+
+
+def test_a_filter_on_either_column_skips_most_files(spark, tmp_dir):
+    import datetime as dt
+    layout.write_table(_visits(spark), f"{tmp_dir}/visits", "visits", files=64)
+    days, wards = _file_ranges(f"{tmp_dir}/visits", "visit_date"), _file_ranges(f"{tmp_dir}/visits", "department")
+    day = dt.date(2020, 6, 15)
+    assert sum(a <= day <= b for a, b in days) < len(days) / 4
+    assert sum(a <= "C" <= b for a, b in wards) < len(wards) / 2
+    assert spark.read.parquet(f"{tmp_dir}/visits").count() == 24_000
+
+
+def test_files_are_sized_by_bytes(spark):
+    visits = _visits(spark, 1000)
+    assert layout.file_count(visits) == 1
+    assert layout.file_count(visits, file_bytes=10_000) == -(-1000 * (8 + 8 + 4 + 20 + 20 + 8 + 20 + 4) // 10_000)
+
+
+def test_readers_see_whole_snapshots(spark, hospital, tmp_dir):
+    t = {n: hospital[n] for n in layout.TABLES}
+    with pytest.raises(ValueError, match="no published version"):
+        spark.createDataFrame([], layout._MANIFEST).write.json(f"{tmp_dir}/empty/manifest")
+        layout.read_snapshot(spark, f"{tmp_dir}/empty")
+    base = f"{tmp_dir}/base"
+    layout.reload_tables(t, base)
+    first = {n: layout.read_snapshot(spark, base)[n].count() for n in layout.TABLES}
+    assert first == {n: t[n].count() for n in layout.TABLES}
+    # a second version half written: nothing of it is seen before its manifest row
+    fewer = {n: df.limit(10) for n, df in t.items()}
+    layout.write_table(fewer["patients"], f"{base}/tables/2-half/patients", "patients")
+    seen = layout.read_snapshot(spark, base)
+    assert {n: seen[n].count() for n in layout.TABLES} == first
+    layout.reload_tables(fewer, base)
+    assert {n: df.count() for n, df in layout.read_snapshot(spark, base).items()} == {n: 10 for n in layout.TABLES}
+    # a reader that opened the first version still reads it
+    assert {n: seen[n].count() for n in layout.TABLES} == first
+    assert layout.read_snapshot(spark, base, 1)["visits"].count() == first["visits"]
+
+
+def test_tail_reads_only_the_newest_folders(spark, tmp_dir):
+    df = spark.range(6).select(F.col("id").alias("age"), F.lit("Paid").alias("predicted_class"), F.lit("v").alias("model_version"))
+    for b in (0, 1, 2, 10, 11):
+        audit.append_audit(audit.audit_rows(df, "/predict/claim", b, ["age"]), f"{tmp_dir}/audit")
+    tail = audit.audit_tail(spark, f"{tmp_dir}/audit", "age long")
+    assert {f.split("batch_id=")[1].split("/")[0] for f in tail.inputFiles()} == {"10", "11"}
+    counts = {r.batch_id: r.n for r in spark.read.parquet(f"{tmp_dir}/audit_manifest").collect()}
+    assert counts == dict.fromkeys((0, 1, 2, 10, 11), 6)
+
+
+def test_csv_files_are_split_unless_cells_hold_line_ends(spark, tmp_dir):
+    plain = _csv(tmp_dir, 'a,b\n1,"x, ""y"""\n')
+    assert not csv_ingest.has_quoted_line_ends(spark, plain)
+    assert csv_ingest.has_quoted_line_ends(spark, _csv(tmp_dir, 'a,b\n1,"x\ny"\n'))
