@@ -106,6 +106,7 @@ class Tokens:
             tail[have] |= w.data[w.ends[have] - k].astype(np.uint64) << np.uint64(8 * k)
         self.ending = np.zeros(len(self.hash), dtype=np.int64)  # ending 0 is the end's own
         self.ending[place] = 1 + (mix64(tail) % np.uint64(ENDINGS - 1)).astype(np.int64)
+        self._contexts: tuple | None = None
         self.cell = (mix64(self.hash + np.uint64(1)) & np.uint64(CELLS - 1)).astype(np.int64)
 
     def back(self, values: np.ndarray, by: int, blank) -> np.ndarray:
@@ -116,7 +117,12 @@ class Tokens:
         return out
 
     def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Four 64-bit values that describe each token's context."""
+        """Four 64-bit values that describe each token's context (kept for the next call with the same classes)."""
+        if self._contexts is None or self._contexts[0] is not classes:
+            self._contexts = classes, self._describe(classes)
+        return self._contexts[1]
+
+    def _describe(self, classes: np.ndarray) -> tuple[np.ndarray, ...]:
         h1, h2 = self.back(self.hash, 1, 0), self.back(self.hash, 2, 0)
         c = classes[self.ending].astype(np.uint64)
         c1, c2 = self.back(c, 1, CLASSES), self.back(c, 2, CLASSES)
