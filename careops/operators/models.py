@@ -193,6 +193,37 @@ def cross_validate(pipeline: Pipeline, stage, values: dict, train: DataFrame, la
     return best
 
 
+def search_forest(train: DataFrame, spec: FeatureSpec, values: dict | None = None, parallelism: int = 4,
+                  seed: int = 42) -> tuple[list[dict], PipelineModel]:
+    """M7 + M10: the table of (grid point, fold) results on stratified folds, and the best point refitted on all rows.
+
+    Each fold's rows are prepared once for all points, and points are fitted side by side.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    values = values or RF_GRID
+    folded = cut_lineage(with_folds(train, label=spec.label))
+    points = [dict(zip(values, p)) for p in itertools.product(*values.values())]
+    table = []
+    for fold in range(CV_FOLDS):
+        prep = Pipeline(stages=preprocessing(spec)).fit(folded.where(F.col("fold") != fold))
+        rows = cut_lineage(prep.transform(folded).select("features", spec.label, "fold"))
+        learned, held = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+
+        def result(point: dict) -> dict:
+            rf = RandomForestClassifier(featuresCol="features", labelCol=spec.label, seed=seed, **point)
+            got = rf.fit(learned).transform(held).agg(
+                F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == F.col(spec.label)).alias("right")).first()
+            return {**point, "fold": fold, "rows": got["n"], "right": got["right"], "accuracy": got["right"] / max(got["n"], 1)}
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            table += pool.map(result, points)
+    best = boosting.best_point(table, tuple(values))
+    pipe, rf = forest(spec, seed=seed)
+    for name, value in best.items():
+        rf.set(rf.getParam(name), value)
+    return table, pipe.fit(train)
+
+
 @dataclass
 class OneVsRestGBTModel:
     """M9: shared preprocessing + one binary GBT per class; probabilities normalized to 1."""
@@ -291,12 +322,14 @@ def fit_joint_boosting(train: DataFrame, spec: FeatureSpec, max_iter: int = 50,
 
 
 def search_joint_boosting(train: DataFrame, spec: FeatureSpec, values: dict | None = None,
-                          weighted: bool = True) -> tuple[list[dict], JointBoostingModel]:
+                          weighted: bool = True, refit: bool = True) -> tuple[list[dict], JointBoostingModel | None]:
     """M9 + M10: the table of (grid point, fold) results on stratified folds, and the best point refitted on all rows."""
     data = balanced_weights(train, spec.label) if weighted else train
     data = cut_lineage(with_folds(data, label=spec.label))
     table = boosting.search_joint(data, spec, preprocessing(spec), values or GBT_GRID, CV_FOLDS,
                                   weight="class_weight" if weighted else None)
+    if not refit:
+        return table, None
     best = boosting.best_point(table)
     return table, fit_joint_boosting(train, spec, best["maxIter"], best["maxDepth"], best["stepSize"], weighted)
 

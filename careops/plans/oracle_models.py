@@ -104,6 +104,14 @@ t AS (SELECT CASE risk_score WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 WHEN 'High'
 dealt AS (SELECT label, (ROW_NUMBER() OVER (PARTITION BY label) - 1) % 3 AS fold FROM t)""", """
 SELECT CAST(label AS INT) AS label, CAST(fold AS INT) AS fold, COUNT(*) AS row_count FROM dealt GROUP BY ALL""")
 
+M["m10_search_claim_joint"] = with_fixtures(MODEL_TABLE_SQL + """,
+t AS (SELECT claim_status FROM model_table WHERE split = 'train' AND risk_score IS NOT NULL AND claim_status IS NOT NULL),
+dealt AS (SELECT (ROW_NUMBER() OVER (PARTITION BY claim_status) - 1) % 3 AS fold FROM t),
+size AS (SELECT fold, COUNT(*) AS row_count FROM dealt GROUP BY fold)""", """
+SELECT CAST(i AS INT) AS max_iter, CAST(d AS INT) AS max_depth, CAST(s AS DOUBLE) AS step_size, CAST(fold AS INT) AS fold,
+  row_count, TRUE AS is_share, TRUE AS choice_is_best
+FROM size, (VALUES (3), (6)) a(i), (VALUES (5), (8), (10)) b(d), (VALUES (0.05), (0.1)) c(s)""")
+
 _TARGETS = MODEL_TABLE_SQL + """,
 target AS (SELECT *, CASE risk_score WHEN 'Low' THEN 0 WHEN 'Medium' THEN 1 WHEN 'High' THEN 2 END AS risk,
     CASE claim_status WHEN 'Paid' THEN 0 WHEN 'Pending' THEN 1 WHEN 'Rejected' THEN 2 END AS claim

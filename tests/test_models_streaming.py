@@ -238,3 +238,15 @@ def test_all_evaluation_of_one_model_matches_brute_force(spark, monkeypatch):
             have = tuple(got["fairness", segment, value, m] for m in ("volume", "accuracy", "weighted_f1", "positive_recall"))
             assert have == pytest.approx(want, abs=2e-6) if want[3] is not None else (have[3] is None and have[:3] == pytest.approx(want[:3], abs=2e-6))
     made[0].unpersist()
+
+
+def test_forest_search_tabulates_points_and_refits_the_best(spark, table):
+    data = models.model_input(table, models.SPEC_A).where("split = 'train'")
+    values = {"numTrees": [2, 4], "maxDepth": [2, 4], "minInstancesPerNode": [1]}
+    found, model = models.search_forest(data, models.SPEC_A, values)
+    assert {(r["numTrees"], r["maxDepth"], r["fold"]) for r in found} == {(n, d, f) for n in (2, 4) for d in (2, 4) for f in range(3)}
+    for n, d in ((2, 2), (4, 4)):
+        assert sum(r["rows"] for r in found if (r["numTrees"], r["maxDepth"]) == (n, d)) == data.count()
+    mean = {(n, d): sum(r["accuracy"] for r in found if (r["numTrees"], r["maxDepth"]) == (n, d)) / 3 for n in (2, 4) for d in (2, 4)}
+    stage = model.stages[-1]
+    assert mean[stage.getNumTrees, stage.getOrDefault("maxDepth")] == pytest.approx(max(mean.values()))
