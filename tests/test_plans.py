@@ -36,3 +36,37 @@ def test_filters_and_columns_reach_the_scan(spark):
     p = o._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p
+
+
+def test_the_three_table_join_runs_once(spark, monkeypatch):
+    """Split, fitted rates and features read one checkpoint: lineitem is scanned for that alone."""
+    from careops.functions import ranks
+    from careops.plans import catalog
+    plans, cut = [], features.cut_lineage
+
+    def recorded(df):
+        plans.append(plan(df))
+        return cut(df)
+    for module in (features, ranks, catalog):
+        monkeypatch.setattr(module, "cut_lineage", recorded)
+    for query in (catalog.model_table, catalog._split, catalog._train_aggs, catalog._scored, catalog._triggers):
+        plans.clear()
+        last = plan(query(spark, SMALL))
+        assert sum("lineitem.parquet" in p for p in plans) == 1 and "lineitem.parquet" not in last
+
+
+def test_gate_keeps_rows_without_a_bill(spark):
+    from careops.operators import governance
+    active = spark.createDataFrame([(1, 10, 0, 0), (2, None, 1, 0)], "visit_id long, bill_id long, y int, p int")
+    candidate = active.withColumn("p", F.col("y"))
+    r = governance.promotion_gate(active, candidate, ["visit_id", "bill_id"], "y", "p").first()
+    assert (r.rows, r.active_accuracy, r.candidate_accuracy, r.promote) == (2, 0.5, 1.0, True)
+
+
+def test_rows_without_a_department_keep_a_missing_stay(spark):
+    from careops.operators import profiling
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), (None, 5.0), (None, None)],
+                               "department string, length_of_stay_hours double").selectExpr(
+        "*", "CAST(NULL AS DECIMAL(10,2)) AS approved_amount", "CAST(NULL AS INT) AS payment_days")
+    got = sorted((r.department or "", r.length_of_stay_hours or -1) for r in profiling.impute(df).collect())
+    assert got == [("", -1), ("", 5.0), ("a", 1.0), ("a", 2.0), ("a", 3.0)]
