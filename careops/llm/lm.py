@@ -102,8 +102,8 @@ class Tokens:
         tail = np.zeros(len(place), dtype=np.uint64)
         size = w.ends - w.starts
         for k in range(1, 4):  # the last three bytes
-            have = size >= k
-            tail[have] |= w.data[w.ends[have] - k].astype(np.uint64) << np.uint64(8 * k)
+            byte = w.data.take(w.ends - k, mode="clip").astype(np.uint64)
+            tail |= np.where(size >= k, byte << np.uint64(8 * k), np.uint64(0))
         self.ending = np.zeros(len(self.hash), dtype=np.int64)  # ending 0 is the end's own
         self.ending[place] = 1 + (mix64(tail) % np.uint64(ENDINGS - 1)).astype(np.int64)
         self._contexts: tuple | None = None
@@ -113,7 +113,8 @@ class Tokens:
         """``values`` of the tokens ``by`` places earlier in the same text, else ``blank``."""
         out = np.empty_like(values)
         out[by:] = values[:-by] if by < len(values) else values[:0]
-        out[np.arange(len(values)) - self.first[self.doc] < by] = blank
+        for k in range(by):  # the first tokens of each text
+            out[self.first[self.n_tokens > k] + k] = blank
         return out
 
     def contexts(self, classes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -163,7 +164,10 @@ def count_words(docs: DataFrame) -> DataFrame:
             texts = part.column(0).to_pylist()
             for lo, hi in chunks_by_size(texts, GROUP_CHARS):
                 t = Tokens(texts[lo:hi])
-                values, at, n = np.unique(t.hash, return_index=True, return_counts=True)
+                order = np.argsort(t.hash)
+                ordered = t.hash[order]
+                starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+                values, at, n = ordered[starts], order[starts], np.diff(np.append(starts, len(ordered)))
                 none = pa.nulls(len(values))
                 yield _batch(names, pa.array(values.view(np.int64)), pa.array(t.ending[at], pa.int32()),
                              pa.array(t.cell[at], pa.int32()), pa.array(n),
