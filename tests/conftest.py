@@ -23,6 +23,7 @@ def spark():
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="careops-test-ckpt-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.environment["PYTHONPATH"] = ROOT  # the workers find the package
     from careops.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(s)
     yield s
