@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from careops.functions.joins import lookup_join
 from careops.functions.ranks import cumulative_counts, exact_percentiles, percentiles_of
 
 OUTLIER_COLUMNS = ["billed_amount", "payment_days", "length_of_stay_hours"]
@@ -99,7 +100,7 @@ def impute(df: DataFrame, group: str = "department", stay: str = "length_of_stay
     Rows without a group keep a missing stay: they are no group to take a median of.
     """
     med = exact_percentiles(df.where(F.col(group).isNotNull()), stay, [0.5], [group]).select(group, F.col("value").alias("_median"))
-    out = df.join(med, group, "left")
+    out = lookup_join(df, med, group)
     return out.select(
         *[c for c in df.columns if c not in (stay, "approved_amount", "payment_days")],
         F.coalesce(F.col(stay).cast("double"), F.col("_median")).alias(stay),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from careops.functions.joins import lookup_join
 from careops.operators.features import Aggregates
 
 # --- fixed values: request fields and their allowed ranges ---
@@ -69,8 +70,8 @@ def feature_hash(fields: Sequence[str] = CLAIM_FIELDS):
 
 def enrich_claims(df: DataFrame, rates: Aggregates) -> DataFrame:
     """Provider and department rates, unseen keys -> the global rates."""
-    out = df.join(rates.provider_rejection, "insurance_provider", "left")
-    out = out.join(rates.dept_realization, "department", "left")
+    out = lookup_join(df, rates.provider_rejection, "insurance_provider")
+    out = lookup_join(out, rates.dept_realization, "department")
     g = rates.globals
     return (out.withColumn("provider_rejection_rate",
                            F.coalesce("provider_rejection_rate", g.select("global_rejection").scalar()))

@@ -70,3 +70,26 @@ def test_rows_without_a_department_keep_a_missing_stay(spark):
         "*", "CAST(NULL AS DECIMAL(10,2)) AS approved_amount", "CAST(NULL AS INT) AS payment_days")
     got = sorted((r.department or "", r.length_of_stay_hours or -1) for r in profiling.impute(df).collect())
     assert got == [("", -1), ("", 5.0), ("a", 1.0), ("a", 2.0), ("a", 3.0)]
+
+
+def test_rows_stay_dealt_when_few_valued_lookups_are_joined(spark, hospital):
+    """Rates, frame means and class weights have a handful of keys: the rows must not be dealt by them."""
+    from careops.operators import models
+    from careops.session import cut_lineage
+    from careops.sources.master import load_joined
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        table = features.model_table(load_joined(hospital["patients"], hospital["visits"], hospital["billing"]))
+        labelled = cut_lineage(spark.range(20_000).withColumn("y", F.col("id") % 3).repartition(40))
+        for out in (table, models.balanced_weights(labelled, "y")):
+            # looked-up columns are summed too: a join that none is read from is dropped
+            sums = [F.sum(c) for c, kind in out.dtypes if kind == "double"]
+            sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n"), *sums).collect()]
+            assert max(sizes) < 0.1 * sum(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
