@@ -8,13 +8,13 @@ driver of the same steps is ``careops.streaming.scoring``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from careops.functions.joins import lookup_join
+from careops.functions.joins import lookup
 from careops.operators.features import Aggregates
 
 # --- fixed values: request fields and their allowed ranges ---
@@ -68,12 +68,19 @@ def feature_hash(fields: Sequence[str] = CLAIM_FIELDS):
     return F.sha2(request_json(fields), 256)
 
 
+def claim_enricher(rates: Aggregates) -> Callable[[DataFrame], DataFrame]:
+    """C3 with the rates computed once, for any number of batches of requests."""
+    providers, departments, g = lookup(rates.provider_rejection), lookup(rates.dept_realization), rates.globals
+
+    def enrich(df: DataFrame) -> DataFrame:
+        out = df.join(providers, "insurance_provider", "left").join(departments, "department", "left")
+        return (out.withColumn("provider_rejection_rate",
+                               F.coalesce("provider_rejection_rate", g.select("global_rejection").scalar()))
+                .withColumn("revenue_realization_rate_dept",
+                            F.coalesce("revenue_realization_rate_dept", g.select("global_realization").scalar())))
+    return enrich
+
+
 def enrich_claims(df: DataFrame, rates: Aggregates) -> DataFrame:
     """Provider and department rates, unseen keys -> the global rates."""
-    out = lookup_join(df, rates.provider_rejection, "insurance_provider")
-    out = lookup_join(out, rates.dept_realization, "department")
-    g = rates.globals
-    return (out.withColumn("provider_rejection_rate",
-                           F.coalesce("provider_rejection_rate", g.select("global_rejection").scalar()))
-            .withColumn("revenue_realization_rate_dept",
-                        F.coalesce("revenue_realization_rate_dept", g.select("global_realization").scalar())))
+    return claim_enricher(rates)(df)

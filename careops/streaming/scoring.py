@@ -90,7 +90,7 @@ def start_claim_scoring(spark: SparkSession, requests_dir: str, out_dir: str, ch
                         max_files_per_trigger: int | None = None) -> StreamingQuery:
     """:func:`start_scoring` of claim requests with the scoring-time rates."""
     return start_scoring(spark, CLAIM, requests_dir, out_dir, checkpoint, model, version,
-                         lambda df: scoring.enrich_claims(df, rates), available_now, max_files_per_trigger)
+                         scoring.claim_enricher(rates), available_now, max_files_per_trigger)
 
 
 def start_risk_scoring(spark: SparkSession, requests_dir: str, out_dir: str, checkpoint: str, model,

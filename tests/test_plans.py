@@ -93,3 +93,18 @@ def test_rows_stay_dealt_when_few_valued_lookups_are_joined(spark, hospital):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_rates_of_a_stream_are_computed_once(spark, monkeypatch):
+    from careops.functions import joins
+    from careops.operators import scoring
+    calls, cut = [], joins.cut_lineage
+    monkeypatch.setattr(joins, "cut_lineage", lambda df: calls.append(1) or cut(df))
+    rates = features.Aggregates(spark.createDataFrame([("a", 0.5)], "insurance_provider string, provider_rejection_rate double"),
+                                spark.createDataFrame([("d", 0.25)], "department string, revenue_realization_rate_dept double"),
+                                spark.createDataFrame([(0.1, 0.9)], "global_rejection double, global_realization double"))
+    enrich = scoring.claim_enricher(rates)
+    for provider, rate in (("a", 0.5), ("z", 0.1)):
+        batch = spark.createDataFrame([(provider, "d")], "insurance_provider string, department string")
+        assert tuple(enrich(batch).select("provider_rejection_rate", "revenue_realization_rate_dept").first()) == (rate, 0.25)
+    assert len(calls) == 2
