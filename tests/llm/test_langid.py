@@ -114,3 +114,20 @@ def test_one_language(spark):
     model = langid.fit(frame(spark, [(i, "only one language here", "en", None, 0) for i in range(5)]), F.lit(True))
     r = langid.identify(frame(spark, [(1, "only here", None, None, 0)]), model).first()
     assert (r.lang_pred, r.score) == ("en", 1.0)
+
+
+def test_fit_on_all_rows_learns_and_calibrates_on_every_part(spark, monkeypatch):
+    rows = made(600, random.Random(3))
+    rows += [(600 + i, "zu zu zuzu", "zz", "s", 10) for i in range(2)]  # a label that few rows have
+    docs = frame(spark, rows)
+    monkeypatch.setattr(langid, "bounded_sample", None)  # nothing is sampled
+    monkeypatch.setattr(langid, "PART_CHARS", 8_000)
+    m = langid.fit(docs, F.lit(True), sample_rows=None, evidence=True)
+    assert m.labels == [*sorted(SYLLABLES), "zz"]
+    got = {r["doc_id"]: r for r in langid.identify(docs, m, spans=False, evidence=True).collect()}
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in rows) >= 0.97 * len(rows)
+    # features of all texts are known; the limits are low percentiles of all texts
+    assert min(r["known"] for r in got.values()) > 0.999
+    assert abs(m.low_score - np.percentile([r["score"] for r in got.values()], langid.LOWEST)) < 2e-2
+    again = langid.fit(docs.repartition(7), F.lit(True), sample_rows=None, evidence=True)
+    assert (again.weights == m.weights).all() and (again.low_known, again.low_score) == (m.low_known, m.low_score)

@@ -131,3 +131,12 @@ def test_entry_module_without_the_subpackage(tmp_path):
         os.symlink(f"{ROOT}/careops/llm/{name}", tmp_path / "careops" / "llm" / name)
     done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert done.returncode and "module_that_is_not_there" in done.stderr
+
+
+def test_language_id_samples_nothing(spark, monkeypatch):
+    from careops.llm import langid
+
+    def sampled(*_):
+        raise AssertionError("a sample")
+    monkeypatch.setattr(langid, "bounded_sample", sampled)
+    assert cp.language_id(spark, frame(spark, odd_rows()), MEDIUM).count()
