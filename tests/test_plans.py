@@ -108,3 +108,16 @@ def test_rates_of_a_stream_are_computed_once(spark, monkeypatch):
         batch = spark.createDataFrame([(provider, "d")], "insurance_provider string, department string")
         assert tuple(enrich(batch).select("provider_rejection_rate", "revenue_realization_rate_dept").first()) == (rate, 0.25)
     assert len(calls) == 2
+
+
+def test_rows_are_prepared_once_for_fit_and_scoring(spark):
+    """The preprocessing of all rows is stored: neither the scoring nor a pass of a fit repeats it."""
+    from careops.operators import models
+    from careops.plans import catalog
+    for query in (catalog._risk_logistic, catalog._claim_logistic, catalog._claim_logistic_rows):
+        p = plan(query(spark, SMALL))
+        assert "__idx" not in p and "__ohe" not in p
+    indexers = [s for s in models.preprocessing(models.SPEC_B) if "StringIndexer" in type(s).__name__]
+    assert len(indexers) == 1  # one pass for all categorical columns
+    labelled = spark.range(100).withColumn("y", F.col("id") % 3)
+    assert "Range" not in plan(models.class_weights(labelled, "y"))  # weights read the counts, not the rows again
