@@ -11,6 +11,7 @@ stretches of texts in different languages.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -57,6 +58,18 @@ def clean(token: str) -> str:
     return token if token.isalpha() else "".join(filter(str.isalpha, token))
 
 
+class _Words(dict):
+    """Token numbers; a token met for the first time is put on ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, token: str) -> int:
+        n = self[token] = len(self)
+        self.new.append(token)
+        return n
+
+
 def features(words: list[str], lexicon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of words, concatenated, and the word that each belongs to."""
     if not words:
@@ -131,9 +144,10 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     a = np.exp(transitions - transitions.max())
     start = k_of == 0
     m = np.broadcast_to(np.eye(n_labels), (n, n_labels, n_labels)).copy()
+    full = mask.all(axis=0)                                   # steps that every block has
     for t in range(STEPS):
-        on = mask[:, t]
-        step = (m if t == 0 else m[on]) @ a * e[on if t else slice(None), t][:, None, :]
+        on = slice(None) if full[t] else mask[:, t]
+        step = m[on] @ a * e[on, t][:, None, :]
         if t == 0:
             step[start] = m[start] * e[start, 0][:, None, :]  # no transition into a text's first word
             m = step / step.max(axis=(1, 2), keepdims=True)
@@ -157,14 +171,15 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
             g[start] = f[start]
         g = g * e[:, t]
         g /= g.sum(axis=1, keepdims=True)
-        f = np.where(mask[:, t][:, None], g, f)
+        f = g if full[t] else np.where(mask[:, t][:, None], g, f)
         forward[:, t] = f
     backward = np.empty((n, STEPS, n_labels))
     b = after
     for t in range(STEPS - 1, -1, -1):
         backward[:, t] = b
         g = (b * e[:, t]) @ a.T
-        b = np.where(mask[:, t][:, None], g / g.max(axis=1, keepdims=True), b)
+        g /= g.max(axis=1, keepdims=True)
+        b = g if full[t] else np.where(mask[:, t][:, None], g, b)
     return forward[mask], backward[mask]
 
 
@@ -177,20 +192,36 @@ def marginals(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
 
 # ------------------------------------------------------------------ training
 
-def _sequences(texts: list[str], labels: list[int], rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
-    """Words and labels of code-switched sequences: stretches of 4 to 40 words of the texts, shuffled."""
-    pieces = []
-    for text, label in zip(texts, labels):
-        words = [w for w in map(clean, text.lower().split()) if w]
-        i = 0
-        while i < len(words):
-            j = i + int(rng.integers(4, 41))
-            pieces.append((words[i:j], label))
-            i = j
-    order = rng.permutation(len(pieces))
-    words = [w for i in order for w in pieces[i][0]]
-    labels = np.repeat([pieces[i][1] for i in order], [len(pieces[i][0]) for i in order]) if words else np.empty(0)
-    return words, labels.astype(np.int64)
+def _sequences(texts: list[str], labels: list[int], rng: np.random.Generator) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Code-switched sequences: stretches of 4 to 40 words of the texts, shuffled.  The distinct words, and each word's number and label."""
+    tokens = _Words()
+    split = [np.fromiter(map(tokens.__getitem__, t.lower().split()), np.int64) for t in texts]
+    cleaned = list(map(clean, tokens.new))
+    names = sorted({w for w in cleaned if w})
+    number = {w: i for i, w in enumerate(names)}
+    number_of = np.fromiter((number.get(w, -1) for w in cleaned), np.int64, len(cleaned))
+    words = number_of[np.concatenate(split)] if split else np.empty(0, np.int64)
+    real = np.concatenate(([0], np.cumsum(words >= 0)))
+    ends = real[np.cumsum([len(x) for x in split], dtype=np.int64)]  # of each text among the words with a letter
+    words = words[words >= 0]
+    draws = np.cumsum(copy.deepcopy(rng).integers(4, 41, len(words) // 4 + len(texts) + 1))
+    stops, whose, lo, used = [], [], 0, 0
+    for end, label in zip(ends.tolist(), labels):
+        if end > lo:  # stretches are drawn until the text is used up
+            drawn = draws[used - 1] if used else 0
+            n = int(np.searchsorted(draws, drawn + end - lo)) + 1 - used
+            stops.append(np.minimum(lo + draws[used:used + n] - drawn, end))
+            whose.append(np.full(n, label, np.int64))
+            lo, used = end, used + n
+    if not used:
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    rng.integers(4, 41, used)
+    stops, whose = np.concatenate(stops), np.concatenate(whose)
+    sizes = np.diff(stops, prepend=0)
+    order = rng.permutation(used)
+    size = sizes[order]
+    at = np.repeat((stops - sizes)[order] - (np.cumsum(size) - size), size) + np.arange(len(words))
+    return names, words[at], np.repeat(whose[order], size)
 
 
 def _unseen(n_labels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,24 +231,24 @@ def _unseen(n_labels: int) -> tuple[np.ndarray, np.ndarray]:
 def _train_part(texts: list[str], labels: list[int], weights: np.ndarray, transitions: np.ndarray,
                 lexicon: np.ndarray, seed: int, seen: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """One pass of AdaGrad steps on the log-likelihood of this task's sequences; ``seen`` goes on with earlier steps' squares."""
-    words, gold = _sequences(texts, labels, np.random.default_rng(seed))
+    names, which, gold = _sequences(texts, labels, np.random.default_rng(seed))
     weights, transitions = weights.astype(np.float64), transitions.copy()
     n_labels = weights.shape[1]
-    if not words:
+    if not names:
         return weights, transitions
-    names, which = np.unique(np.array(words, dtype=object), return_inverse=True)
-    index, owner = features(names.tolist(), lexicon)
+    index, owner = features(names, lexicon)
     bounds = np.searchsorted(owner[(order := np.argsort(owner, kind="stable"))], np.arange(len(names) + 1))
     index = index[order]
     seen, seen_t = seen or _unseen(n_labels)
     batch = SEQUENCE * 32
-    for lo in range(0, len(words), batch):
+    used, place = np.zeros(BUCKETS, bool), np.empty(BUCKETS, np.int64)
+    for lo in range(0, len(which), batch):
         ids, y = which[lo:lo + batch], gold[lo:lo + batch]
         types, local = np.unique(ids, return_inverse=True)
         sizes = bounds[types + 1] - bounds[types]
         flat = np.repeat(bounds[types] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         feats, own = index[flat], np.repeat(np.arange(len(types)), sizes)
-        emit = np.stack([np.bincount(own, weights[feats, k], minlength=len(types)) for k in range(n_labels)], 1)
+        emit = np.stack([np.bincount(own, w, minlength=len(types)) for w in weights[feats].T], 1)
         lengths = np.full(-(-len(ids) // SEQUENCE), SEQUENCE)
         lengths[-1] = len(ids) - SEQUENCE * (len(lengths) - 1)
         sc = emit[local]
@@ -227,9 +258,12 @@ def _train_part(texts: list[str], labels: list[int], weights: np.ndarray, transi
         gain = -p
         gain[np.arange(len(ids)), y] += 1
         by_type = np.stack([np.bincount(local, gain[:, k], minlength=len(types)) for k in range(n_labels)], 1)
-        grad = np.stack([np.bincount(feats, by_type[own, k], minlength=BUCKETS) for k in range(n_labels)], 1)
-        hit = np.flatnonzero(np.bincount(feats, minlength=BUCKETS))
-        g = grad[hit] / len(ids)
+        used[feats] = True
+        hit = np.flatnonzero(used)
+        place[hit] = np.arange(len(hit))
+        used[hit] = False
+        at = place[feats]
+        g = np.stack([np.bincount(at, v, minlength=len(hit)) for v in by_type[own].T], 1) / len(ids)
         seen[hit] += g * g
         weights[hit] += 0.1 * g / np.sqrt(seen[hit])
         # transitions: observed minus expected label pairs
@@ -310,15 +344,13 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int | None = SAMPLE_ROWS, i
     in :func:`identify`, each judged by the features of the other parts.
 
     ``sample_rows`` None: the sample is all those rows, in as many parts as have
-    PART_CHARS each (PARTS at least).  More than PARTS parts take one round, as a part
-    then has far more steps than a bounded sample's has in all of its rounds.
+    PART_CHARS each (PARTS at least).  Any number of parts takes all rounds.
     """
     spark = docs.sparkSession
     rows, parts = _known(docs, text_col, label_col, learn), PARTS
     if sample_rows is None:
         chars = rows.agg(F.sum(F.length(F.col(text_col).cast("string")))).first()[0] or 0
         parts = max(PARTS, -(-chars // PART_CHARS))
-        rounds = rounds if parts == PARTS else 1
     else:
         rows = bounded_sample(rows, F.struct(id_col, text_col), sample_rows, "langid")
     sample = (rows.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
@@ -447,18 +479,6 @@ def _calibrated_on_all(model: Model, rows: DataFrame) -> Model:
 
 # ---------------------------------------------------------------- prediction
 
-class _Words(dict):
-    """Token numbers; a token met for the first time is put on ``new``."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, token: str) -> int:
-        n = self[token] = len(self)
-        self.new.append(token)
-        return n
-
-
 class Labeller:
     """Labels texts with a model; keeps the scores of up to CACHE_WORDS distinct tokens."""
 

@@ -131,3 +131,26 @@ def test_fit_on_all_rows_learns_and_calibrates_on_every_part(spark, monkeypatch)
     assert abs(m.low_score - np.percentile([r["score"] for r in got.values()], langid.LOWEST)) < 2e-2
     again = langid.fit(docs.repartition(7), F.lit(True), sample_rows=None, evidence=True)
     assert (again.weights == m.weights).all() and (again.low_known, again.low_score) == (m.low_known, m.low_score)
+
+
+def test_fit_on_all_rows_takes_every_round_at_any_size(spark, monkeypatch):
+    docs, taken = frame(spark, made(300, random.Random(6))), []
+    averaged = langid._averaged
+    monkeypatch.setattr(langid, "_averaged", lambda rows, *rest: taken.append(rows.rdd.getNumPartitions()) or averaged(rows, *rest))
+    for part_chars in (10_000_000, 4_000):
+        monkeypatch.setattr(langid, "PART_CHARS", part_chars)
+        langid.fit(docs, F.lit(True), sample_rows=None, evidence=True)
+    assert len(taken) == 2 * langid.ROUNDS and taken[0] == langid.PARTS < taken[-1]
+
+
+def test_sequences_are_stretches_of_the_texts():
+    texts, labels = ["a1 b c. -- d e f g", "", "!!", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))], [0, 1, 1, 2]
+    names, words, gold = langid._sequences(texts, labels, np.random.default_rng(3))
+    assert names == sorted(names) and len(words) == len(gold) == 307
+    got = [names[i] for i in words]
+    assert sorted(got) == sorted(w for t in texts for w in map(langid.clean, t.split()) if w)
+    order = {w: i for i, w in enumerate(map(langid.clean, texts[3].split()))}
+    long = [order[w] for w, y in zip(got, gold) if y == 2]
+    cuts = [b for a, b in zip(long, long[1:]) if b != a + 1]
+    assert 300 / 40 - 2 <= len(cuts) <= 300 / 4  # runs of 4 to 40 words, not in their order
+    assert langid._sequences([], [], np.random.default_rng(3))[0] == []
